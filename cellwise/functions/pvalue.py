@@ -4,6 +4,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TINY = 1e-300
 
@@ -55,11 +56,11 @@ def normal_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_correlation(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([correlation_p(float(a), float(b)) for a, b in zip(r, n)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_normal(z: pd.Series) -> pd.Series:
     return z.astype("float64").map(normal_p)

@@ -286,8 +286,8 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "position
 
 def overlap_of_tops(df: DataFrame, a: str, b: str, tie: str, share: float = 0.01) -> DataFrame:
     """Share of rows that two rankings put in their top ``share``."""
-    n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).count()
-    k = max(1, int(_nearest_int(share * n)))
+    df = cut(df.select(tie, a, b).dropna())  # read by several passes
+    k = max(1, round(share * df.count()))
     left = take_ranked(df, a, tie, k, True).select(tie)
     right = take_ranked(df, b, tie, k, True).select(tie)
     return left.join(right, tie).agg(
@@ -295,10 +295,6 @@ def overlap_of_tops(df: DataFrame, a: str, b: str, tie: str, share: float = 0.01
         "k", "n_common", (100.0 * F.col("n_common") / F.col("k")).alias("overlap_pct"))
 
 
-def _nearest_int(x: float) -> int:
-    return int(round(x))
-
-
 # -- small fixed-length statistics ------------------------------------------------------
 
 def kendall_columns(a: Sequence[Column], b: Sequence[Column]) -> Column:

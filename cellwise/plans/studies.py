@@ -19,7 +19,7 @@ from ..runtime import cut
 
 # K percentages of the ranking curves, target figures, reference gain.
 KS = (0.5, 1.0, 2.0, 3.0, 5.0, 7.5, 10.0)
-TARGET_RECALL_K3, TARGET_PRECISION_K1 = 0.60, 0.15
+TARGET_RECALL_K3, TARGET_PRECISION_K1 = 0.85, 0.15
 REFERENCE_GAIN_PCT, REFERENCE_TOLERANCE_PP = 36.0, 5.0
 
 
