@@ -49,9 +49,10 @@ def kendall(t: Inputs):
         F.avg("prob").alias("w0"), (F.avg("mw") / 250.0).alias("w1"), (F.avg("x") / 900000.0).alias("w2"),
         (F.avg("y") / 8500000.0).alias("w3"), F.avg(F.col("is_pos").cast("int")).alias("w4"),
         F.stddev_pop("prob").alias("w5"), (F.stddev_pop("mw") / 250.0).alias("w6"))
-    a = w.select(F.col("d").alias("d1"), *[F.col(f"w{i}").alias(f"a{i}") for i in range(7)])
+    later = F.explode(F.array(*[F.lit(i) for i in range(4)]))
+    a = w.select(F.col("d").alias("d1"), *[F.col(f"w{i}").alias(f"a{i}") for i in range(7)], later.alias("d2"))
     b = w.select(F.col("d").alias("d2"), *[F.col(f"w{i}").alias(f"b{i}") for i in range(7)])
-    pairs = a.join(b, F.col("d1") < F.col("d2"))  # four designs, six pairs
+    pairs = a.where(F.col("d2") > F.col("d1")).join(b, "d2")  # four designs, six pairs
     tau = R.kendall_columns([F.col(f"a{i}") for i in range(7)], [F.col(f"b{i}") for i in range(7)])
     return rounded(pairs.select("d1", "d2", tau.alias("tau")))
 

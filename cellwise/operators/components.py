@@ -73,7 +73,7 @@ def label_components(mask: DataFrame, grid: GridSpec, by: str | None = None, til
     cells = mask.select(layer.alias("layer"), F.col("r").cast("bigint"), F.col("c").cast("bigint"))
     width, area = grid.width, grid.width * grid.height
 
-    def local(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["r", "c"], ignore_index=True)
         r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
         lab = _label_block(r, c, tile)

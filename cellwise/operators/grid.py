@@ -10,6 +10,8 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -270,9 +272,6 @@ def apply_tiled(df: DataFrame, value: str, tile: int, halo: int, fn: Callable, s
     A group holds at most ``(tile + 2 * halo)^2`` cells. Tiles whose interior has
     no data are left out when ``skip_empty`` is set.
     """
-    import numpy as np
-    import pandas as pd
-
     reach = range(-math.ceil(halo / tile), math.ceil(halo / tile) + 1) if halo else range(1)
     tr, tc = F.expr(f"r div {tile}"), F.expr(f"c div {tile}")
     spread = df.where(F.col(value).isNotNull()).select(
@@ -284,7 +283,7 @@ def apply_tiled(df: DataFrame, value: str, tile: int, halo: int, fn: Callable, s
         & (F.col("c") >= F.col("tc") * tile - halo) & (F.col("c") < (F.col("tc") + 1) * tile + halo)
         & (F.col("tr") >= 0) & (F.col("tc") >= 0))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = int(key[0]) * tile - halo, int(key[1]) * tile - halo
         side = tile + 2 * halo
         block = np.full((side, side), np.nan)

@@ -76,8 +76,11 @@ def _fill(runs: DataFrame, polygon: str) -> DataFrame:
 def _touched(edges: DataFrame, polygon: str, grid: GridSpec, slack: float) -> DataFrame:
     """Cells that an edge passes through, with the edge."""
     eps_y, eps_x = slack * grid.dy, slack * grid.dx
-    top = F.greatest(grid.row(F.greatest("y1", "y2") + eps_y), F.lit(0).cast("bigint"))
-    low = F.least(grid.row(F.least("y1", "y2") - eps_y), F.lit(grid.height - 1).cast("bigint"))
+    # a cell met only in a point of its far side does not count
+    last_row = F.ceil((F.lit(grid.y0) - F.least("y1", "y2") + eps_y) / F.lit(grid.dy)) - 1
+    first_row = grid.row(F.greatest("y1", "y2") + eps_y)
+    top = F.greatest(first_row, F.lit(0).cast("bigint"))
+    low = F.least(F.greatest(first_row, last_row), F.lit(grid.height - 1).cast("bigint"))
     rows = edges.where(top <= low).select(polygon, "x1", "y1", "x2", "y2",
                                           F.explode(F.sequence(top, low)).alias("r"))
     y_hi = F.lit(grid.y0) - F.col("r") * grid.dy + eps_y
@@ -91,8 +94,10 @@ def _touched(edges: DataFrame, polygon: str, grid: GridSpec, slack: float) -> Da
 
     lo = F.coalesce(F.least(x_at(y_hi), x_at(y_lo)), F.least("x1", "x2"))
     hi = F.coalesce(F.greatest(x_at(y_hi), x_at(y_lo)), F.greatest("x1", "x2"))
-    c0 = F.greatest(grid.column(lo - eps_x), F.lit(0).cast("bigint"))
-    c1 = F.least(grid.column(hi + eps_x), F.lit(grid.width - 1).cast("bigint"))
+    first = grid.column(lo - eps_x)
+    last = F.ceil((hi + eps_x - F.lit(grid.x0)) / F.lit(grid.dx)) - 1
+    c0 = F.greatest(first, F.lit(0).cast("bigint"))
+    c1 = F.least(F.greatest(first, last), F.lit(grid.width - 1).cast("bigint"))
     rows = rows.select("*", c0.alias("c0"), c1.alias("c1")).where(F.col("c0") <= F.col("c1"))
     return rows.select(polygon, "r", F.explode(F.sequence("c0", "c1")).alias("c"), "x1", "y1", "x2", "y2")
 
