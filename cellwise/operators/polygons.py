@@ -152,7 +152,9 @@ def memberships(points: DataFrame, edges: DataFrame, key: str, polygon: str) ->
                 .withColumn("ref", F.coalesce("ref", F.lit(0))))
     at = points.dropna(subset=["x", "y"]).select(
         key, F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
-    at = at.select("*", grid.row("py").alias("r"), grid.column("px").alias("c")).where(grid.holds())
+    left, low, right, high = grid.bounds
+    at = at.where(F.col("px").between(left, right) & F.col("py").between(low, high)).select(
+        "*", grid.row("py").alias("r"), grid.column("px").alias("c"))
     both = at.join(index, ["r", "c"])
     whole = both.where(F.col("x1").isNull()).select(key, polygon)
     # From the point east to the side of the cell, then along it to the reference.

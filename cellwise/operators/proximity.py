@@ -79,6 +79,7 @@ def spatial_duplicates(records: DataFrame, key: str, tol: float, x: str = "x", y
     reach = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
     p = records.dropna(subset=[x, y]).select(
         F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    p = p.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
     p = p.select("*", F.floor(F.col("x") / side).alias("sx"), F.floor(F.col("y") / side).alias("sy"))
     offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in reach]))
     pending, kept = cut(p), None
