@@ -1,4 +1,4 @@
 """All registered queries with their oracle text."""
 
-from . import algebra, raster, records, spatial, statistics  # noqa: F401
+from . import algebra, learning, raster, records, spatial, statistics  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

@@ -83,7 +83,7 @@ def spatial_duplicates(records: DataFrame, key: str, tol: float, x: str = "x", y
     p = p.select("*", F.floor(F.col("x") / side).alias("sx"), F.floor(F.col("y") / side).alias("sy"))
     offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in reach]))
     pending, kept = cut(p), None
-    while True:
+    while not pending.isEmpty():
         heads = pending.groupBy("sx", "sy").agg(F.min(F.struct("k", "x", "y")).alias("h"))
         heads = heads.select("sx", "sy", "h.*")
         near = heads.select("k", offsets.alias("o"), "sx", "sy").select(
@@ -91,8 +91,6 @@ def spatial_duplicates(records: DataFrame, key: str, tol: float, x: str = "x", y
         first = near.groupBy("sx", "sy").agg(F.min("k").alias("low"))
         chosen = heads.join(first, ["sx", "sy"]).where(F.col("k") == F.col("low")).drop("low")
         chosen = cut(chosen)
-        if chosen.isEmpty():
-            break
         kept = chosen if kept is None else kept.unionByName(chosen)
         around = chosen.select(F.col("k").alias("kk"), F.col("x").alias("kx"), F.col("y").alias("ky"),
                                offsets.alias("o"), "sx", "sy")

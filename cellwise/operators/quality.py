@@ -89,24 +89,29 @@ def validate_sites(df: DataFrame, key: str, rules: Rules = Rules(), region: Data
     at all records, rejected ones too, in key order.
     """
     out = df
-    if region is not None:
-        found = memberships(df, region, key, polygon).select(key).distinct().withColumn("_in", F.lit(True))
-        out = out.join(found, key, "left")
     layers = dict(exclusions or {})
-    if layers:
-        hits = None
-        for name, edges in layers.items():
-            h = memberships(df, edges, key, polygon).select(key, F.lit(name.upper()).alias("_layer"))
-            hits = h if hits is None else hits.unionByName(h)
-        out = out.join(hits.groupBy(key).agg(F.collect_set("_layer").alias("_layers")), key, "left")
+    named = [(f"_zone_{name.upper()}", edges) for name, edges in layers.items()]
+    if region is not None:
+        named.append(("_region", region))
+    if named:
+        # all layers share one index; the polygon key carries the layer
+        edges = None
+        for name, e in named:
+            tagged = e.select(F.concat_ws("|", F.lit(name), F.col(polygon).cast("string")).alias("_poly"),
+                              "x1", "y1", "x2", "y2")
+            edges = tagged if edges is None else edges.unionByName(tagged)
+        hits = memberships(df, edges, key, "_poly").groupBy(key).agg(
+            F.collect_set(F.substring_index("_poly", "|", 1)).alias("_layers"))
+        out = out.join(hits, key, "left")
     dup = spatial_duplicates(df, key, rules.duplicate_m)
     out = out.join(dup.select(key, F.col("kept").alias("_kept"), F.col("dist").alias("_gap")), key, "left")
     placed = F.col("x").isNotNull() & F.col("y").isNotNull()
     parts = geometry_reasons(rules, ring_valid=ring_valid)
     if region is not None:
-        parts.append(F.when(placed & F.col("_in").isNull(), "FUERA_DE_REGION_DE_ESTUDIO"))
+        parts.append(F.when(
+            placed & ~F.coalesce(F.array_contains("_layers", "_region"), F.lit(False)), "FUERA_DE_REGION_DE_ESTUDIO"))
     for name in layers:
-        parts.append(F.when(F.array_contains("_layers", name.upper()),
+        parts.append(F.when(F.array_contains("_layers", f"_zone_{name.upper()}"),
                             f"INTERSECTA_ZONA_EXCLUSION_{name.upper()}"))
     parts += technical_reasons(rules, df.columns)
     parts.append(F.when(F.col("_kept").isNotNull(), F.format_string(
@@ -115,7 +120,7 @@ def validate_sites(df: DataFrame, key: str, rules: Rules = Rules(), region: Data
     ok = F.size("reasons") == 0
     return out.withColumn("es_valido", ok).withColumn(
         "motivos_rechazo", F.when(ok, "OK").otherwise(F.array_join("reasons", "; "))).drop(
-        "_in", "_layers", "_kept", "_gap")
+        "_layers", "_kept", "_gap")
 
 
 def reason_histogram(validated: DataFrame) -> DataFrame:

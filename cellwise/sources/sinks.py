@@ -103,7 +103,7 @@ def to_insert_sql(df: DataFrame, table: str = "instalaciones_solares_optimas", s
         if name not in df.columns:
             return F.lit(default)
         c = F.col(name).cast("double")
-        return F.coalesce(F.when(~F.isnan(c), F.format_string(f"%.{digits}f", c)), F.lit(default))
+        return F.coalesce(F.when(c.isNotNull() & ~F.isnan(c), F.format_string(f"%.{digits}f", c)), F.lit(default))
 
     plain = lambda c: F.regexp_replace(c.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
     point = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.concat(
