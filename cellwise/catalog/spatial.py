@@ -11,6 +11,7 @@ from ..operators import proximity as X
 from ..operators import sampling as S
 from ..operators.nearest import nearest, nearest_distance, within
 from ..operators.ranks import summary
+from ..runtime import cut
 from ..sources import readers
 from .base import M, Inputs, query, rounded
 
@@ -31,7 +32,7 @@ def nearest_join_attrs(t: Inputs):
 
 @query("nearest_describe", BEST_POINT + f""" SELECT count(*) AS n, {M('min(dist)/1000')} AS min_km, {M('avg(dist)/1000')} AS mean_km, {M('quantile_cont(dist,0.5)/1000')} AS p50_km, {M('max(dist)/1000')} AS max_km FROM near""")
 def nearest_describe(t: Inputs):
-    d = nearest(t.sites, t.infra, "site_id", "infra_id")
+    d = cut(nearest(t.sites, t.infra, "site_id", "infra_id"))
     s = summary(d, "dist", probs={"p50": 0.5})
     return rounded(s.select("n", *[(F.col(c) / 1000).alias(f"{c}_km") for c in ("min", "mean", "p50", "max")]))
 
@@ -100,7 +101,7 @@ def nearest_types(t: Inputs):
 SELECT is_pos, count(*) - count(dist) AS n_missing, count(*) AS n, {M('quantile_cont(dist,0.5)')} AS mediana FROM sites LEFT JOIN v USING (site_id) GROUP BY 1""")
 def distance_by_class(t: Inputs):
     d = I.visible_distance(t.sites, t.infra, "site_id", "infra_id", "previas", "f_ref", 36)
-    return rounded(I.distance_by_class(t.sites.select("site_id", "is_pos").join(d, "site_id"), "is_pos"))
+    return rounded(I.distance_by_class(cut(t.sites.select("site_id", "is_pos").join(d, "site_id")), "is_pos"))
 
 
 # -- buffers and domains -------------------------------------------------------------------

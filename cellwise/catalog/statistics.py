@@ -8,6 +8,7 @@ from ..functions import columns as K
 from ..operators import ranks as R
 from ..operators import sampling as S
 from ..plans import studies as P
+from ..runtime import cut
 from ..sources import sinks
 from .base import M, Inputs, query, rounded
 
@@ -65,7 +66,7 @@ k AS (SELECT clase, rank() OVER (ORDER BY -dist) + (count(*) OVER (PARTITION BY
 def auc_univariate(t: Inputs):
     from ..operators.nearest import nearest_distance
 
-    d = nearest_distance(t.sites.select("site_id", "x", "y", F.col("is_pos").cast("int").alias("clase")), t.infra, "site_id", "infra_id")
+    d = cut(nearest_distance(t.sites.select("site_id", "x", "y", F.col("is_pos").cast("int").alias("clase")), t.infra, "site_id", "infra_id"))
     return rounded(R.auc(d.withColumn("closeness", -F.col("dist")), "closeness", "clase"))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, partitions
 from .grid import GridSpec
 
 
@@ -57,13 +57,21 @@ def distance_transform(mask: DataFrame, grid: GridSpec) -> DataFrame:
     gap = F.least(F.col("r") - above, below - F.col("r"))  # least skips NULL
     vertical = full.select("r", "c", (gap * F.lit(grid.dy)).alias("g"))
     width, dx = grid.width, grid.dx
+    # rows travel in bands of bounded size, to pay the call overhead once per band
+    band = F.expr(f"r div {max(1, min(32, 2_000_000 // width))}")
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["g"]).sort_values("c")
-        d2 = _row_minimum(pdf["g"].to_numpy() ** 2, pdf["c"].to_numpy(), width, dx)
-        return pd.DataFrame({"r": pdf["r"].iloc[0], "c": np.arange(width), "dist": np.sqrt(d2)})
+        pdf = pdf.dropna(subset=["g"]).sort_values(["r", "c"])
+        r, c, g2 = pdf["r"].to_numpy(), pdf["c"].to_numpy(), pdf["g"].to_numpy() ** 2
+        rows, start = np.unique(r, return_index=True)
+        ends = np.append(start[1:], len(r))
+        d2 = [_row_minimum(g2[i:j], c[i:j], width, dx) for i, j in zip(start, ends)]
+        return pd.DataFrame({"r": np.repeat(rows, width), "c": np.tile(np.arange(width), len(rows)),
+                             "dist": np.sqrt(np.concatenate(d2))})
 
-    return vertical.groupBy("r").applyInPandas(across, "r bigint, c bigint, dist double")
+    # a fixed partition count: the work per byte is too high to let partitions be merged
+    spread = vertical.withColumn("band", band).repartition(partitions(mask), "band")
+    return spread.groupBy("band").applyInPandas(across, "r bigint, c bigint, dist double")
 
 
 def spatial_duplicates(records: DataFrame, key: str, tol: float, x: str = "x", y: str = "y") -> DataFrame:

@@ -21,6 +21,10 @@ from ..functions.columns import add, col
 from ..runtime import cut, partitions
 
 
+# Up to this many rows the order fits one window partition and needs no ranges.
+SMALL_ROWS = 250_000
+
+
 @dataclass(frozen=True)
 class Ranges:
     """Cut points of a column and the number of rows they were taken from."""
@@ -58,13 +62,20 @@ def cumulative(df: DataFrame, value: str, sums: Mapping[str, Column] | None = No
     """
     sums = dict(sums or {"n": F.count(F.lit(1))})
     by = list(by)
+    if value in sums or value in by:
+        raise ValueError(f"column {value} is both the value and a sum or group")
     df = df.where(F.col(value).isNotNull())
     ranges = ranges or value_ranges(df, value)
-    counts = _bucket(df.groupBy(*by, value).agg(*[c.alias(s) for s, c in sums.items()]),
-                     value, ranges, "_range")
+    counts = df.groupBy(*by, value).agg(*[c.alias(s) for s, c in sums.items()])
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if ranges.rows <= SMALL_ROWS:
+        under = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(
+            *by, value, *sums, *[F.coalesce(F.sum(s).over(under), F.lit(0)).alias(f"{s}_before") for s in sums],
+            *[F.sum(s).over(group).alias(f"{s}_total") for s in sums])
+    counts = _bucket(counts, value, ranges, "_range")
     # At most one row per range and group; the constant key only names the
     # ungrouped case, where this window sees no more rows than there are ranges.
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     below = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.groupBy(*by, "_range").agg(*[F.sum(s).alias(s) for s in sums])
     shift = shift.select(
@@ -104,8 +115,8 @@ def quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
                                      for k, p in probs.items()])
     if method != "exact":
         raise ValueError(f"unknown quantile method: {method}")
-    table = cumulative(df, value, by=by)
-    return table.groupBy(*by).agg(*[_at(table, value, p).alias(k) for k, p in probs.items()])
+    table = cumulative(df.select(*by, F.col(value).alias("_v")), "_v", by=by)
+    return table.groupBy(*by).agg(*[_at(table, "_v", p).alias(k) for k, p in probs.items()])
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = (),
@@ -113,11 +124,12 @@ def summary(df: DataFrame, value: str, by: Sequence[str] = (),
     """Count, extremes, mean, chosen quantiles and deviation from one cumulative table."""
     by = list(by)
     probs = probs or {"p50": 0.5, "p90": 0.9}
-    v, n = F.col(value), F.col("n")
-    table = cumulative(df, value, by=by)
+    df = df.select(*by, F.col(value).alias("_v"))
+    v, n = F.col("_v"), F.col("n")
+    table = cumulative(df, "_v", by=by)
     aggs = [F.sum(n).alias("n"), F.min(v).alias("min"),
             (F.sum(v * n) / F.sum(n)).alias("mean"),
-            *[_at(table, value, p).alias(k) for k, p in probs.items()],
+            *[_at(table, "_v", p).alias(k) for k, p in probs.items()],
             F.max(v).alias("max")]
     out = table.groupBy(*by).agg(*aggs)
     if std is not None:

@@ -92,8 +92,7 @@ def stratified_split(df: DataFrame, key: str, label: str, share: float, seed: in
     cuts = (cumulative(drawn.select(label, "_draw"), "_draw", by=[label])
             .where(F.col("n_before") < F.floor(F.col("n_total") * share + 0.5))
             .groupBy(label).agg(F.max("_draw").alias("_cut")))
-    # one row per class
-    return (drawn.join(cuts, label, "left")
+    return (drawn.join(F.broadcast(cuts), label, "left")  # one row per class
             .withColumn("is_test", F.coalesce(F.col("_draw") <= F.col("_cut"), F.lit(False)))
             .drop("_draw", "_cut"))
 
@@ -154,8 +153,14 @@ def cluster_bootstrap(cells: DataFrame, block: str, a: str, b: str, n_boot: int,
     """
     if every > 1:
         cells = numbered(cells, list(order)).where(F.pmod("position", F.lit(every)) == 0).drop("position")
-    merged = cells.groupBy(block, a, b).agg(F.count(F.lit(1)).alias("_m"))
-    drawn = _multiplicity(cells, block, n_boot, seed).join(merged, block)
+    # a block may hold a large share of the cells: its cells are spread over salts
+    # and the short list of draws is repeated for each
+    salts = 16
+    merged = cells.groupBy(block, a, b).agg(F.count(F.lit(1)).alias("_m")).withColumn(
+        "_salt", F.pmod(F.xxhash64(a, b), F.lit(salts)).cast("int"))
+    times = _multiplicity(cells, block, n_boot, seed).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    drawn = times.join(merged, [block, "_salt"])
     return spearman(drawn, a, b, by=["rep"], weight=F.col("times") * F.col("_m")).select("rep", "rho")
 
 

@@ -224,19 +224,20 @@ def topk_metrics(valid: DataFrame, prob: str, ks: Sequence[float] = KS) -> DataF
     All thresholds and all sums come from one cumulative table of the scores.
     """
     has_foot = "in_foot" in valid.columns
-    sums = {"n": F.count(F.lit(1)), "p": F.sum("n_plants"),
-            "f": F.count_if("in_foot") if has_foot else F.count_if(F.lit(False))}
+    sums = {"_n": F.count(F.lit(1)), "_p": F.sum("n_plants"),
+            "_f": F.count_if("in_foot") if has_foot else F.count_if(F.lit(False))}
     t = cut(cumulative(valid, prob, sums))
     names = {f"t{i}": 1.0 - k / 100.0 for i, k in enumerate(ks)}
-    lim = one(t.agg(*[_at(t, prob, q).alias(n) for n, q in names.items()]))
+    lim = one(t.agg(*[_at(t, prob, q, "_n").alias(n) for n, q in names.items()]))
     s = t.withColumn("_l", lim)
     rows = s.agg(*[e for i, _ in enumerate(ks) for e in (
         F.max(F.col(f"_l.t{i}")).alias(f"t{i}"),
-        *[F.sum(F.when(F.col(prob) >= F.col(f"_l.t{i}"), F.col(c)).otherwise(0)).alias(f"{c}{i}") for c in "npf"])],
-        F.max("n_total").alias("n_valid"), F.max("p_total").alias("n_plants"), F.max("f_total").alias("n_foot"))
+        *[F.sum(F.when(F.col(prob) >= F.col(f"_l.t{i}"), F.col(c)).otherwise(0)).alias(f"{c}{i}")
+          for c in ("_n", "_p", "_f")])],
+        F.max("_n_total").alias("n_valid"), F.max("_p_total").alias("n_plants"), F.max("_f_total").alias("n_foot"))
     out = rows.select("n_valid", "n_plants", "n_foot", F.explode(F.array(*[
-        F.struct(F.lit(float(k)).alias("k"), F.col(f"t{i}").alias("threshold"), F.col(f"n{i}").alias("n_top"),
-                 F.col(f"p{i}").alias("captured"), F.col(f"f{i}").alias("foot_hit"))
+        F.struct(F.lit(float(k)).alias("k"), F.col(f"t{i}").alias("threshold"), F.col(f"_n{i}").alias("n_top"),
+                 F.col(f"_p{i}").alias("captured"), F.col(f"_f{i}").alias("foot_hit"))
         for i, k in enumerate(ks)])).alias("m")).select("n_valid", "n_plants", "n_foot", "m.*")
     ceiling = F.try_divide(F.col("n_foot"), F.col("n_top"))
     precision = F.try_divide(F.col("foot_hit"), F.col("n_top"))
