@@ -149,9 +149,9 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (),
                   ranges: Ranges | None = None) -> DataFrame:
     """Centred average rank of each distinct value: rank minus the mean rank."""
     n = F.sum(weight) if weight is not None else F.count(F.lit(1))
-    t = cumulative(df, value, {"n": n}, by, ranges)
-    centred = F.col("n_before") + (F.col("n") + 1) / 2.0 - (F.col("n_total") + 1) / 2.0
-    return t.select(*by, value, "n", centred.alias(name))
+    t = cumulative(df, value, {"_n": n}, by, ranges)
+    centred = F.col("_n_before") + (F.col("_n") + 1) / 2.0 - (F.col("_n_total") + 1) / 2.0
+    return t.select(*by, value, "_n", centred.alias(name))
 
 
 def attach(big: DataFrame, lookup: DataFrame, keys: Sequence[str], payload: str,
@@ -162,8 +162,8 @@ def attach(big: DataFrame, lookup: DataFrame, keys: Sequence[str], payload: str,
     broadcast; their rows are scattered by a salt in the shuffled join.
     """
     keys = list(keys)
-    hot = lookup.where(F.col("n") > hot_rows).select(*keys, F.col(payload).alias("_hot"))
-    cold = lookup.where(F.col("n") <= hot_rows).select(
+    hot = lookup.where(F.col("_n") > hot_rows).select(*keys, F.col(payload).alias("_hot"))
+    cold = lookup.where(F.col("_n") <= hot_rows).select(
         *keys, F.lit(0).cast("bigint").alias("_salt"), F.col(payload).alias("_cold"))
     out = big.join(F.broadcast(hot), keys, "left")
     salt = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(*big.columns), F.lit(997)))
@@ -174,25 +174,25 @@ def attach(big: DataFrame, lookup: DataFrame, keys: Sequence[str], payload: str,
 
 def with_ranks(df: DataFrame, values: Sequence[str], by: Sequence[str] = (),
                weight: Column | None = None) -> DataFrame:
-    """Distinct value tuples with their mass ``w`` and a centred rank per value."""
+    """Distinct value tuples with their ``_mass`` and a centred rank per value."""
     by, values = list(by), list(values)
     df = df.dropna(subset=values)
     w = F.sum(weight) if weight is not None else F.count(F.lit(1))
-    pairs = df.groupBy(*by, *values).agg(w.alias("w"))
+    pairs = df.groupBy(*by, *values).agg(w.alias("_mass"))
     out = pairs
     for v in values:
         ranges = value_ranges(df, v)
         table = average_ranks(df, v, by, weight, f"rank_{v}", ranges)
         hot_rows = max(1.0, ranges.rows / max(partitions(df), 1))
-        if weight is not None:
-            hot_rows = float("inf")  # masses are not row counts: leave the split to AQE
-        out = attach(out, table, [*by, v], f"rank_{v}", hot_rows) if weight is None \
-            else out.join(table.drop("n"), [*by, v])
+        if weight is None:
+            out = attach(out, table, [*by, v], f"rank_{v}", hot_rows)
+        else:  # masses are not row counts: the split of hot values is left to AQE
+            out = out.join(table.drop("_n"), [*by, v])
     return out
 
 
 def rank_correlation(ranked: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    da, db, w = F.col(f"rank_{a}"), F.col(f"rank_{b}"), F.col("w")
+    da, db, w = F.col(f"rank_{a}"), F.col(f"rank_{b}"), F.col("_mass")
     return ranked.groupBy(*by).agg(
         F.try_divide(F.sum(w * da * db), F.sqrt(F.sum(w * da * da) * F.sum(w * db * db))).alias("rho"),
         F.sum(w).alias("n"))
@@ -208,7 +208,7 @@ def spearman_matrix(df: DataFrame, values: Sequence[str]) -> DataFrame:
     """Long correlation matrix: one row per ordered pair of columns."""
     values = list(values)
     ranked = with_ranks(df, values)
-    w = F.col("w")
+    w = F.col("_mass")
     pairs = [(a, b) for a in values for b in values]
     cells = ranked.agg(*[
         F.try_divide(F.sum(w * F.col(f"rank_{a}") * F.col(f"rank_{b}")),
