@@ -53,7 +53,9 @@ def distance_transform(mask: DataFrame, grid: GridSpec) -> DataFrame:
     full = grid.cells(spark).join(marks.withColumn("m", F.col("r")), ["r", "c"], "left")
     down = Window.partitionBy("c").orderBy("r")
     above = F.last("m", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first("m", ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing))
+    # the other direction runs on the reversed order: a frame that only grows costs one pass
+    up = Window.partitionBy("c").orderBy(F.desc("r"))
+    below = F.last("m", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))
     gap = F.least(F.col("r") - above, below - F.col("r"))  # least skips NULL
     vertical = full.select("r", "c", (gap * F.lit(grid.dy)).alias("g"))
     width, dx = grid.width, grid.dx
