@@ -13,10 +13,16 @@ def partitions(df: DataFrame) -> int:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Reliable checkpoint folder: the cluster's when named, else one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Reliable checkpoint folder: the one named by ``spark.checkpoint.dir``.
+
+    Only a local session, whose tasks share the driver's disk, may do without the setting: it gets a folder of its own.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        local = sc.master == "local" or sc.master.startswith("local[")
+        if named is None and not local:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
