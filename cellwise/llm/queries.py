@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import secret_scan
+from . import circulant, secret_scan
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,11 @@ def query(name: str, sql: str | None = None):
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.digest(secret_scan.scan(docs))
+
+
+@query("op5_circulant_minhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = circulant.near_duplicates(table(spark, sf_dir, "documents"), width=4, similarity=80)
+    null = lambda c: F.nullif(c, F.lit(circulant.NULL_ID))
+    return found.select(null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"),
+                        null(F.col("component_id")).alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
