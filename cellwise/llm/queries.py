@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import circulant, secret_scan
-from .common import table
+from . import circulant, classlm, language, secret_scan
+from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     null = lambda c: F.nullif(c, F.lit(circulant.NULL_ID))
     return found.select(null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"),
                         null(F.col("component_id")).alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = language.fit(docs, ~held_out)
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_brown_classes")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classlm.score(docs, remainder(F.col("doc_id"), 10) == 0).withColumnRenamed("id", "doc_id")
