@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import circulant, classlm, language, secret_scan
-from .common import remainder, table
+from . import bottomk, circulant, classlm, language, mixing, secret_scan
+from .common import remainder, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_mixing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = stored(mixing.placed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=False))
+    sources, pieces = mixing.mixed(place)
+    return mixing.summary(place, sources, pieces).withColumnRenamed("id", "doc_id")
+
+
 @query("op3_secret_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,6 +44,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                         null(F.col("component_id")).alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+@query("op7_bottom_k")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bottomk.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    own, changed, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return found.select(
+        F.nullif(F.col("id"), F.lit(bottomk.NULL_ID)).alias("doc_id"), "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        bottomk.as_text(own).alias("fingerprint"), bottomk.as_text(changed).alias("edited_fingerprint"),
+        bottomk.resemblance(own, changed).alias("near_edited"), bottomk.resemblance(own, following).alias("near_next"))
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
