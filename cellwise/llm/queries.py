@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, circulant, classlm, language, mixing, packing, secret_scan
+from . import bottomk, circulant, classlm, language, mixing, packing, perspectives, secret_scan, url_model
 from .common import remainder, stored, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +44,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs))
 
 
+@query("op4_url_model")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_model.judged(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op5_circulant_minhash")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = circulant.near_duplicates(table(spark, sf_dir, "documents"), width=4, similarity=80)
@@ -52,6 +58,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                         null(F.col("component_id")).alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+@query("op6_perspectives", perspectives.SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotated(table(spark, sf_dir, "conversations"))
+
+
 @query("op7_bottom_k")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bottomk.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
