@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, circulant, classlm, language, mixing, packing, perspectives, secret_scan, url_model
+from . import bottomk, circulant, classlm, language, mixing, packing, perspectives, secret_scan, spherical, url_model
 from .common import remainder, stored, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +74,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         bottomk.resemblance(own, changed).alias("near_edited"), bottomk.resemblance(own, following).alias("near_next"))
 
 
+@query("op8_spherical_caps")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spherical.linked_vectors(table(spark, sf_dir, "embeddings"))
+    null = lambda c: F.nullif(F.col(c), F.lit(spherical.NULL_ID))
+    return found.select(null("id").alias("vec_id"), "n_links", null("component_id").alias("component_id"),
+                        (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
