@@ -147,9 +147,9 @@ def _transit(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
 def _tallies(train: DataFrame, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Class counts before and after each unit over the whole training corpus."""
     rows = (train.select("units").mapInArrow(partial(_tally, classes=classes, n_classes=n_classes), TALLIED)
-            .groupBy("key").agg(F.sum("n").alias("n")).toPandas())
+            .groupBy("key").agg(F.sum("n").alias("n")).toArrow())
     both = np.zeros(2 * len(classes) * n_classes, np.int64)
-    both[rows["key"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    both[rows["key"].to_numpy()] = rows["n"].to_numpy()
     return tuple(both.reshape(2, len(classes), n_classes))
 
 
@@ -211,11 +211,11 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = n_words + n_docs, distinct + (n_docs > 0)
 
-    listed = _frequent(counts, dictionary).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    listed = _frequent(counts, dictionary).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     own = _frequent(counts, clustered).count()
-    index = {bytes(w): i for i, w in enumerate(listed["word"])}
+    index = {w: i for i, w in enumerate(listed["word"].to_pylist())}
     unit = np.array([1 + SHAPES + i if i < own else shape(w) for i, w in enumerate(index)], np.uint16)
-    logs = np.log10(listed["c"].to_numpy(float) + ADD) if len(index) else np.zeros(0)
+    logs = np.log10(listed["c"].to_numpy() + ADD)
     n_units = 1 + SHAPES + own
     lists = sc.broadcast((index, unit, logs))
 
@@ -247,9 +247,9 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
 
 def _words_per_unit(counts: DataFrame, lists, n_units: int) -> np.ndarray:
     rows = (counts.select("word").mapInArrow(partial(_unit_words, lists=lists), TALLIED)
-            .groupBy("key").agg(F.sum("n").alias("n")).toPandas())
+            .groupBy("key").agg(F.sum("n").alias("n")).toArrow())
     out = np.zeros(n_units, np.int64)
-    out[rows["key"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out[rows["key"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 

@@ -138,11 +138,11 @@ def fit(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
     for name, n in counts.items():
         chance = F.when(F.col("lang") == name, F.lit(each / n)).otherwise(chance)
     drawn = F.pmod(F.xxhash64("key", "text", F.lit(11)), F.lit(1 << 40)) < chance * (1 << 40)
-    got = rows.where(drawn).select("lang", _features("text").alias("x")).where("x is not null").limit(2 * sample).toPandas()
-    got = got.sort_values(["lang", "x"])
-    if got.empty:
+    got = rows.where(drawn).select("lang", _features("text").alias("x")).where("x is not null").limit(2 * sample).toArrow()
+    got = got.sort_by([("lang", "ascending"), ("x", "ascending")])
+    if not len(got):
         return None
-    return Classifier(np.array([np.frombuffer(v, np.float32) for v in got["x"]]), got["lang"].to_numpy(object))
+    return Classifier(np.array([np.frombuffer(v, np.float32) for v in got["x"].to_pylist()]), np.array(got["lang"].to_pylist(), object))
 
 
 def identify(docs: DataFrame, model: Classifier | None, text: str = "text", batch: int = 512) -> DataFrame:
