@@ -36,7 +36,7 @@ def documents(spark, seed=1, n=60):
         texts.append(" ".join(base))
         texts[5] = " ".join(texts[5].split(" "))
     rows = [(i, t, ["en", "de", None][i % 3], ["b", "a", None, "c"][i % 4], len(t or "")) for i, t in enumerate(texts)]
-    rows += [rows[7], rows[7], (None, texts[2], "en", "a", 3), (None, None, None, None, None)]
+    rows += [rows[7], rows[7], (None, texts[2], "en", "a", len(texts[2])), (None, None, None, None, None)]
     return spark.createDataFrame([(*r, *["x"] * 10) for r in rows], SCHEMA)
 
 
