@@ -5,9 +5,9 @@ circularly once per coordinate, ranks them; a coordinate is the smallest rank of
 candidates, and links are confirmed on full shingle sets.
 
 * Documents with equal sets form one class by a pre-aggregated group-by, however many copies there are.
-* Classes that share a band meet in a bucket. A bucket never emits its pairs: in each round a few leaders, taken from the
-  smallest components present, are compared with the others that are not yet known to be connected, and leave. A
-  bucket ends when all that remain are connected. Every pair of a bucket is thus compared, already joined, or ruled
+* Classes that share a band meet in a bucket. A bucket never emits its pairs: in each round a few leaders, those that
+  share most of their content, are compared with the others that are not yet known to be connected, and leave. A bucket
+  ends when all that remain are connected. Every pair of a bucket is thus compared, already joined, or ruled
   out, so components are those of all links; leaders per bucket grow eightfold, so rounds are logarithmic in a bucket.
 * Shingles that no other candidate holds bound the similarity of a set to any other, so most pairs that share a passage
   or differ in many places are ruled out exactly without being compared.
@@ -151,11 +151,11 @@ def class_links(classes: DataFrame, sets_of, similarity: int) -> DataFrame | Non
         active = stored(active.join(open_, "bucket", "left_semi"))
         if active.isEmpty():
             return labels
-        present = active.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.min(F.struct("own", "node", "n")).alias("first"))
-        leaders = stored(present.groupBy("bucket", F.pmod(F.xxhash64("first.node"), F.lit(leaders_each)).alias("slot"))
-                         .agg(F.min(F.struct("c", "first", "comp")).alias("l"))
-                         .select("bucket", F.col("l.first.node").alias("leader"), F.col("l.first.n").alias("leader_n"),
-                                 F.col("l.first.own").alias("leader_own"), F.col("l.comp").alias("leader_comp")))
+        rank = F.struct((F.col("own") - F.col("n")).alias("shared"), "own", "node", "n", "comp")  # most shared content first
+        leaders = stored(active.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders_each)).alias("slot"))
+                         .agg(F.min(rank).alias("l")).select(
+            "bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.own").alias("leader_own"),
+            F.col("l.comp").alias("leader_comp")))
         most = F.least(F.col("n") - F.col("own"), F.col("leader_n") - F.col("leader_own"))
         union = F.greatest(F.col("n") + F.col("leader_own"), F.col("leader_n") + F.col("own"))
         near = active.join(leaders, "bucket").where((F.col("comp") != F.col("leader_comp")) & (100 * most >= similarity * union))
