@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 # Model features in contract order.
 FEATURES = [
-    "ghi", "slope", "elev", "northness",
+    "slope", "ghi", "elev", "northness",
     "dist_transmision", "dist_almacen", "dist_subestaciones",
 ]
 NODATA = -9999.0

@@ -1,6 +1,8 @@
 """Tail probabilities for result rows (a handful of rows per study)."""
 
 import math
+from collections import Counter
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -61,6 +63,46 @@ def p_correlation(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([correlation_p(float(a), float(b)) for a, b in zip(r, n)], dtype="float64")
 
 
+def inversions(n: int) -> list[int]:
+    """How many orders of ``n`` values have 0, 1, 2, ... inversions."""
+    counts = [1]
+    for m in range(2, n + 1):
+        longer = [0] * (len(counts) + m - 1)
+        for k, c in enumerate(counts):
+            for shift in range(m):
+                longer[k + shift] += c
+        counts = longer
+    return counts
+
+
+def kendall_p(a: Sequence[float], b: Sequence[float]) -> float | None:
+    """Two-sided p of Kendall's tau: exact for at most 33 values without ties, else normal with tie corrections.
+
+    None where tau is undefined: fewer than two values, or one vector constant.
+    """
+    n = len(a)
+    if n < 2 or n != len(b) or any(x is None for x in (*a, *b)):
+        return None
+    a, b = [float(x) for x in a], [float(x) for x in b]
+    ties_a, ties_b = (list(Counter(v).values()) for v in (a, b))
+    if len(ties_a) == 1 or len(ties_b) == 1:
+        return None
+    sign = lambda x: (x > 0) - (x < 0)
+    score = sum(sign(a[i] - a[j]) * sign(b[i] - b[j]) for i in range(n) for j in range(i))
+    pairs = n * (n - 1) // 2
+    if max(ties_a + ties_b) == 1 and n <= 33:
+        counts = inversions(n)
+        low = (pairs - abs(score)) // 2
+        return min(1.0, 2.0 * sum(counts[:low + 1]) / sum(counts))
+    tied = lambda ties, f: sum(f(t) for t in ties)
+    spread = lambda t: t * (t - 1) * (2 * t + 5)
+    two, three = (lambda t: t * (t - 1)), (lambda t: t * (t - 1) * (t - 2))
+    variance = (spread(n) - tied(ties_a, spread) - tied(ties_b, spread)) / 18 + tied(ties_a, two) * tied(ties_b, two) / (2 * two(n))
+    if n > 2:
+        variance += tied(ties_a, three) * tied(ties_b, three) / (9 * three(n))
+    return normal_p(score / math.sqrt(variance))
+
+
 @F.pandas_udf(T.DoubleType())
-def p_normal(z: pd.Series) -> pd.Series:
-    return z.astype("float64").map(normal_p)
+def p_kendall(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([kendall_p(list(x), list(y)) for x, y in zip(a, b)], dtype="float64")

@@ -26,9 +26,9 @@ ABLATIONS = {
     "sin_trans": ["slope", "ghi", "elev", "northness", "dist_almacen", "dist_subestaciones"],
     "minimo": ["slope", "ghi", "elev", "northness", "dist_subestaciones"],
 }
-DEFAULTS = {"n_estimators": 100, "max_depth": 7, "min_samples_leaf": 4}
+DEFAULTS = {"n_estimators": 500, "max_depth": 7, "min_samples_leaf": 4}
 # Search space (low, high, step).
-SEARCH_SPACE = {"n_estimators": (100, 1000, 100), "max_depth": (3, 15, 1), "min_samples_leaf": (1, 10, 1)}
+SEARCH_SPACE = {"n_estimators": (100, 1000, 100), "max_depth": (3, 15, 1), "min_samples_leaf": (2, 10, 1)}
 
 
 def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -46,14 +46,16 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
 
 
 def train(df: DataFrame, features: Sequence[str], label: str = "clase",
-          params: Mapping[str, int] | None = None, seed: int = 42) -> RandomForestClassificationModel:
-    """Forest with balanced class weights; parameters follow the usual names."""
+          params: Mapping[str, int] | None = None, seed: int = 42, max_bins: int = 64) -> RandomForestClassificationModel:
+    """Forest with balanced class weights; parameters follow the usual names. Trees are at most 30 levels deep."""
     p = {**DEFAULTS, **(params or {})}
+    if int(p["max_depth"]) > 30:
+        raise ValueError(f"max_depth {p['max_depth']} exceeds 30, the deepest tree that can be built")
     data = balanced(df.dropna(subset=[*features, label]).withColumn(label, F.col(label).cast("double")), label)
     rf = RandomForestClassifier(
         featuresCol="_x", labelCol=label, weightCol="_weight", numTrees=int(p["n_estimators"]),
-        maxDepth=min(30, int(p["max_depth"])), minInstancesPerNode=int(p["min_samples_leaf"]),
-        featureSubsetStrategy="sqrt", maxBins=64, seed=seed)
+        maxDepth=int(p["max_depth"]), minInstancesPerNode=int(p["min_samples_leaf"]),
+        featureSubsetStrategy="sqrt", maxBins=max_bins, seed=seed)
     return rf.fit(_vectors(data, features).select("_x", label, "_weight"))
 
 

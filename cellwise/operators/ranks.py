@@ -21,10 +21,6 @@ from ..functions.columns import add, col
 from ..runtime import cut, partitions
 
 
-# Up to this many rows the order fits one window partition and needs no ranges.
-SMALL_ROWS = 250_000
-
-
 @dataclass(frozen=True)
 class Ranges:
     """Cut points of a column and the number of rows they were taken from."""
@@ -68,11 +64,6 @@ def cumulative(df: DataFrame, value: str, sums: Mapping[str, Column] | None = No
     ranges = ranges or value_ranges(df, value)
     counts = df.groupBy(*by, value).agg(*[c.alias(s) for s, c in sums.items()])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    if ranges.rows <= SMALL_ROWS:
-        under = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(
-            *by, value, *sums, *[F.coalesce(F.sum(s).over(under), F.lit(0)).alias(f"{s}_before") for s in sums],
-            *[F.sum(s).over(group).alias(f"{s}_total") for s in sums])
     counts = _bucket(counts, value, ranges, "_range")
     # At most one row per range and group; the constant key only names the
     # ungrouped case, where this window sees no more rows than there are ranges.
@@ -260,17 +251,17 @@ def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] =
 def take_ranked(df: DataFrame, key: str, tie: str, n: int, descending: bool = False) -> DataFrame:
     """The ``n`` rows with the smallest (or largest) key, ties by the tie column.
 
-    Only two thresholds travel through the driver; the rows are kept by a plain
-    filter that reaches the scan.
+    The order columns are stored once; only two thresholds travel through the
+    driver, and the rows are kept by a plain filter that reaches the scan.
     """
     order = -F.col(key) if descending else F.col(key)
-    keyed = df.withColumn("_key", order.cast("double"))
+    keyed = cut(df.select(*dict.fromkeys([key, tie])).withColumn("_key", order.cast("double")))
     edge = (cumulative(keyed, "_key").where(F.col("n_before") < n)
             .agg(F.max("_key").alias("key"), F.max("n_before").alias("before")).first())
     if edge["key"] is None or n <= 0:
         return df.limit(0)
     level = F.lit(-edge["key"] if descending else edge["key"])
-    at_edge = df.where(F.col(key) == level)
+    at_edge = keyed.where(F.col(key) == level)
     last = (cumulative(at_edge, tie).where(F.col("n_before") < n - edge["before"])
             .agg(F.max(tie).alias("t")).first()["t"])
     beyond = F.col(key) > level if descending else F.col(key) < level

@@ -32,7 +32,7 @@ def random_points(spark: SparkSession, edges: DataFrame, polygon: str,
     """The first ``wanted`` uniform points of a counter sequence that fall in the domain.
 
     ``accept`` is an optional extra ``DataFrame -> DataFrame`` filter of the
-    candidates. The sequence stops at ``max_attempts``.
+    candidates. The sequence stops at ``max_attempts``; too few hits by then are an error.
     """
     x0, y0, x1, y1 = bounds
     tries = min(max_attempts, max(64, 2 * wanted))
@@ -48,7 +48,9 @@ def random_points(spark: SparkSession, edges: DataFrame, polygon: str,
         if found >= wanted or tries >= max_attempts:
             break
         tries = min(max_attempts, int(tries * max(2.0, 1.2 * wanted / max(found, 1))))
-    return hit if found <= wanted else take_ranked(hit, "point_id", "point_id", wanted)
+    if found < wanted:
+        raise ValueError(f"only {found} of {wanted} points fall in the domain after {tries} attempts")
+    return hit if found == wanted else take_ranked(hit, "point_id", "point_id", wanted)
 
 
 def strategy_name(strategy: str) -> str:
@@ -81,11 +83,6 @@ def draw_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return take_ranked(df.withColumn("_draw", score(key, seed)), "_draw", key, n).drop("_draw")
 
 
-def cap_pool(pool: DataFrame, key: str, n_wanted: int, seed: int) -> DataFrame:
-    """Representative pool: at most ``max(4 * wanted, 12000)`` candidates."""
-    return draw_rows(pool, key, max(4 * n_wanted, 12000), seed)
-
-
 def stratified_split(df: DataFrame, key: str, label: str, share: float, seed: int) -> DataFrame:
     """Flag ``is_test`` for a share of each class."""
     drawn = df.withColumn("_draw", score(key, seed))
@@ -145,14 +142,8 @@ def block_bootstrap(blocks: DataFrame, block: str, a: str, b: str, n_boot: int,
     return spearman(drawn, a, b, by=["rep"], weight=F.col("times")).select("rep", "rho")
 
 
-def cluster_bootstrap(cells: DataFrame, block: str, a: str, b: str, n_boot: int, seed: int,
-                      every: int = 1, order: Sequence[str] = ("r", "c")) -> DataFrame:
-    """Cell-level rank correlation when whole blocks are redrawn.
-
-    ``every`` takes each n-th cell in scan order, as a systematic subsample.
-    """
-    if every > 1:
-        cells = numbered(cells, list(order)).where(F.pmod("position", F.lit(every)) == 0).drop("position")
+def cluster_bootstrap(cells: DataFrame, block: str, a: str, b: str, n_boot: int, seed: int) -> DataFrame:
+    """Cell-level rank correlation when whole blocks are redrawn."""
     # a block may hold a large share of the cells: its cells are spread over salts
     # and the short list of draws is repeated for each
     salts = 16

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import FEATURES
-from ..functions.pvalue import p_correlation, p_normal
+from ..functions.pvalue import p_correlation, p_kendall
 from ..operators import aoa as A
 from ..operators import forest as FO
 from ..operators import sampling as S
@@ -111,9 +111,8 @@ def design_agreement(designs: DataFrame, features: Sequence[str] = FEATURES) ->
     na = sum(((p - mid) * (p - mid) for p in ra), F.lit(0.0))
     nb = sum(((q - mid) * (q - mid) for q in rb), F.lit(0.0))
     pairs = pairs.withColumn("rho", F.try_divide(dot, F.sqrt(na * nb)))
-    sd = (2.0 * (2 * n + 5) / (9.0 * n * (n - 1))) ** 0.5
-    return pairs.select("a", "b", "tau", p_normal(F.coalesce(F.col("tau"), F.lit(0.0)) / F.lit(sd)).alias("p_tau"), "rho",
-                        p_correlation(F.coalesce(F.col("rho"), F.lit(0.0)), F.lit(float(n))).alias("p_rho"),
+    return pairs.select("a", "b", "tau", p_kendall(F.array(*va), F.array(*vb)).alias("p_tau"), "rho",
+                        F.when(F.col("rho").isNotNull(), p_correlation("rho", F.lit(float(n)))).alias("p_rho"),
                         (F.col("da") == F.col("db")).alias("misma_dominante"))
 
 

@@ -143,15 +143,14 @@ def mount_reading() -> Column:
 
 # -- decoupling ----------------------------------------------------------------------------------
 
-def decoupling_scope(cells: DataFrame, grid: GridSpec, block_m: float, n_boot: int, seed: int, prob: str, yld: str,
-                     every: int = 1) -> DataFrame:
+def decoupling_scope(cells: DataFrame, grid: GridSpec, block_m: float, n_boot: int, seed: int, prob: str, yld: str) -> DataFrame:
     """Cell and block rank correlations with bootstrap intervals for one set of cells."""
     placed = cut(cells.select("r", "c", prob, yld, K.block_number(grid.x(), grid.y(), block_m).alias("block")))
     blocks = cut(placed.groupBy("block").agg(F.avg(prob).alias("pa"), F.avg(yld).alias("ya")))
     parts = placed.sparkSession.range(1).select(
         one(spearman(placed, prob, yld)).alias("cell"), one(spearman(blocks, "pa", "ya")).alias("block"),
         one(interval(block_bootstrap(blocks, "block", "pa", "ya", n_boot, seed))).alias("bb"),
-        one(interval(cluster_bootstrap(placed, "block", prob, yld, n_boot, seed + 1, every))).alias("cb"))
+        one(interval(cluster_bootstrap(placed, "block", prob, yld, n_boot, seed + 1))).alias("cb"))
     return parts.select(
         F.col("cell.n").alias("n_celdas"), F.col("cell.rho").alias("rho_celda"),
         F.col("block.n").alias("n_bloques"), F.col("block.rho").alias("rho_bloque"),
@@ -189,7 +188,7 @@ def _median_of(t: DataFrame, value: str, n: str) -> Column:
 
 
 def decoupling_study(cells: DataFrame, grid: GridSpec, threshold: float, n_boot: int, seed: int = 42,
-                     block_m: float = 30000.0, prob: str = "prob", yld: str = "yld", every: int = 1) -> DataFrame:
+                     block_m: float = 30000.0, prob: str = "prob", yld: str = "yld") -> DataFrame:
     """Both scopes (zone and suitable cells), one row each."""
     valid = with_status(cells, prob, yld).where(F.col("status") == "valida")
     apt = valid.where(F.col(prob) >= threshold)
@@ -198,7 +197,7 @@ def decoupling_study(cells: DataFrame, grid: GridSpec, threshold: float, n_boot:
     scopes = [("region", valid), ("aptas", apt)]
     out = None
     for name, df in scopes:
-        row = decoupling_scope(df, grid, block_m, n_boot, seed, prob, yld, every).withColumn("ambito", F.lit(name))
+        row = decoupling_scope(df, grid, block_m, n_boot, seed, prob, yld).withColumn("ambito", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -218,6 +217,13 @@ def topk_cells(cells: DataFrame, prob: str, ks: Sequence[float] = KS, plants: Da
     return out
 
 
+def _require_topk(row) -> None:
+    if not row["n"]:
+        raise ValueError("top-K needs at least one cell with a score")
+    if not row["p"]:
+        raise ValueError("top-K needs at least one plant on a cell with a score")
+
+
 def topk_metrics(valid: DataFrame, prob: str, ks: Sequence[float] = KS) -> DataFrame:
     """Per K: threshold, selected area, recall, and area precision with its ceiling.
 
@@ -227,6 +233,7 @@ def topk_metrics(valid: DataFrame, prob: str, ks: Sequence[float] = KS) -> DataF
     sums = {"_n": F.count(F.lit(1)), "_p": F.sum("n_plants"),
             "_f": F.count_if("in_foot") if has_foot else F.count_if(F.lit(False))}
     t = cut(cumulative(valid, prob, sums))
+    _require_topk(t.agg(F.sum("_n").alias("n"), F.sum("_p").alias("p")).first())
     names = {f"t{i}": 1.0 - k / 100.0 for i, k in enumerate(ks)}
     lim = one(t.agg(*[_at(t, prob, q, "_n").alias(n) for n, q in names.items()]))
     s = t.withColumn("_l", lim)
@@ -255,12 +262,17 @@ def topk_metrics(valid: DataFrame, prob: str, ks: Sequence[float] = KS) -> DataF
 def topk_zones(valid: DataFrame, prob: str, grid: GridSpec, ks: Sequence[float] = KS) -> DataFrame:
     """Per K: candidate zones, those with a plant, and the size-aware random baseline."""
     names = {f"t{i}": 1.0 - k / 100.0 for i, k in enumerate(ks)}
-    lim = one(quantiles(valid, prob, names))
-    totals = one(valid.agg(F.count(F.lit(1)).alias("n"), F.sum("n_plants").alias("p")))
+    valid = cut(valid.select("r", "c", "n_plants", prob))
+    table = cut(cumulative(valid, prob, {"_n": F.count(F.lit(1)), "_p": F.sum("n_plants")}))
+    lim = one(table.agg(*[_at(table, prob, q, "_n").alias(n) for n, q in names.items()]))
+    whole = table.agg(F.sum("_n").alias("n"), F.sum("_p").alias("p"))
+    _require_topk(whole.first())
+    totals = one(whole)
     top = valid.withColumn("_l", lim).select("r", "c", "n_plants", prob, F.explode(F.array(*[
         F.struct(F.lit(i).cast("bigint").alias("i"), F.col(f"_l.t{i}").alias("t"))
         for i, _ in enumerate(ks)])).alias("k")).where(F.col(prob) >= F.col("k.t")).select(
         "r", "c", "n_plants", F.col("k.i").alias("ki"))
+    top = cut(top)
     lab = label_components(top, grid, by="ki")
     z = lab.join(top, ["ki", "r", "c"]).groupBy("ki", "zone").agg(
         F.count(F.lit(1)).alias("a"), F.sum("n_plants").alias("p"))

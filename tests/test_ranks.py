@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -6,17 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellwise.functions.pvalue import beta_inc, correlation_p, p_correlation
+from cellwise.functions.columns import FEATURES
+from cellwise.functions.pvalue import beta_inc, correlation_p, inversions, kendall_p, p_correlation
 from cellwise.operators import ranks as R
 
 
-@pytest.fixture(params=["small", "ranges"])
-def path(request, monkeypatch):
-    if request.param == "ranges":
-        monkeypatch.setattr(R, "SMALL_ROWS", -1)
-    return request.param
-
-
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of the rows share one value, the rest are spread."""
@@ -26,12 +21,12 @@ def skewed(spark):
                          "y": rng.integers(0, 2, 900)})
 
 
-def test_quantiles_match_numpy(spark, skewed, path):
+def test_quantiles_match_numpy(spark, skewed):
     q = R.quantiles(spark.createDataFrame(skewed), "v", {"a": 0.01, "b": 0.5, "c": 0.975}).first()
     assert np.allclose([q.a, q.b, q.c], np.percentile(skewed.v, [1, 50, 97.5]))
 
 
-def test_grouped_summary(spark, skewed, path):
+def test_grouped_summary(spark, skewed):
     out = R.summary(spark.createDataFrame(skewed), "v", by=["g"], std="sample").toPandas().set_index("g")
     for g, part in skewed.groupby("g"):
         assert out.loc[g, "n"] == len(part)
@@ -39,19 +34,19 @@ def test_grouped_summary(spark, skewed, path):
         assert np.isclose(out.loc[g, "std"], part.v.std(ddof=1))
 
 
-def test_spearman_with_hot_value(spark, skewed, path):
+def test_spearman_with_hot_value(spark, skewed):
     rho = R.spearman(spark.createDataFrame(skewed), "v", "w").first().rho
     assert np.isclose(rho, skewed.v.rank().corr(skewed.w.rank()))
 
 
-def test_weighted_spearman_repeats_rows(spark, skewed, path):
+def test_weighted_spearman_repeats_rows(spark, skewed):
     df = skewed.assign(m=skewed.id % 3 + 1)
     rho = R.spearman(spark.createDataFrame(df), "v", "w", weight=F.col("m")).first().rho
     rep = df.loc[df.index.repeat(df.m)]
     assert np.isclose(rho, rep.v.rank().corr(rep.w.rank()))
 
 
-def test_auc_and_average_precision(spark, path):
+def test_auc_and_average_precision(spark):
     df = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1)], "s double, y int")
     assert math.isclose(R.auc(df, "s", "y").first().auc, 0.75)
     assert math.isclose(R.average_precision(df, "s", "y").first().average_precision, 0.8333333333333333)
@@ -62,7 +57,7 @@ def test_auc_skips_missing_scores(spark):
     assert R.auc(df, "s", "y").first().auc == 1.0
 
 
-def test_take_ranked_ties(spark, skewed, path):
+def test_take_ranked_ties(spark, skewed):
     got = {r.id for r in R.take_ranked(spark.createDataFrame(skewed), "v", "id", 400, True).collect()}
     want = set(skewed.sort_values(["v", "id"], ascending=[False, True]).id[:400])
     assert got == want
@@ -74,8 +69,7 @@ def test_numbered_is_dense_and_ordered(spark, skewed):
     assert list(out.id) == list(skewed.sort_values(["v", "id"], ascending=[False, True]).id)
 
 
-def test_partition_count_does_not_matter(spark, skewed, monkeypatch):
-    monkeypatch.setattr(R, "SMALL_ROWS", -1)
+def test_partition_count_does_not_matter(spark, skewed):
     df = spark.createDataFrame(skewed)
     rows = [R.cumulative(df.repartition(n), "v").orderBy("v").collect() for n in (1, 5)]
     assert rows[0] == rows[1]
@@ -98,9 +92,26 @@ def test_p_values(spark):
     assert abs(got[0] - 0.14111) < 1e-4 and got[1] == 0.0
 
 
-def test_random_quantiles_many_groups(spark, path):
+def test_random_quantiles_many_groups(spark):
     random.seed(3)
     rows = [(random.randrange(30), random.random()) for _ in range(2000)]
     pdf = pd.DataFrame(rows, columns=["g", "v"])
     out = R.quantiles(spark.createDataFrame(pdf), "v", {"m": 0.5}, by=["g"]).toPandas().set_index("g").m
     assert np.allclose(out.sort_index(), pdf.groupby("g").v.median())
+
+
+def test_kendall_p_is_exact_without_ties():
+    assert inversions(4) == [1, 3, 5, 6, 5, 3, 1]
+    a = list(range(7))
+    assert math.isclose(kendall_p(a, a), 2 / 5040) and math.isclose(kendall_p(a, a[::-1]), 2 / 5040)
+    orders = list(itertools.permutations(range(5)))
+    score = lambda p: sum((p[i] > p[j]) - (p[i] < p[j]) for i in range(5) for j in range(i))
+    for p in orders[::7]:
+        want = sum(abs(score(q)) >= abs(score(p)) for q in orders) / len(orders)
+        assert math.isclose(kendall_p(range(5), p), min(1.0, want))
+    assert kendall_p([1, 1, 1], [1, 2, 3]) is None
+    assert 0 < kendall_p([1, 2, 3, 3, 4], [1, 2, 2, 3, 4]) < 0.1
+
+
+def test_feature_order():
+    assert FEATURES == ["slope", "ghi", "elev", "northness", "dist_transmision", "dist_almacen", "dist_subestaciones"]
