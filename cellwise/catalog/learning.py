@@ -227,7 +227,7 @@ def score_yield_correlation(t: Inputs):
 @query("training_report")
 def training_report(t: Inputs):
     s = samples(t)
-    pos = s.where("clase = 1 and cell % 5 = 0").drop("clase")
+    pos = s.where("clase = 1").drop("clase")
     return L.training_report(pos, s.where("clase = 0").drop("clase"), "cell", "block", 3, 5, PARAMS, k=2)
 
 
@@ -239,7 +239,7 @@ def _design_pools(t: Inputs):
 
 
 def _designs(t: Inputs):
-    pos = samples(t).where("clase = 1 and cell % 5 = 0").drop("clase")
+    pos = samples(t).where("clase = 1").drop("clase")
     return L.design_sensitivity(pos, _design_pools(t), "cell", "block", 3, PARAMS, k=2)
 
 
@@ -278,19 +278,19 @@ def loro_maps(t: Inputs):
 @query("in_sample_maps")
 def in_sample_maps(t: Inputs):
     m = _mapped(t)
-    return P.combine_regions(L.region_maps(m, m, t.grid, "region", [0, 1], FEATURES, PARAMS, (1.0, 10.0), hold_out=False))
+    return P.combine_regions(L.region_maps(m, m, t.grid, "region", [0, 1, 2], FEATURES, PARAMS, (1.0, 10.0), hold_out=False))
 
 
 @query("transfer_topk")
 def transfer_topk(t: Inputs):
     m = _mapped(t)
-    tr = m.where("c < 50 and cell % 7 = 0")
+    tr = m.where("c < 50")
     return L.transfer(FO.train(tr, FEATURES, "clase", PARAMS), tr, m.where("c >= 50"), t.grid, "cell", FEATURES, (1.0, 5.0, 10.0))["topk"]
 
 
 @query("transfer_applicability")
 def transfer_applicability(t: Inputs):
     m = _mapped(t)
-    tr = m.where("c < 50 and cell % 7 = 0")
+    tr = m.where("c < 50")
     out = L.transfer(FO.train(tr, FEATURES, "clase", PARAMS), tr, m.where("c >= 50"), t.grid, "cell", FEATURES, (1.0,))
     return out["aoa"].withColumn("_p", out["plants"].select(F.struct("*")).scalar()).select("*", "_p.*").drop("_p")

@@ -193,15 +193,15 @@ def crop(t: Inputs):
     return G.crop(t.cells.select("r", "c", "prob"), t.grid, 10, 20, 40, 50)[0]
 
 
-TILES = """, tiles AS (SELECT 'T'||((r//20)%5) AS tile_name, c%3 AS prio, r%20 AS r, c//3 AS c, CASE WHEN (r*100+c)%4=0 THEN NULL ELSE elev END AS v FROM cells WHERE r<100),
+TILES = """, tiles AS (SELECT 'T'||(r//20) AS tile_name, c%3 AS prio, r%20 AS r, c//3 AS c, CASE WHEN (r*100+c)%4=0 THEN NULL ELSE elev END AS v FROM cells),
 kept AS (SELECT t.* FROM tiles t JOIN (SELECT tile_name, min(prio) AS prio FROM tiles GROUP BY 1) f ON t.tile_name=f.tile_name AND t.prio=f.prio WHERE v IS NOT NULL)"""
 
 
 @query("mosaic", TILES + " SELECT r, c, arg_min(v, tile_name) AS v FROM kept GROUP BY 1,2")
 def mosaic(t: Inputs):
     r, c = F.col("r"), F.col("c")
-    tiles = t.cells.where(r < 100).select(
-        F.concat(F.lit("T"), F.expr("(r div 20) % 5").cast("string")).alias("tile_name"), (c % 3).alias("prio"),
+    tiles = t.cells.select(
+        F.concat(F.lit("T"), F.expr("r div 20").cast("string")).alias("tile_name"), (c % 3).alias("prio"),
         (r % 20).alias("r2"), F.expr("c div 3").alias("c2"), F.when((r * 100 + c) % 4 != 0, F.col("elev")).alias("v"))
     return G.mosaic(tiles.withColumnsRenamed({"r2": "r", "c2": "c"}))
 

@@ -225,7 +225,7 @@ SHIFT_FEATURES = ["ghi", "slope", "elev"]
 
 
 @query("covariate_shift", ", u AS (" + " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, r < 40 AS tr, {f}::DOUBLE AS v FROM cells WHERE r<40 AND ghi>150 OR r>=60" for f in SHIFT_FEATURES) + f"""),
+    f"SELECT '{f}' AS feature, r < 60 AS tr, {f}::DOUBLE AS v FROM cells" for f in SHIFT_FEATURES) + f"""),
 a AS (SELECT feature, count(*) AS train_n, min(v) AS train_min, avg(v) AS train_mean, quantile_cont(v,0.25) AS train_p25, quantile_cont(v,0.5) AS train_mediana, quantile_cont(v,0.75) AS train_p75, max(v) AS train_max, stddev_pop(v) AS train_std FROM u WHERE tr GROUP BY 1),
 b AS (SELECT feature, count(*) AS zone_n, min(v) AS zone_min, avg(v) AS zone_mean, quantile_cont(v,0.25) AS zone_p25, quantile_cont(v,0.5) AS zone_mediana, quantile_cont(v,0.75) AS zone_p75, max(v) AS zone_max FROM u WHERE NOT tr GROUP BY 1),
 o AS (SELECT feature, 100.0*avg((v<train_min)::INT) AS pct_below, 100.0*avg((v>train_max)::INT) AS pct_above FROM u JOIN a USING (feature) WHERE NOT tr GROUP BY 1)
@@ -233,7 +233,7 @@ SELECT feature, train_n, {', '.join(f"{M('train_'+c)} AS train_{c}" for c in ('m
  {', '.join(f"{M('zone_'+c)} AS zone_{c}" for c in ('min','mean','p25','mediana','p75','max'))}, {M('pct_below')} AS pct_below, {M('pct_above')} AS pct_above,
  {M('pct_below+pct_above')} AS pct_outside, {M('(zone_mean-train_mean)/train_std')} AS shift_sd FROM a JOIN b USING (feature) JOIN o USING (feature)""")
 def covariate_shift(t: Inputs):
-    return rounded(P.covariate_shift(t.cells.where("r < 40 and ghi > 150"), t.cells.where("r >= 60"), SHIFT_FEATURES))
+    return rounded(P.covariate_shift(t.cells.where("r < 60"), t.cells.where("r >= 60"), SHIFT_FEATURES))
 
 
 @query("zone_attributes", f"SELECT count(*) AS n_plantas, sum(mw) AS mw_total, (SELECT count(*)*1.0::DOUBLE FROM cells WHERE prob>=0.2) AS area_km2 FROM sites WHERE is_pos")
