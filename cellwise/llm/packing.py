@@ -20,6 +20,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from ..runtime import partitions
 
 WINDOW, END_ID = 4096, 2
 SENTENCE_PENALTY, HARD_PENALTY = 8.0, 64.0
-CHUNK_CHARS, STRETCH, WORDS_HELD = 1_000_000, 1 << 20, 300_000
+CHUNK_CHARS, STRETCH, WORDS_HELD = 1_000_000, 1 << 20, 1_200_000
 
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in
                        ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -47,19 +48,21 @@ class WordTokens:
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.ids, self.starts, self.ends_sentence = np.empty(1 << 16, np.uint32), [0], []
+        self.ids, self.starts, self.sentence = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.empty(1 << 14, bool)
 
     def _learn(self, words: list[bytes]) -> None:
-        coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for w, c in zip(words, coded):
-            self.index[w] = len(self.starts) - 1
-            a, b = self.starts[-1], self.starts[-1] + len(c.ids)
-            while b > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[a:b] = c.ids
-            self.starts.append(b)
-            self.ends_sentence.append(w[-1:] in (b".", b"!", b"?"))
-        self.table = np.array(self.starts, np.int64), np.array(self.ends_sentence, bool)
+        coded = [c.ids for c in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        n, more = len(self.index), len(words)
+        begin, ends = self.starts[n], np.cumsum(np.fromiter(map(len, coded), np.int64, more))
+        while begin + ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while n + more >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.sentence = np.concatenate([self.sentence, np.empty_like(self.sentence)])
+        self.ids[begin:begin + ends[-1]] = np.fromiter(chain.from_iterable(coded), np.uint32, int(ends[-1]))
+        self.starts[n + 1:n + 1 + more] = begin + ends
+        self.sentence[n:n + more] = [w[-1:] in (b".", b"!", b"?") for w in words]
+        self.index.update(zip(words, range(n, n + more)))
 
     def encode(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text and the places behind its sentences."""
@@ -72,11 +75,11 @@ class WordTokens:
         if new:
             self._learn(new)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        starts, sentence = self.table
+        starts = self.starts
         lengths = starts[at + 1] - starts[at]
         ends = np.cumsum(lengths)
         ids = self.ids[np.repeat(starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])]
-        return ids, ends[sentence[at]]
+        return ids, ends[self.sentence[at]]
 
 
 def cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> list[int]:
