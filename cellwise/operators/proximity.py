@@ -76,14 +76,46 @@ def distance_transform(mask: DataFrame, grid: GridSpec) -> DataFrame:
     return spread.groupBy("band").applyInPandas(across, "r bigint, c bigint, dist double")
 
 
-def spatial_duplicates(records: DataFrame, key: str, tol: float, x: str = "x", y: str = "y") -> DataFrame:
+def _greedy_tile(pdf: pd.DataFrame, tol: float) -> pd.DataFrame:
+    """Decisions of a tile's own records that nothing outside the tile or behind a square's horizon can change.
+
+    Records come in key order. One is rejected by an earlier kept record in reach, kept if every earlier record in reach is
+    surely rejected and all of them are here, and open else.
+    """
+    pdf = pdf.sort_values("k", kind="stable")
+    horizon = pdf.groupby(["sx", "sy"])["horizon"].first().dropna().to_dict()
+    kept: dict[tuple[int, int], tuple[float, float]] = {}
+    unsure: dict[tuple[int, int], list[tuple[float, float]]] = {}
+    reach = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
+    near = lambda p, x, y: math.sqrt((p[0] - x) ** 2 + (p[1] - y) ** 2) < tol
+    out = []
+    for k, x, y, sx, sy, core in zip(pdf["k"], pdf["x"], pdf["y"], pdf["sx"], pdf["sy"], pdf["core"]):
+        squares = [(sx + i, sy + j) for i, j in reach]
+        if any(s in kept and near(kept[s], x, y) for s in squares):
+            state = "rejected"
+        elif (not core or any(s in horizon and k > horizon[s] for s in squares)
+              or any(near(p, x, y) for s in squares for p in unsure.get(s, ()))):
+            state = "open"
+            unsure.setdefault((sx, sy), []).append((x, y))
+        else:
+            state, kept[sx, sy] = "kept", (x, y)
+        if core and state == "kept":
+            out.append(k)
+    return pdf.loc[pdf["core"] & pdf["k"].isin(out), ["k", "x", "y", "sx", "sy"]]
+
+
+def spatial_duplicates(records: DataFrame, key: str, tol: float, x: str = "x", y: str = "y",
+                       tile: int = 256, per_square: int = 16) -> DataFrame:
     """Later records within ``tol`` of an earlier kept one: ``(key, kept, dist)``.
 
     Records are visited in key order; a kept record rejects every later record
     closer than the tolerance. Records go into squares whose diagonal is below the
-    tolerance, so a square keeps at most one. A round keeps the records that come
-    first among all undecided ones in reach, rejects what they cover, and goes on
-    with the rest. A record meets at most one kept record per square in reach.
+    tolerance, so a square keeps at most one. A round decides whole tiles of
+    ``tile`` squares a side at once: of each square the first ``per_square``
+    undecided records are looked at, so a task holds a bounded number, and what
+    depends on records elsewhere stays open. Then the records that the kept ones
+    cover are rejected everywhere. A chain of dependent records takes one round
+    per tile that it crosses. A record meets at most one kept record per square in reach.
     """
     side = tol / math.sqrt(2.0) * (1.0 - 1e-9)
     reach = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
@@ -93,14 +125,22 @@ def spatial_duplicates(records: DataFrame, key: str, tol: float, x: str = "x", y
     p = p.select("*", F.floor(F.col("x") / side).alias("sx"), F.floor(F.col("y") / side).alias("sy"))
     offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in reach]))
     pending, kept = cut(p), None
+    square = Window.partitionBy("sx", "sy").orderBy("k")
+    tx, ty = [F.floor(F.col(s) / tile) for s in ("sx", "sy")]
+    seen_by = F.explode(F.array_distinct(F.array(*[
+        F.struct(F.floor((F.col("sx") + i) / tile).alias("tx"), F.floor((F.col("sy") + j) / tile).alias("ty"))
+        for i in (-2, 0, 2) for j in (-2, 0, 2)])))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema.fields)
     while not pending.isEmpty():
-        heads = pending.groupBy("sx", "sy").agg(F.min(F.struct("k", "x", "y")).alias("h"))
-        heads = heads.select("sx", "sy", "h.*")
-        near = heads.select("k", offsets.alias("o"), "sx", "sy").select(
-            "k", (F.col("sx") + F.col("o.i")).alias("sx"), (F.col("sy") + F.col("o.j")).alias("sy"))
-        first = near.groupBy("sx", "sy").agg(F.min("k").alias("low"))
-        chosen = heads.join(first, ["sx", "sy"]).where(F.col("k") == F.col("low")).drop("low")
-        chosen = cut(chosen)
+        # one more record than is sent tells whether a square goes on; its key is the square's horizon
+        first = pending.withColumn("_rn", F.row_number().over(square)).where(F.col("_rn") <= per_square + 1)
+        ends = first.where(F.col("_rn") > per_square).select("sx", "sy", F.col("k").alias("horizon"))
+        sent = first.where(F.col("_rn") <= per_square).join(ends, ["sx", "sy"], "left")
+        sent = sent.select("k", "x", "y", "sx", "sy", "horizon", seen_by.alias("t"), tx.alias("ox"), ty.alias("oy"))
+        sent = sent.select("t.tx", "t.ty", "k", "x", "y", "sx", "sy", "horizon",
+                           ((F.col("t.tx") == F.col("ox")) & (F.col("t.ty") == F.col("oy"))).alias("core"))
+        chosen = cut(sent.groupBy("tx", "ty").applyInPandas(
+            lambda pdf: _greedy_tile(pdf, tol), schema))
         kept = chosen if kept is None else kept.unionByName(chosen)
         around = chosen.select(F.col("k").alias("kk"), F.col("x").alias("kx"), F.col("y").alias("ky"),
                                offsets.alias("o"), "sx", "sy")

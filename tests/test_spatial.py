@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -193,3 +194,32 @@ def test_projection_round_trip(spark):
     x, y = K.utm_xy(F.lit(-69.0), F.lit(-23.0), 19, True)
     r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
     assert abs(r.x - 500000.0) < 1e-6 and 7.45e6 < r.y < 7.46e6
+
+
+@pytest.mark.parametrize("n,tile", [(50, 256), (500, 256), (300, 8)])
+def test_chain_of_duplicates_takes_few_rounds(spark, monkeypatch, n, tile):
+    """Records 30 m apart in key order: one round per tile crossed, not one per link."""
+    from cellwise.operators import proximity as X
+    rounds, cut = [], X.cut
+    monkeypatch.setattr(X, "cut", lambda df: rounds.append(1) or cut(df))
+    df = spark.createDataFrame([(i, 30.0 * i, 0.0) for i in range(n)], "id long, x double, y double")
+    got = {r.id: r.kept for r in X.spatial_duplicates(df, "id", 50.0, tile=tile).collect()}
+    assert got == {i: i - 1 for i in range(1, n, 2)}
+    assert len(rounds) <= 3 + 2 * (2 + 30 * n // (35 * tile))
+
+
+def test_crowded_squares_of_duplicates(spark):
+    """Many records in few squares give the same answer as visiting them one by one."""
+    from cellwise.operators.proximity import spatial_duplicates
+    rng = np.random.default_rng(8)
+    xy = np.round(rng.normal(0, 60, (400, 2)), 1)
+    kept, want = [], {}
+    for i, (x, y) in enumerate(xy):
+        first = next((k for k in kept if math.hypot(*(xy[k] - xy[i])) < 50.0), None)
+        if first is None:
+            kept.append(i)
+        else:
+            want[i] = first
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
+    for options in ({}, {"tile": 2, "per_square": 3}):
+        assert {r.id: r.kept for r in spatial_duplicates(df, "id", 50.0, **options).collect()} == want
