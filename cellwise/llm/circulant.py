@@ -214,3 +214,22 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     stay = stay.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     named = docs.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)), "_hash": F.xxhash64(text)})
     return named.join(stay, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+
+
+def oracle_sql(width: int, similarity: int) -> str:
+    """Components over all pairs that share a shingle, as SQL over table ``documents``."""
+    from .links import COMPONENT_SQL
+    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{low}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < {width} then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width - 1}], ' ')) end) as s from w),
+size as (select doc_id, count(*) as n from sets group by 1),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as both_ from sets a join sets b using (s) where a.doc_id < b.doc_id group by 1, 2),
+near as (select a, b from pair join size x on x.doc_id = a join size y on y.doc_id = b where 100 * both_ >= {similarity} * (x.n + y.n - both_)),
+link as (select a, b from near union all select b, a from near),
+node as (select doc_id as id from documents),
+{COMPONENT_SQL}
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from documents left join size using (doc_id) join component on component.id = doc_id
+"""

@@ -29,3 +29,10 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("new").alias("label"))
         if not changed:
             return labels
+
+
+#: Components of table ``link`` (a, b; both directions) over ``node`` (id), to follow those definitions in SQL.
+COMPONENT_SQL = """
+reach(id, far) as (select id, id from node union select reach.id, link.b from reach join link on reach.far = link.a),
+component as (select id, min(far) as component_id from reach group by 1)
+"""

@@ -44,13 +44,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs))
 
 
-@query("op4_url_model")
+@query("op4_url_model", url_model.oracle_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_model.judged(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op5_circulant_minhash")
+@query("op5_circulant_minhash", circulant.oracle_sql(4, 80))
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = circulant.near_duplicates(table(spark, sf_dir, "documents"), width=4, similarity=80)
     null = lambda c: F.nullif(c, F.lit(circulant.NULL_ID))
@@ -74,7 +74,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         bottomk.resemblance(own, changed).alias("near_edited"), bottomk.resemblance(own, following).alias("near_next"))
 
 
-@query("op8_spherical_caps")
+@query("op8_spherical_caps", spherical.oracle_sql())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spherical.linked_vectors(table(spark, sf_dir, "embeddings"))
     null = lambda c: F.nullif(F.col(c), F.lit(spherical.NULL_ID))

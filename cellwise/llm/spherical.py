@@ -219,3 +219,20 @@ def linked_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embeddi
         "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("top", "first").alias("component_id")))
     some = attach(rows.where("node is not null").select("id", "node"), member, "node", F.col("id")).select("id", "n_links", "component_id")
     return some.union(rows.where("node is null").select("id", F.lit(0).cast("long"), "id"))
+
+
+def oracle_sql(cosine: float = COSINE) -> str:
+    """Links and components over all pairs, as SQL over table ``embeddings``."""
+    from .links import COMPONENT_SQL
+    return f"""
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+fine as (select vec_id, e, len(e) as dims, sqrt(list_inner_product(e, e)) as norm from v
+    where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+link as (select a.vec_id as a, b.vec_id as b from fine a join fine b on a.dims = b.dims and a.vec_id <> b.vec_id
+    where list_inner_product(a.e, b.e) / (a.norm * b.norm) >= {cosine}),
+degree as (select a as id, count(*) as n from link group by 1),
+node as (select vec_id as id from embeddings),
+{COMPONENT_SQL}
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings join component on component.id = vec_id left join degree on degree.id = vec_id
+"""

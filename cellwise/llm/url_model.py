@@ -98,3 +98,42 @@ def judged(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, s
         own = F.lit("allow")
     return rows.select("_page.*", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"),
                        F.col("_score").alias("score"), F.coalesce(F.col("_rule.verdict"), own).alias("verdict"))
+
+
+def oracle_sql(rules: Sequence[tuple[str, str, str]] = RULES, order: int = ORDER) -> str:
+    """The same judgement as SQL over table ``pages``."""
+    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    longest = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    fits = [(v, h + p, f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')") for v, h, p in longest]
+    case = lambda n: "case " + " ".join(f"when {f[2]} then '{f[n]}'" for f in fits) + " end"
+    edge = f"chr({ord(EDGE)})"
+    levels = []
+    for k in range(order + 1):
+        shorter = "1.0::double / (select count(*) from s0)" if k == 0 else "q.p{c}"
+        mix = ", ".join(f"case when t.n{c} + t.t{c} = 0 then {shorter.format(c=c)} else "
+                        f"(s.{c} + t.t{c} * {shorter.format(c=c)}) / (t.n{c} + t.t{c}) end as p{c}" for c in "ar")
+        levels += [
+            f"s{k} as (select substr(gram, {order + 1 - k}, {k + 1}) as gram, sum(a) as a, sum(r) as r from counted group by 1)",
+            f"t{k} as (select substr(gram, 1, {k}) as context, sum(a) as na, sum(r) as nr, count(*) filter (a > 0) as ta,"
+            f" count(*) filter (r > 0) as tr from s{k} group by 1)",
+            f"p{k} as (select s.gram, {mix} from s{k} s join t{k} t on substr(s.gram, 1, {k}) = t.context"
+            + (f" join p{k - 1} q on substr(s.gram, 2, {k}) = q.gram)" if k else ")")]
+    return f"""
+with cut as (select row_number() over () as n, page_id, coalesce(url, '') as url,
+    case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+parts as (select *, regexp_extract(rest, '^[^/?#]*') as h from cut),
+rows_ as (select n, page_id, url, translate(h, '{upper}', '{low}') as host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') as path from parts),
+ruled as (select *, {case(1)} as rule, {case(0)} as v from rows_),
+padded as (select n, v, repeat({edge}, {order}) || lower(url) || {edge} as t from ruled),
+at_ as (select n, v, substr(t, i, {order + 1}) as gram from (select *, unnest(range(1, length(t) - {order} + 1)) as i from padded)),
+counted as (select gram, count(*) filter (v = 'allow') as a, count(*) filter (v = 'block') as r from at_ group by 1),
+{', '.join(levels)},
+scored as (select n, avg(ln(pa) - ln(pr)) as score from at_ join p{order} using (gram) group by 1),
+both_ as (select * from ruled join scored using (n)),
+side as (select avg(score) filter (v = 'allow') as ma, avg(score) filter (v = 'block') as mr,
+    stddev_pop(score) filter (v = 'allow') as sa, stddev_pop(score) filter (v = 'block') as sr from both_),
+bound as (select case when ma is null or mr is null then null when sa + sr = 0 then (ma + mr) / 2
+    else (ma * sr + mr * sa) / (sa + sr) end as limit_ from side)
+select page_id, host, path, rule, coalesce(v, case when limit_ is null or score >= limit_ then 'allow' else 'block' end) as verdict
+from both_, bound
+"""
