@@ -19,8 +19,8 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import partial
-from itertools import chain
+from functools import lru_cache, partial
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -69,12 +69,14 @@ class WordTokens:
         words = text.split() if text else []
         if not words:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
-        if len(self.index) > self.held:
-            self.forget()
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            if len(self.index) > self.held:
+                self.forget()
+                missing = range(len(words))
+            self._learn(list(dict.fromkeys(words[i] for i in missing)))
+            at[missing] = [self.index[words[i]] for i in missing]
         starts = self.starts
         lengths = starts[at + 1] - starts[at]
         ends = np.cumsum(lengths)
@@ -82,6 +84,12 @@ class WordTokens:
         return ids, ends[self.sentence[at]]
 
 
+@lru_cache(maxsize=2)
+def word_tokens(path: str) -> WordTokens:
+    """The words that this Python worker holds, shared by its tasks."""
+    return WordTokens(path)
+
+
 def cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> list[int]:
     """Cheapest windows over ascending ``places`` (the first is the start, the last the end of the stream).
 
@@ -90,7 +98,11 @@ def cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> lis
     """
     where, fine = places.tolist(), penalties.tolist()
     powers = [1 << k for k in range(window.bit_length())]
-    exact = [np.searchsorted(places, places - p).tolist() for p in powers]
+    exact: dict[int, list[int]] = {}  # begins from which a window is a power of two long
+    for p in powers:
+        at = np.searchsorted(places, places - p)
+        for j in np.flatnonzero(places[at] == places - p).tolist():
+            exact.setdefault(j, []).append(int(at[j]))
     cost, back = [0.0] * len(where), [0] * len(where)
     queue: deque[int] = deque([0])  # begins, by ascending cost + place
     for j in range(1, len(where)):
@@ -99,9 +111,8 @@ def cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> lis
             queue.popleft()
         i = queue[0]
         best, source = cost[i] + window - (here - where[i]), i
-        for p, at in zip(powers, exact):
-            i = at[j]
-            if where[i] == here - p and cost[i] < best:
+        for i in exact.get(j, ()):
+            if cost[i] < best:
                 best, source = cost[i], i
         cost[j], back[j] = best + fine[j], source
         value = cost[j] + here
@@ -173,7 +184,7 @@ class Stream:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    words, stream = WordTokens(path), None
+    words, stream = word_tokens(path), None
 
     def rows(pieces: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*pieces)], PIECES.names)
