@@ -404,3 +404,11 @@ def test_design_agreement(spark):
     df = spark.createDataFrame(rows, "estrategia string, dominante string, shares map<string,double>")
     got = {(r.a, r.b): (r.tau, r.rho, r.misma_dominante) for r in L.design_agreement(df).collect()}
     assert got == {("d1", "d2"): (1.0, 1.0, True), ("d1", "d3"): (-1.0, -1.0, False), ("d2", "d3"): (-1.0, -1.0, False)}
+
+
+def test_topk_needs_cells_and_plants(spark):
+    cells = spark.createDataFrame([(0, 0, 0.5, 0), (0, 1, 0.7, 0)], "r long, c long, prob double, n_plants long")
+    with pytest.raises(ValueError, match="plant"):
+        P.topk_metrics(cells, "prob", (10.0,))
+    with pytest.raises(ValueError, match="cell"):
+        P.topk_metrics(cells.limit(0), "prob", (10.0,))
