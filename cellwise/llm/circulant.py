@@ -164,10 +164,10 @@ def class_links(classes: DataFrame, sets_of, similarity: int) -> DataFrame | Non
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = stored(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        found = stored(_verified(pairs, sets, similarity))
+        found = None if pairs.isEmpty() else stored(_verified(pairs, sets, similarity))
         gone = leaders.select("bucket", F.col("leader").alias("node"))
         active = active.join(gone, ["bucket", "node"], "left_anti")
-        if not found.isEmpty():
+        if found is not None and not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = components(links)
             active = active.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
