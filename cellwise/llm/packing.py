@@ -94,10 +94,10 @@ def cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> lis
     """Cheapest windows over ascending ``places`` (the first is the start, the last the end of the stream).
 
     The cost of ending at a place is the least cost of beginning within a window before it, plus the padding of the
-    window, plus the penalty of the place. Windows as long as a power of two have no padding.
+    window, plus the penalty of the place. Windows as long as a power of two, from a 64th of ``window`` on, have no padding.
     """
     where, fine = places.tolist(), penalties.tolist()
-    powers = [1 << k for k in range(window.bit_length())]
+    powers = [1 << k for k in range(window.bit_length()) if 1 << k >= window // 64]
     exact: dict[int, list[int]] = {}  # begins from which a window is a power of two long
     for p in powers:
         at = np.searchsorted(places, places - p)
