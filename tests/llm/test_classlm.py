@@ -69,3 +69,19 @@ def test_class_model_beats_unigrams_on_held_out_text(spark):
 
 def test_empty_table(spark):
     assert classlm.score(empty(spark), remainder(F.col("doc_id"), 10) == 0).count() == 0
+
+
+def test_words_outside_the_clustered_get_classes_of_their_own(spark):
+    """Rare words of two kinds that share their last three bytes are told apart by their neighbours, in the dictionary or not."""
+    rng = np.random.default_rng(8)
+    text = lambda i: " ".join(f"{'ab'[k % 2]}{rng.integers(0, 4)}" if rng.random() < 0.8 else f"{'xy'[k % 2]}{i}{k % 10}end"
+                              for k in range(200))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(80)], "doc_id long, text string")
+    total = {}
+    for dictionary in (8, 40, 5000):
+        got = classlm.score(docs, F.lit(False), n_classes=3, clustered=8, dictionary=dictionary)
+        total[dictionary] = got.agg(F.sum("score"), F.sum("base_score")).first()
+    best = total[5000][0]
+    assert all(abs(t[0] - best) < 1e-6 * abs(best) for t in total.values())
+    # with both kinds known, each word is chosen among half of the vocabulary
+    assert best - total[5000][1] > 0.95 * math.log10(2) * 80 * 199
