@@ -7,6 +7,10 @@ The machines are fitted on the driver on a bounded sample of labelled rows: abou
 and at most ``SAMPLE`` in all, drawn by a hash of the row. Predictions are made batch by batch where the text lies;
 nothing is shuffled.
 
+Whether a text is written in the predicted language at all is told from its grams alone: their mean log-likelihood under
+the language's training rows, against the spread of those rows, with an allowance for short texts. It does not depend on
+the number of languages or families.
+
 Null text and text without a letter: ``und`` with score 0. Without usable labels every text is ``und``. A single label is
 predicted for every text. Rows with a null label never train. Existing columns with the results' names are replaced.
 """
@@ -26,6 +30,8 @@ from pyspark.sql import types as T
 PER_LANGUAGE, SAMPLE = 1000, 20_000
 BITS = 11
 UNKNOWN = "und"
+#: A text fits a language up to ``REACH`` times the deviation that the share ``EDGE`` of the training rows exceeds (at least ``SPREADS``).
+EDGE, REACH, SPREADS = 0.01, 3.0, 3.0
 
 #: Closely related languages; a language named nowhere is a family of its own.
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no", "is"), "romance": ("fr", "es", "it", "pt", "ca", "ro"),
@@ -74,6 +80,29 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 15)
     return w
 
 
+class Typical:
+    """Gram log-likelihoods of a language and the least deviation of its texts."""
+
+    def __init__(self, x: np.ndarray):
+        grams = np.square(x, dtype=np.float64)
+        mean = (grams.sum(axis=0) + 1 / x.shape[1]) / (len(x) + 1)
+        self.log = np.log(mean)
+        self.noise = max(float(mean @ self.log ** 2 - (mean @ self.log) ** 2), 1e-9)
+        means = grams @ self.log
+        self.centre = float(np.median(means))
+        self.spread = float(np.median(np.abs(means - self.centre))) * 1.4826
+        self.least = min(REACH * float(np.quantile(self.deviation(x), EDGE)), -REACH * SPREADS)
+
+    def deviation(self, x: np.ndarray) -> np.ndarray:
+        """Distance of the mean log-likelihood from the centre in spreads; the rarest gram of a text counts once."""
+        grams = np.square(x, dtype=np.float64)
+        rarest = np.where(grams > 0, grams, 1.0).min(axis=1)
+        return (grams @ self.log - self.centre) / np.sqrt(self.spread ** 2 + self.noise * rarest)
+
+    def fits(self, x: np.ndarray) -> np.ndarray:
+        return self.deviation(x) >= self.least
+
+
 class Classifier:
     """Family machines, and a machine for each pair of languages of one family."""
 
@@ -83,6 +112,7 @@ class Classifier:
         self.members = {f: sorted(set(langs[family == f])) for f in self.families}
         self.top = (np.array([fit_svm(x, np.where(family == f, 1, -1)) for f in self.families])
                     if len(self.families) > 1 else None)
+        self.typical = {lang: Typical(x[langs == lang]) for lang in sorted(set(langs))}
         self.pairs = {}
         for members in self.members.values():
             for a, b in combinations(members, 2):
@@ -116,7 +146,16 @@ class Classifier:
         return list(zip(langs, scores.tolist()))
 
 
+    def fits(self, x: np.ndarray, langs: list[str]) -> np.ndarray:
+        """Whether each row of features is like the training rows of its language."""
+        langs, out = np.array(langs, object), np.zeros(len(x), bool)
+        for lang in set(langs):
+            out[langs == lang] = self.typical[lang].fits(x[langs == lang])
+        return out
+
+
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+FITTED = T.StructType([*RESULT.fields, T.StructField("fits", T.BooleanType())])
 
 
 @F.pandas_udf(T.BinaryType())
@@ -145,20 +184,27 @@ def fit(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
     return Classifier(np.array([np.frombuffer(v, np.float32) for v in got["x"].to_pylist()]), np.array(got["lang"].to_pylist(), object))
 
 
-def identify(docs: DataFrame, model: Classifier | None, text: str = "text", batch: int = 512) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` from the text alone."""
+def identify(docs: DataFrame, model: Classifier | None, text: str = "text", batch: int = 512,
+             fits: str | None = None) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` from the text alone; ``fits`` names a column for whether the text is like
+    the training rows of its language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(RESULT)
+    @F.pandas_udf(FITTED if fits else RESULT)
     def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in texts:
-            out = [(UNKNOWN, 0.0)] * len(series)
+            out = [(UNKNOWN, 0.0, False) if fits else (UNKNOWN, 0.0)] * len(series)
             for at in range(0, len(series), batch):
                 found = [(i, v) for i, t in enumerate(series.iloc[at:at + batch], at) if (v := features(t)) is not None]
                 if found and shared.value is not None:
-                    for (i, _), answer in zip(found, shared.value.predict(np.array([v for _, v in found]))):
+                    x = np.array([v for _, v in found])
+                    answers = shared.value.predict(x)
+                    if fits:
+                        answers = [(*a, b) for a, b in zip(answers, shared.value.fits(x, [a for a, _ in answers]).tolist())]
+                    for (i, _), answer in zip(found, answers):
                         out[i] = answer
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+            yield pd.DataFrame(out, columns=(FITTED if fits else RESULT).names)
 
     found = docs.withColumn("_found", predicted(F.col(text)))
-    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score"),
+                              **({fits: F.col("_found.fits")} if fits else {})}).drop("_found")

@@ -13,17 +13,13 @@ from cellwise.llm import circulant, language, mixing, packing, secret_scan
 from cellwise.llm.common import remainder, stored, table
 from cellwise.llm.queries import TOKENIZER
 
-#: A text whose best language is less likely than this is rejected, like a text without letters.
-LEAST_SCORE = 0.1
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; columns and texts stay as they are."""
+    """Documents written in a language that was learned; columns and texts stay as they are."""
     model = language.fit(docs, remainder(F.col("doc_id"), 3) != 1)
     rows = docs.select(F.struct("*").alias("doc"), F.col("text").alias("text"))
-    found = language.identify(rows, model)
-    kept = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return found.where(kept).select("doc.*")
+    found = language.identify(rows, model, fits="fits")
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & F.col("fits")).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

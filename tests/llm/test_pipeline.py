@@ -1,3 +1,4 @@
+import random
 import sys
 from collections import Counter
 from pathlib import Path
@@ -43,3 +44,21 @@ def test_run_and_odd_tables(spark, tmp_path):
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         rows = pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert bool(rows) == (name == "odd")
+
+
+def test_language_gate_drops_gibberish_and_foreign_texts(spark):
+    rng = random.Random(3)
+    docs = table(spark, SF.replace("0.001", "0.01"), "documents")
+    foreign = ("wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem "
+               "i powinni postępować wobec innych w duchu braterstwa każdy człowiek posiada wszystkie prawa i wolności ",
+               "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto "
+               "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä jokainen on oikeutettu kaikkiin oikeuksiin ",
+               "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью ")
+    odd = [t * 4 for t in foreign] + [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+                                               for _ in range(150)) for _ in range(5)]
+    first = docs.first()  # a row for the other columns
+    rows = [{**first.asDict(), "doc_id": -1 - i, "text": t, "lang": None, "n_chars": len(t)} for i, t in enumerate(odd)]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r.doc_id for r in pipeline.identify_language(spark, both, SF).select("doc_id").collect()}
+    # the table holds a document that is half French, half English
+    assert min(kept) >= 0 and len(kept) >= 0.998 * docs.count()
