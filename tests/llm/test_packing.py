@@ -86,6 +86,17 @@ def test_cuts_are_the_cheapest():
         assert at == places[-1] and cost == pytest.approx(brute_cost(places, penalties, 32))
 
 
+def test_cuts_of_whole_windows_are_the_cheapest():
+    """At the window of the query, also where a short window without padding lets the next one be full."""
+    rng = np.random.default_rng(6)
+    for lengths in ([32, 4096], [1, 4096, 4096], *[rng.choice([1, 2, 8, 32, 100, 1000, 4064, 4096], 12) for _ in range(30)]):
+        places = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        cost, at = 0.0, 0
+        for p in packing.cuts(places, np.zeros(len(places)), 4096):
+            cost, at = cost + (0 if (p - at) & (p - at - 1) == 0 else 4096 - (p - at)), p
+        assert at == places[-1] and cost == brute_cost(places, np.zeros(len(places)), 4096)
+
+
 def test_little_padding(spark):
     rows = packing.packed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), PATH).collect()
     length = Counter()
