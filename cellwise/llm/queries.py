@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, circulant, classlm, language, mixing, packing, perspectives, secret_scan, spherical, url_model
+from . import (bottomk, circulant, classlm, language, lexical, mixing, packing, perspectives, quality, secret_scan,
+               spherical, url_model)
 from .common import remainder, stored, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -95,3 +96,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classlm.score(docs, remainder(F.col("doc_id"), 10) == 0).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_boosted_quality")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = remainder(F.col("doc_id"), 5) != 0
+    found = quality.classified(docs, table(spark, sf_dir, "labels"), training)
+    return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op13_block_max", lexical.oracle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("item", "item_id")
