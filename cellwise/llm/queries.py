@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bottomk, circulant, classlm, language, lexical, mixing, packing, perspectives, quality, secret_scan,
-               spherical, url_model)
+               spherical, trie, url_model)
 from .common import remainder, stored, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -106,6 +106,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query("op12_prefix_trie", trie.oracle_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_block_max", lexical.oracle_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
