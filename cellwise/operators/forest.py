@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import itertools
-import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw
-from ..runtime import checkpoint_folder, cut
+from ..runtime import cut
+from .attribution import contributions
 from .ranks import auc, brier
 from .sampling import group_folds
 
@@ -167,108 +165,6 @@ def load(path: str) -> RandomForestClassificationModel:
 
 # -- additive contributions --------------------------------------------------------
 
-def leaf_table(model: RandomForestClassificationModel, n_features: int) -> list[list[tuple]]:
-    """Per tree, its leaves as (probability, {feature: (low, high, cover share)}).
-
-    Read from the stored form of the model; its size is bounded by the number of
-    trees and their depth, not by the data.
-    """
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    path = f"{checkpoint_folder(spark)}/forest-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
-    n = F.col("nodeData")
-    rows = nodes.select(
-        "treeID", n["id"].alias("id"), n["leftChild"].alias("left"), n["rightChild"].alias("right"),
-        n["split"]["featureIndex"].alias("feature"),
-        F.try_element_at(n["split"]["leftCategoriesOrThreshold"], F.lit(1)).alias("cut"),
-        n["impurityStats"].alias("stats")).collect()
-    trees: dict[int, dict] = {}
-    for r in rows:
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
-    out = []
-    for tree in (trees[t] for t in sorted(trees)):
-        leaves, stack = [], [(0, {})]
-        while stack:
-            i, path_ = stack.pop()
-            node = tree[i]
-            if node["left"] < 0:
-                leaves.append((node["stats"][1] / sum(node["stats"]), path_))
-                continue
-            total = sum(node["stats"])
-            for child, side in ((node["left"], 0), (node["right"], 1)):
-                lo, hi, share = path_.get(node["feature"], (-np.inf, np.inf, 1.0))
-                share *= sum(tree[child]["stats"]) / total
-                box = (lo, min(hi, node["cut"]), share) if side == 0 else (max(lo, node["cut"]), hi, share)
-                stack.append((child, {**path_, node["feature"]: box}))
-        out.append(leaves)
-    return out
-
-
-def _leaf_shares(value: float, shares: np.ndarray) -> np.ndarray:
-    """Shapley values of one leaf for every pattern of satisfied features.
-
-    The leaf pays ``value`` times, per feature, 1 or 0 when the feature is known
-    and its cover share when it is not. Row = bit pattern, column = feature.
-    """
-    m = len(shares)
-    fact = np.cumprod(np.concatenate([[1.0], np.arange(1.0, m + 1)]))
-    weights = fact[:m] * fact[:m][::-1] / fact[m]
-    subsets = np.arange(1 << m)
-    bits = (subsets[:, None] >> np.arange(m)) & 1
-    out = np.zeros((1 << m, m))
-    for pattern in subsets:
-        known = np.where(bits, (pattern >> np.arange(m)) & 1, shares)
-        gain = known.prod(axis=1)
-        for j in range(m):
-            without = subsets[bits[:, j] == 0]
-            w = weights[bits[without].sum(axis=1)]
-            out[pattern, j] = value * (w * (gain[without | (1 << j)] - gain[without])).sum()
-    return out
-
-
-def contributions(model: RandomForestClassificationModel, df: DataFrame, features: Sequence[str],
-                  keep: Sequence[str]) -> DataFrame:
-    """Additive contribution of every feature to each row's probability.
-
-    Output: ``keep``, one ``phi_<feature>`` per feature and ``base``; base plus the
-    sum of contributions is the probability of the positive class.
-    """
-    features, keep = list(features), list(keep)
-    trees = leaf_table(model, len(features))
-    base = float(np.mean([sum(v * np.prod([b[2] for b in p.values()]) for v, p in t) for t in trees]))
-    plan = []
-    for leaves in trees:
-        for value, path in leaves:
-            fs = sorted(path)
-            if fs and value != 0.0:
-                plan.append((np.array(fs), np.array([path[f][0] for f in fs]), np.array([path[f][1] for f in fs]),
-                             _leaf_shares(value, np.array([path[f][2] for f in fs]))))
-    n_trees = len(trees)
-    data = df.dropna(subset=features).select(*keep, *[F.col(f).cast("double").alias(f"_f{i}")
-                                                      for i, f in enumerate(features)])
-    fields = [f.simpleString().replace(":", " ", 1) for f in data.select(*keep).schema.fields]
-    schema = ", ".join([*fields, *[f"phi_{f} double" for f in features], "base double"])
-    shared = df.sparkSession.sparkContext.broadcast(plan)
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[[f"_f{i}" for i in range(len(features))]].to_numpy()
-            phi = np.zeros(x.shape)
-            for fs, lo, hi, table in shared.value:
-                ok = (x[:, fs] > lo) & (x[:, fs] <= hi)
-                phi[:, fs] += table[ok @ (1 << np.arange(len(fs)))]
-            out = pdf[keep].copy()
-            for i, f in enumerate(features):
-                out[f"phi_{f}"] = phi[:, i] / n_trees
-            out["base"] = base
-            yield out
-
-    return data.mapInPandas(explain, schema)
-
-
 def contribution_shares(phi: DataFrame, features: Sequence[str]) -> DataFrame:
     """Mean absolute contribution per feature as a share, with its mean direction and place."""
     row = phi.agg(*[F.avg(F.abs(f"phi_{f}")).alias(f"a_{f}") for f in features],

@@ -355,21 +355,81 @@ def test_contributions_add_up(labelled, tmp_path):
     assert shares[0].feature == "a" and np.isclose(sum(r.pct for r in shares), 100.0)
 
 
-def test_leaf_shares_match_definition():
+def _plain_trees(nodes):
+    """Each tree as nested (feature, cut, share of the left, left, right) or a leaf value."""
+    def walk(begin, k):
+        i = begin + k
+        if not nodes.child[i]:
+            return float(nodes.value[i])
+        left, right = begin + nodes.child[i], begin + nodes.other[i]
+        return (int(nodes.feature[i]), float(nodes.cut[i]), nodes.weight[left] / (nodes.weight[left] + nodes.weight[right]),
+                walk(begin, nodes.child[i]), walk(begin, nodes.other[i]))
+    return [walk(b, 0) for b in nodes.begins[:-1]]
+
+
+def _expected(tree, x, known):
+    if isinstance(tree, float):
+        return tree
+    f, cut, share, left, right = tree
+    if f in known:
+        return _expected(left if x[f] <= cut else right, x, known)
+    return share * _expected(left, x, known) + (1 - share) * _expected(right, x, known)
+
+
+def test_contributions_match_definition(labelled):
+    """Every feature's mean gain over all orders in which features become known."""
     from itertools import permutations
 
-    value, r = 0.7, np.array([0.5, 0.2, 0.9])
-    got = FO._leaf_shares(value, r)
-    for pattern in range(8):
-        o = [(pattern >> j) & 1 for j in range(3)]
-        want = np.zeros(3)
-        for order in permutations(range(3)):
-            known = r.copy()
-            for j in order:
-                before = known.prod()
-                known[j] = o[j]
-                want[j] += value * (known.prod() - before) / 6
-        assert np.allclose(got[pattern], want)
+    from cellwise.operators import attribution as AT
+
+    f = ["a", "b", "c", "d"]
+    data = labelled.withColumn("d", F.pmod(F.col("id") * 7, F.lit(11)) + F.col("a") * 0.5)
+    m = FO.train(data, f, "clase", {"n_estimators": 5, "max_depth": 6, "min_samples_leaf": 1})
+    table = AT.stored_nodes(m)
+    nodes = AT.held_nodes(table, 0, 5)
+    trees = _plain_trees(nodes)
+    rows = np.array(data.select(*f).limit(12).collect(), float)
+    phi, base = AT.forest_contributions(nodes, rows)
+    assert np.isclose(base, sum(_expected(t, rows[0], ()) for t in trees))
+    for x, got in zip(rows, phi):
+        want, orders = np.zeros(4), list(permutations(range(4)))
+        for order in orders:
+            for k, j in enumerate(order):
+                want[j] += sum(_expected(t, x, order[:k + 1]) - _expected(t, x, order[:k]) for t in trees) / len(orders)
+        assert np.allclose(got, want, atol=1e-12)
+    # groups of trees add up to the same
+    one = FO.contributions(m, data, f, ["id"]).orderBy("id").toPandas()
+    many = FO.contributions(m, data, f, ["id"], held=40).orderBy("id").toPandas()
+    assert len(AT.groups(table, 40)) > 2 and np.allclose(one, many, atol=1e-12)
+
+
+def test_contributions_of_a_large_forest():
+    import time
+
+    from cellwise.operators import attribution as AT
+
+    rng, depth, trees, width = np.random.default_rng(1), 10, 200, 7
+    inner, size = (1 << depth) - 1, (2 << depth) - 1
+    k = np.arange(size)
+    child = np.where(k < inner, 2 * k + 1, 0)
+    weight = np.zeros((trees, size))
+    weight[:, inner:] = rng.integers(1, 50, (trees, inner + 1))
+    for i in range(inner - 1, -1, -1):
+        weight[:, i] = weight[:, 2 * i + 1] + weight[:, 2 * i + 2]
+    nodes = AT.Nodes(np.arange(trees + 1) * size, np.tile(child, trees), np.tile(np.where(k < inner, 2 * k + 2, 0), trees),
+                     rng.integers(0, width, trees * size), rng.random(trees * size), rng.random(trees * size), weight.ravel())
+    x = rng.random((16, width))
+    start = time.perf_counter()
+    phi, base = AT.forest_contributions(nodes, x)
+    assert time.perf_counter() - start < 60
+    leaf = np.zeros(16)
+    for t in range(trees):
+        at = np.zeros(16, int)
+        for _ in range(depth):
+            i = t * size + at
+            at = np.where(x[np.arange(16), nodes.feature[i]] <= nodes.cut[i], 2 * at + 1, 2 * at + 2)
+        leaf += nodes.value[t * size + at]
+    assert np.allclose(phi.sum(axis=1) + base, leaf)
 
 
 def test_spatial_validation(labelled):
