@@ -192,6 +192,19 @@ def clip_lines_midpoint(t: Inputs):
     return P.inside(mid, t.zone_edges.where("zone_id in (6, 7, 8)"), "line_id", "zone_id").select("line_id")
 
 
+@query("clip_lines_polygon", f""", met AS (SELECT line_id, ((e.x1-l.x1)*(e.y2-e.y1)-(e.y1-l.y1)*(e.x2-e.x1))/((l.x2-l.x1)*(e.y2-e.y1)-(l.y2-l.y1)*(e.x2-e.x1)) AS t,
+  ((e.x1-l.x1)*(l.y2-l.y1)-(e.y1-l.y1)*(l.x2-l.x1))/((l.x2-l.x1)*(e.y2-e.y1)-(l.y2-l.y1)*(e.x2-e.x1)) AS u FROM lines l, zone_edges e
+  WHERE (l.x2-l.x1)*(e.y2-e.y1)-(l.y2-l.y1)*(e.x2-e.x1) <> 0),
+ts AS (SELECT line_id, t FROM met WHERE u BETWEEN 0 AND 1 AND t>0 AND t<1 UNION SELECT line_id, 0.0::DOUBLE FROM lines UNION SELECT line_id, 1.0::DOUBLE FROM lines),
+iv AS (SELECT line_id, t, lead(t) OVER (PARTITION BY line_id ORDER BY t) AS t1 FROM ts),
+m AS (SELECT line_id, t, t1, x1+(x2-x1)*(t+t1)/2 AS x, y1+(y2-y1)*(t+t1)/2 AS y, sqrt((x2-x1)**2+(y2-y1)**2)*(t1-t) AS length FROM iv JOIN lines USING (line_id) WHERE t1 IS NOT NULL),
+i AS (SELECT line_id, zone_id, t, length FROM m, zone_edges e WHERE (e.y1>y)<>(e.y2>y) AND x < (e.x2-e.x1)*(y-e.y1)/(e.y2-e.y1)+e.x1 GROUP BY ALL HAVING count(*)%2=1)
+SELECT line_id, zone_id, floor(sum(length)*1e3+0.5)/1e3 AS length FROM i GROUP BY 1,2""")
+def clip_lines_polygon(t: Inputs):
+    inside = P.cut_lines(t.lines, t.zone_edges, "line_id", "zone_id").groupBy("line_id", "zone_id").agg(F.sum("length").alias("length"))
+    return inside.withColumn("length", F.floor(F.col("length") * 1e3 + 0.5) / F.lit(1e3))
+
+
 @query("criterion_distance", LINE + f" SELECT site_id, {M('min(dist)')} AS dist_criterion, {M('min(dist) FILTER (tipo<>$$DEDICADO$$)')} AS dist_transmision FROM ld GROUP BY 1")
 def criterion_distance(t: Inputs):
     full = nearest_distance(t.sites.select("site_id", "x", "y"), t.lines, "site_id", "line_id", "dist_criterion", shape="segment")
