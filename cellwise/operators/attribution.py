@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +41,7 @@ class Nodes:
 
 def stored_nodes(model: RandomForestClassificationModel) -> DataFrame:
     """(tree, id, child, other, feature, cut, value, weight) of every node, as a table."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.builder.getOrCreate()
     path = f"{checkpoint_folder(spark)}/forest-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     n = F.col("nodeData")

@@ -7,6 +7,8 @@ star contraction of Kiveris et al. (2014).
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,16 +86,78 @@ def label_components(mask: DataFrame, grid: GridSpec, by: str | None = None, til
                    .applyInPandas(local, "layer bigint, r bigint, c bigint, zone bigint"))
     mr, mc = F.pmod("r", F.lit(tile)), F.pmod("c", F.lit(tile))
     rim = labelled.where((mr == 0) | (mr == tile - 1) | (mc == 0) | (mc == tile - 1))
+    links = _rim_links(rim)
+    roots = graph_components(links)
+    out = labelled.join(roots.withColumnRenamed("v", "zone"), "zone", "left").select(
+        "layer", "r", "c", (F.coalesce("root", "zone") - F.col("layer") * area).alias("zone"))
+    return out.withColumnRenamed("layer", by) if by else out.drop("layer")
+
+
+def _nested_tile(key: tuple, pdf: pd.DataFrame, tile: int, width: int, area: int, levels: int, sums: list[str]) -> pd.DataFrame:
+    """Components of every level of one tile, and the labels of its rim cells. Levels only add cells and contacts, so the
+    labels of one level are where the next one goes on."""
+    pdf = pdf.sort_values(["r", "c"], ignore_index=True)
+    r, c, level = (pdf[k].to_numpy() for k in ("r", "c", "level"))
+    lr, lc = r % tile, c % tile
+    slot = np.full((tile + 2, tile + 2), -1, dtype=np.int64)
+    slot[lr + 1, lc + 1] = np.arange(len(r))
+    pairs = []
+    for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        other = slot[lr + 1 + dr, lc + 1 + dc]
+        here = np.nonzero(other >= 0)[0]
+        pairs.append(np.stack([here, other[here]]))
+    a, b = np.concatenate(pairs, axis=1)
+    meets = np.maximum(level[a], level[b])
+    rim = (lr == 0) | (lr == tile - 1) | (lc == 0) | (lc == tile - 1)
+    lab, out = np.arange(len(r)), []
+    for i in range(int(level.min()), levels):
+        x, y = a[meets == i], b[meets == i]
+        while len(x):
+            la, lb = lab[x], lab[y]
+            if (la == lb).all():
+                break
+            np.minimum.at(lab, np.maximum(la, lb), np.minimum(la, lb))
+            while (lab != lab[lab]).any():
+                lab = lab[lab]
+        here = np.flatnonzero(level <= i)
+        first, of = np.unique(lab[here], return_inverse=True)
+        zone = i * area + r[first] * width + c[first]
+        whole = {"level": i, "zone": zone, "r": -1, "c": -1, "n": np.bincount(of, minlength=len(first)),
+                 **{s: np.bincount(of, pdf[s].to_numpy(float)[here], len(first)) for s in sums}}
+        edge = np.flatnonzero(rim[here])
+        out += [pd.DataFrame(whole), pd.DataFrame({"level": i, "zone": zone[of[edge]], "r": r[here[edge]], "c": c[here[edge]], "n": 0, **{s: 0.0 for s in sums}})]
+    return pd.concat(out)
+
+
+def nested_zones(cells: DataFrame, grid: GridSpec, levels: int, sums: tuple[str, ...] = (), tile: int = 256) -> DataFrame:
+    """8-connected zones of nested masks in one labelling: ``(level, zone, n, sums...)``.
+
+    A cell carries the first ``level`` (0 up to ``levels`` - 1) whose mask holds it; it is in all later masks too.
+    Tiles yield the sizes and sums of their components at every level; only labels that meet across tile sides are contracted, and no
+    cell is joined again.
+    """
+    width, area = grid.width, grid.width * grid.height
+    rows = cells.select(F.col("r").cast("bigint"), F.col("c").cast("bigint"), F.col("level").cast("bigint"),
+                        *[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s) for s in sums])
+    schema = "level bigint, zone bigint, r bigint, c bigint, n bigint" + "".join(f", {s} double" for s in sums)
+    local = partial(_nested_tile, tile=tile, width=width, area=area, levels=levels, sums=list(sums))
+    out = cut(rows.groupBy(F.expr(f"r div {tile}").alias("tr"), F.expr(f"c div {tile}").alias("tc"))
+              .applyInPandas(lambda key, pdf: local(key, pdf), schema))
+    rim = out.where("r >= 0").select(F.col("level").alias("layer"), "zone", "r", "c")
+    roots = graph_components(_rim_links(rim))
+    parts = out.where("r < 0").join(roots.withColumnRenamed("v", "zone"), "zone", "left")
+    return parts.groupBy("level", (F.coalesce("root", "zone") - F.col("level") * area).alias("zone")).agg(
+        F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in sums])
+
+
+def _rim_links(rim: DataFrame) -> DataFrame:
+    """(a, b): labels of one layer that touch."""
     step = rim.select("layer", F.col("zone").alias("a"), "r", "c", F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
         for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("s"))
     step = step.select("layer", "a", (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"))
-    links = step.join(rim.select("layer", "r", "c", F.col("zone").alias("b")), ["layer", "r", "c"]).where(
+    return step.join(rim.select("layer", "r", "c", F.col("zone").alias("b")), ["layer", "r", "c"]).where(
         F.col("a") != F.col("b")).select("a", "b").distinct()
-    roots = graph_components(links)
-    out = labelled.join(roots.withColumnRenamed("v", "zone"), "zone", "left").select(
-        "layer", "r", "c", (F.coalesce("root", "zone") - F.col("layer") * area).alias("zone"))
-    return out.withColumnRenamed("layer", by) if by else out.drop("layer")
 
 
 def zones(mask: DataFrame, values: DataFrame, grid: GridSpec, prob: str, min_area_m2: float = 0.0,

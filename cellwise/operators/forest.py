@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw
-from ..runtime import cut
+from ..runtime import cut, together
 from .attribution import contributions
 from .ranks import auc, brier
 from .sampling import group_folds
@@ -68,13 +69,21 @@ def score(model: RandomForestClassificationModel, df: DataFrame, features: Seque
 def spatial_cv(df: DataFrame, features: Sequence[str], block: str, label: str = "clase",
                params: Mapping[str, int] | None = None, k: int = 5, seed: int = 42) -> DataFrame:
     """One row per fold: sizes, AUC, Brier and importances; blocks never straddle folds."""
-    rows = cut(group_folds(df.dropna(subset=[*features, label, block]), block, label, k))
-    parts = []
-    for f in range(k):
+    return _union(together(df.sparkSession, _fold_tasks(_folded(df, features, block, label, k), features, label, params, k, seed)))
+
+
+def _folded(df: DataFrame, features: Sequence[str], block: str, label: str, k: int) -> DataFrame:
+    return cut(group_folds(df.dropna(subset=[*features, label, block]), block, label, k))
+
+
+def _fold_tasks(rows: DataFrame, features: Sequence[str], label: str, params: Mapping[str, int] | None, k: int,
+                seed: int) -> list[Callable[[], DataFrame]]:
+    """A fit and its scores for each fold."""
+    def task(f: int) -> DataFrame:
         model = train(rows.where(F.col("fold") != f), features, label, params, seed)
         held = score(model, rows.where(F.col("fold") == f), features)
-        parts.append(_fold_row(held, label, F.lit(f).alias("fold"), model, features))
-    return _union(parts)
+        return _fold_row(held, label, F.lit(f).alias("fold"), model, features)
+    return [partial(task, f) for f in range(k)]
 
 
 def _fold_row(held: DataFrame, label: str, name, model, features) -> DataFrame:
@@ -115,12 +124,13 @@ def leave_one_region_out(df: DataFrame, features: Sequence[str], region: str, la
     names = [r[0] for r in both.where((F.col("p") > 0) & (F.col("q") > 0)).select(region).orderBy(region).collect()]
     if len(names) < 2:
         raise ValueError("leave-one-region-out needs two regions with both classes")
-    parts = []
-    for name in names:
+
+    def task(name) -> DataFrame:
         model = train(data.where(F.col(region) != F.lit(name)), features, label, params, seed)
         held = score(model, data.where(F.col(region) == F.lit(name)), features)
-        parts.append(_fold_row(held, label, F.lit(name).alias(region), model, features))
-    return _union(parts)
+        return _fold_row(held, label, F.lit(name).alias(region), model, features)
+
+    return _union(together(df.sparkSession, [partial(task, n) for n in names]))
 
 
 def region_gap(folds: DataFrame) -> DataFrame:
@@ -135,11 +145,11 @@ def search(df: DataFrame, features: Sequence[str], block: str, trials: int, labe
     grid = list(itertools.product(*[range(lo, hi + 1, st) for lo, hi, st in space.values()]))
     picks = spark.range(trials).select(F.pmod(draw("id", seed), F.lit(len(grid))).alias("i")).collect()
     tried = sorted({p["i"] for p in picks})
-    parts = []
-    for t in tried:
-        params = dict(zip(space, grid[t]))
-        res = cv_summary(spatial_cv(df, features, block, label, params, k, seed))
-        parts.append(res.select(*[F.lit(v).alias(n) for n, v in params.items()], "auc_mean", "brier_mean"))
+    rows = _folded(df, features, block, label, k)  # every trial has the same folds
+    chosen = [dict(zip(space, grid[t])) for t in tried]
+    folds = together(spark, [t for params in chosen for t in _fold_tasks(rows, features, label, params, k, seed)])
+    parts = [cv_summary(_union(folds[i * k:i * k + k])).select(*[F.lit(v).alias(n) for n, v in params.items()], "auc_mean", "brier_mean")
+             for i, params in enumerate(chosen)]
     return _union(parts).orderBy("brier_mean", *space)
 
 
@@ -147,8 +157,10 @@ def ablation(df: DataFrame, block: str, sets: Mapping[str, Sequence[str]] | None
              params: Mapping[str, int] | None = None, k: int = 5, seed: int = 42) -> DataFrame:
     """Spatial validation per feature set and the AUC difference from the first one."""
     sets = sets or ABLATIONS
-    out = _union([cv_summary(spatial_cv(df, fs, block, label, params, k, seed)).withColumn("modelo", F.lit(n))
-                  for n, fs in sets.items()])
+    def task(name: str, features: Sequence[str]) -> DataFrame:
+        return cv_summary(spatial_cv(df, features, block, label, params, k, seed)).withColumn("modelo", F.lit(name))
+
+    out = _union(together(df.sparkSession, [partial(task, n, fs) for n, fs in sets.items()]))
     out = cut(out)
     base = out.where(F.col("modelo") == next(iter(sets))).select("auc_mean").scalar()
     return out.select("modelo", "auc_mean", "auc_std", "brier_mean", "brier_std",

@@ -9,13 +9,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import NODATA, add, col
+from .joins import dealt_join
 from .ranks import cumulative, _at
 
 
@@ -106,16 +110,39 @@ def to_full_grid(df: DataFrame, grid: GridSpec, value: str, nodata: float | None
 
 # -- resampling -----------------------------------------------------------------
 
-def _quads(src: DataFrame, value: str) -> DataFrame:
-    """Per 2x2 neighbourhood the four corner values, keyed by its upper-left cell."""
-    corners = [(0, 0), (0, 1), (1, 0), (1, 1)]
-    v = src.where(F.col(value).isNotNull()).select(
-        F.explode(F.array(*[
-            F.struct((F.col("r") - i).alias("qr"), (F.col("c") - j).alias("qc"),
-                     F.lit(2 * i + j).alias("k"), F.col(value).cast("double").alias("v"))
-            for i, j in corners])).alias("q")).select("q.*")
-    return v.groupBy("qr", "qc").agg(*[
-        F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"v{k}") for k in range(4)])
+def _bilinear(keep: pa.Table, src: pa.Table, value: str, tile: int) -> pa.Table:
+    """Values of the target rows of one source tile; the tile's cells come with a halo of one cell to the south and east."""
+    qr, qc, u, w = (keep[c].to_numpy() for c in ("_qr", "_qc", "_u", "_w"))
+    grid, known = np.zeros((tile + 1, tile + 1)), np.zeros((tile + 1, tile + 1), bool)
+    if len(src) and len(keep):
+        r0, c0 = qr[0] // tile * tile, qc[0] // tile * tile
+        r, c = src["r"].to_numpy() - r0, src["c"].to_numpy() - c0
+        grid[r, c], known[r, c] = src["v"].to_numpy(), True
+    else:
+        r0 = c0 = 0
+    fu, fw = u - qc, w - qr
+    num, den = np.zeros(len(qr)), np.zeros(len(qr))
+    for i, j, weight in ((0, 0, (1 - fw) * (1 - fu)), (0, 1, (1 - fw) * fu), (1, 0, fw * (1 - fu)), (1, 1, fw * fu)):
+        a, b = (qr - r0 + i, qc - c0 + j) if len(src) else (np.zeros(len(qr), int), np.zeros(len(qr), int))
+        num += np.where(known[a, b], weight * grid[a, b], 0.0)
+        den += np.where(known[a, b], weight, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = pa.array(num / den, mask=~(den > 0))
+    return keep.drop_columns(["_tr", "_tc", "_qr", "_qc", "_u", "_w"]).append_column(value, out)
+
+
+def tile_side(src_grid: GridSpec, dst_grid: GridSpec, most: int = 1 << 18) -> int:
+    """Side of a source tile that holds at most about ``most`` source cells, and target cells."""
+    ratio = (src_grid.dx * src_grid.dy) / (dst_grid.dx * dst_grid.dy)
+    return max(1, min(256, int(math.sqrt(most / max(1.0, ratio)))))
+
+
+def tiles_with_halo(src: DataFrame, value: str, tile: int) -> DataFrame:
+    """Source cells by tile, those on the first row or column of a tile also in the tile before."""
+    at = lambda c: F.expr(f"floor({c} / {tile})")
+    tiles = lambda c: F.array_distinct(F.array(at(c), at(f"({c} - 1)")))
+    rows = src.where(F.col(value).isNotNull()).select(F.col("r").cast("bigint"), F.col("c").cast("bigint"), F.col(value).cast("double").alias("v"))
+    return rows.withColumn("_tr", F.explode(tiles("r"))).withColumn("_tc", F.explode(tiles("c")))
 
 
 def resample(src: DataFrame, value: str, src_grid: GridSpec, dst: DataFrame,
@@ -123,8 +150,8 @@ def resample(src: DataFrame, value: str, src_grid: GridSpec, dst: DataFrame,
     """Value of ``src`` at the centres of the ``dst`` cells.
 
     Bilinear weights are renormalised over the neighbours that hold a value. The
-    source is gathered once per 2x2 neighbourhood, so each target cell is one
-    equi-join row and nothing is grouped afterwards.
+    source is dealt once into tiles with a halo, the target rows once to the tile
+    of their neighbourhood; values are computed inside the tiles.
     """
     u = (dst_grid.x() - F.lit(src_grid.x0)) / F.lit(src_grid.dx)
     w = (F.lit(src_grid.y0) - dst_grid.y()) / F.lit(src_grid.dy)
@@ -135,14 +162,13 @@ def resample(src: DataFrame, value: str, src_grid: GridSpec, dst: DataFrame,
         return at.join(band, ["_r", "_c"], "left").drop("_r", "_c")
     if method != "bilinear":
         raise ValueError(f"unknown resampling method: {method}")
+    tile = tile_side(src_grid, dst_grid)
     at = dst.select(*keep, (u - 0.5).alias("_u"), (w - 0.5).alias("_w"))
-    at = at.select("*", F.floor("_w").alias("qr"), F.floor("_u").alias("qc"))
-    at = at.join(_quads(src, value), ["qr", "qc"], "left")
-    fu, fw = F.col("_u") - F.col("qc"), F.col("_w") - F.col("qr")
-    weights = [(1 - fw) * (1 - fu), (1 - fw) * fu, fw * (1 - fu), fw * fu]
-    num = add(F.coalesce(wt * F.col(f"v{k}"), F.lit(0.0)) for k, wt in enumerate(weights))
-    den = add(F.when(F.col(f"v{k}").isNotNull(), wt).otherwise(0.0) for k, wt in enumerate(weights))
-    return at.select(*keep, F.try_divide(num, F.when(den > 0, den)).alias(value))
+    at = at.select("*", F.floor("_w").alias("_qr"), F.floor("_u").alias("_qc"))
+    at = at.select("*", F.expr(f"floor(_qr / {tile})").alias("_tr"), F.expr(f"floor(_qc / {tile})").alias("_tc"))
+    schema = T.StructType([*[dst.schema[k] for k in keep], T.StructField(value, T.DoubleType())])
+    both = at.groupBy("_tr", "_tc").cogroup(tiles_with_halo(src, value, tile).groupBy("_tr", "_tc"))
+    return both.applyInArrow(partial(_bilinear, value=value, tile=tile), schema)
 
 
 def resample_keep_zero(src: DataFrame, value: str, src_grid: GridSpec, dst: DataFrame,
@@ -180,7 +206,7 @@ def sample_at(points: DataFrame, key: str, band: DataFrame, value: str, grid: Gr
     else:
         mean = F.avg(value)
     filled = around.groupBy(F.col("hr").alias("_r"), F.col("hc").alias("_c")).agg(mean.alias(value))
-    return at.join(have.unionByName(filled), ["_r", "_c"], "left").drop("_r", "_c")
+    return dealt_join(at, have.unionByName(filled), ["_r", "_c"], F.col(key), "left").drop("_r", "_c")
 
 
 def sample_or_mean(points: DataFrame, key: str, band: DataFrame, value: str,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import months_before, norm_text, not_dedicated, visible
+from .joins import dealt_join
 from .nearest import nearest
 from .ranks import quantiles
 
@@ -42,7 +43,7 @@ def inherit_type(storage: DataFrame, substations: DataFrame, name: str, sub_name
                  order: str, missing: str = "S/I") -> DataFrame:
     """Storage takes the type of the substation of the same name (the first one)."""
     first = substations.groupBy(norm_text(sub_name).alias("_k")).agg(F.min_by("tipo", order).alias("_t"))
-    out = storage.withColumn("_k", norm_text(name)).join(first, "_k", "left")
+    out = dealt_join(storage.withColumn("_k", norm_text(name)), first, ["_k"], F.struct(*storage.columns), "left")
     return out.withColumn("tipo", F.coalesce("_t", F.lit(missing))).drop("_k", "_t")
 
 

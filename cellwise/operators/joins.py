@@ -23,15 +23,18 @@ def dealt(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column,
     """Both sides with the keys to join them on.
 
     Keys above the limit, at most four per partition, are found first. Their left rows are dealt over salts by a hash of
-    ``spread``, their right rows are repeated once per salt; rows with a null key, which match nothing, are dealt too. ``left`` is read twice.
+    ``spread``, their right rows are repeated once per salt; rows with a null key, which match nothing, are dealt too. ``left`` is read
+    once more, and twice if it holds a crowd.
     """
     on, parts = list(on), max(partitions(left), 1)
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
-    limit = crowd_limit(left.count(), parts, least)
-    crowds = left.where(known).groupBy(*on).count().where(F.col("count") > limit)
-    found = crowds.select(*on, F.ceil(F.col("count") / limit).cast("int").alias("_salts")).collect()  # at most 4 * parts rows
-    if not found:
+    counts = left.groupBy(*on).count()
+    whole = counts.agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+    limit = crowd_limit(whole["rows"] or 0, parts, least)
+    if (whole["most"] or 0) <= limit:
         return left, right, on
+    crowds = counts.where(known & (F.col("count") > limit))
+    found = crowds.select(*on, F.ceil(F.col("count") / limit).cast("int").alias("_salts")).collect()  # at most 4 * parts rows
     schema = crowds.select(*on, F.lit(0).alias("_salts")).schema
     hot = F.broadcast(left.sparkSession.createDataFrame(found, schema))
     salts = F.coalesce("_salts", F.when(known, 1).otherwise(4 * parts))

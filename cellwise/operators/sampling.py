@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw, technical, uniform
+from .joins import dealt_join
 from .polygons import memberships
 from .ranks import cumulative, numbered, spearman, take_ranked
 
@@ -104,7 +105,7 @@ def group_folds(df: DataFrame, block: str, label: str, k: int = 5) -> DataFrame:
     turn = numbered(blocks, [F.desc("_p"), F.desc("_n"), F.asc(block)])
     step = F.pmod("position", F.lit(2 * k))
     fold = F.when(step < k, step).otherwise(2 * k - 1 - step)
-    return df.join(turn.select(block, fold.alias("fold")), block)
+    return dealt_join(df, turn.select(block, fold.alias("fold")), [block], F.struct(*df.columns))
 
 
 def impute_dates(df: DataFrame, key: str, date: str, seed: int) -> DataFrame:

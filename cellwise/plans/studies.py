@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as K
 from ..functions.pvalue import p_correlation
-from ..operators.components import label_components
+from ..operators.components import nested_zones
 from ..operators.grid import GridSpec
 from ..operators.quality import require_rows
 from ..operators.ranks import (
@@ -268,14 +268,12 @@ def topk_zones(valid: DataFrame, prob: str, grid: GridSpec, ks: Sequence[float]
     whole = table.agg(F.sum("_n").alias("n"), F.sum("_p").alias("p"))
     _require_topk(whole.first())
     totals = one(whole)
-    top = valid.withColumn("_l", lim).select("r", "c", "n_plants", prob, F.explode(F.array(*[
-        F.struct(F.lit(i).cast("bigint").alias("i"), F.col(f"_l.t{i}").alias("t"))
-        for i, _ in enumerate(ks)])).alias("k")).where(F.col(prob) >= F.col("k.t")).select(
-        "r", "c", "n_plants", F.col("k.i").alias("ki"))
-    top = cut(top)
-    lab = label_components(top, grid, by="ki")
-    z = lab.join(top, ["ki", "r", "c"]).groupBy("ki", "zone").agg(
-        F.count(F.lit(1)).alias("a"), F.sum("n_plants").alias("p"))
+    order = sorted(range(len(ks)), key=lambda i: ks[i])  # masks grow with K, so a cell of one is in all later ones
+    level = K.add(F.when(F.col(prob) < F.col(f"_l.t{i}"), 1).otherwise(0) for i in order)
+    top = valid.withColumn("_l", lim).select("r", "c", "n_plants", level.alias("level")).where(F.col("level") < len(ks))
+    z = nested_zones(top, grid, len(ks), ("n_plants",)).select(
+        F.element_at(F.array(*[F.lit(i) for i in order]), (F.col("level") + 1).cast("int")).alias("ki"), F.col("n").alias("a"),
+        F.col("n_plants").alias("p"))
     z = cut(z.withColumn("_t", totals).withColumn(
         "luck", 1.0 - F.pow(1.0 - F.col("a") / F.col("_t.n"), F.col("_t.p"))).drop("_t"))
     med = quantiles(z, "a", {"median_cells": 0.5}, by=["ki"])

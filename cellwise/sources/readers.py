@@ -25,14 +25,22 @@ def read_cells(spark: SparkSession, path: str, bands: Sequence[str], nodata: flo
     return df.select("r", "c", *[clean_band(b, nodata).alias(b) for b in bands])
 
 
-def read_geojson(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
     """Feature collection as a decomposed layer.
 
     Points give ``x, y``; lines one row per segment; polygons one row per edge.
     ``feature_id`` numbers the features by their id property or content hash.
+    A whole document is read by one task. With ``lines`` every feature stands on a
+    line of its own (bare, or in a collection with commas behind the features), and
+    files are read in as many byte ranges as their size asks for.
     """
-    doc = spark.read.option("multiLine", True).schema(f"features array<struct<{_fields(kind)}>>").json(path)
-    f = doc.select(F.explode("features").alias("f")).select("f.*")
+    if lines:
+        row = F.regexp_replace(F.trim("value"), r",\s*$", "")
+        text = spark.read.text(path).select(F.from_json(row, _fields(kind)).alias("f")).where("f.type = 'Feature'")
+        f = text.select("f.*")
+    else:
+        doc = spark.read.option("multiLine", True).schema(f"features array<struct<{_fields(kind)}>>").json(path)
+        f = doc.select(F.explode("features").alias("f")).select("f.*")
     ident = F.coalesce(F.col("properties")["id"], F.hex(F.xxhash64(F.to_json("geometry"), F.to_json("properties"))))
     f = f.withColumn("feature_id", ident)
     pts = F.col("geometry.coordinates")
