@@ -16,26 +16,35 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 from .grid import GridSpec
+from .joins import LEAST_CROWD, dealt_join
 
 
 def graph_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Smallest reachable vertex of every vertex: ``(v, root)`` from ``(a, b)`` edges."""
+    """Smallest reachable vertex of every vertex: ``(v, root)`` from ``(a, b)`` edges.
+
+    The links of a vertex that holds a large share of them are dealt over salted copies of it in both steps of a round.
+    """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
             .where(F.col("u") != F.col("v")).distinct())
-    if e.isEmpty():
+    n = e.count()
+    if not n:
         return e.select(F.col("u").alias("v"), F.col("v").alias("root"))
     state = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if n > LEAST_CROWD:
+            both = cut(both)  # read three times, as is e below
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.where(F.col("v") > F.col("u")).join(low, "u").select(
+        e = _with_low(both.where(F.col("v") > F.col("u")), low, n).select(
             F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        if n > LEAST_CROWD:
+            e = cut(e)
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        links = e.join(low, "u")
+        links = _with_low(e, low, n)
         e = cut(links.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
                 .union(low.select("u", F.col("m").alias("v"))).distinct())
         row = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**40))).alias("h")).first()
-        now = (row["n"], row["h"])
+        n, now = row["n"], (row["n"], row["h"])
         if now == state:
             break
         state = now
@@ -45,6 +54,11 @@ def graph_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("v"), "root").distinct())
 
 
+def _with_low(links: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """Links with the smallest neighbour of their first end; ``n`` links cannot hold a crowd unless they are many."""
+    return links.join(low, "u") if n <= LEAST_CROWD else dealt_join(links, low, ["u"], F.col("v"))
+
+
 def _label_block(r: np.ndarray, c: np.ndarray, tile: int) -> np.ndarray:
     """Index of the first cell of each 8-connected component of one tile."""
     r, c = r - r.min(), c - c.min()

@@ -68,6 +68,7 @@ def nearest(points: DataFrame, features: DataFrame, key: str, order: str,
             ([F.col(group).alias("_group")] if group else [])
     feats = feats.select(F.col(order).alias("_order"), *[F.col(g).cast("double").alias(f"g_{g}") for g in geom],
                          *extra, F.struct(F.col(order), *[F.col(a) for a in attrs]).alias("_attrs"))
+    feats = _one_place(feats, [f"g_{g}" for g in geom], bool(start), bool(group))
     if shape == "segment":
         feats = _pieces(feats, max(span.values()) / 64.0)
         lo = {d: F.least(f"a_{d}", f"b_{d}") for d in dims}
@@ -76,9 +77,6 @@ def nearest(points: DataFrame, features: DataFrame, key: str, order: str,
     else:
         lo = hi = {d: F.col(f"g_{d}") for d in dims}
         drop = []
-        if not start and not group:
-            feats = feats.groupBy(*[f"g_{d}" for d in dims]).agg(
-                F.min("_order").alias("_order"), F.min_by("_attrs", "_order").alias("_attrs"))
     depth = _depth(feats, {d: (lo[d] + hi[d]) / 2.0 for d in dims}, box, span, dims, base, int(box["n"]))
     side = base**depth
 
@@ -176,6 +174,28 @@ def nearest(points: DataFrame, features: DataFrame, key: str, order: str,
     return points.select(key).join(won, key, "left") if keep_all else won
 
 
+def _one_place(feats: DataFrame, geom: Sequence[str], dated: bool, grouped: bool) -> DataFrame:
+    """Features that may be the answer of some point, among those with the same geometry.
+
+    Without conditions that is the one of smallest order. With dates it is the skyline of (start, order): a feature
+    counts if none of smaller order was there as early. With groups it is the smallest of two groups.
+    All of it rests on minima per (geometry, start) or (geometry, group), which are combined before they are shuffled.
+    """
+    first = [F.min("_order").alias("_order"), F.min_by("_attrs", "_order").alias("_attrs")]
+    if dated and grouped:
+        return feats.groupBy(*geom, "_start", "_group").agg(*first)
+    if dated:
+        best = feats.groupBy(*geom, "_start").agg(*first)
+        before = Window.partitionBy(*geom).orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+        best = best.withColumn("_least", F.min("_order").over(before))
+        return best.where(F.col("_least").isNull() | (F.col("_order") < F.col("_least"))).drop("_least")
+    if grouped:
+        best = feats.where(F.col("_group").isNotNull()).groupBy(*geom, "_group").agg(*first)
+        place = F.row_number().over(Window.partitionBy(*geom).orderBy("_order"))
+        return best.withColumn("_place", place).where("_place <= 2").drop("_place")
+    return feats.groupBy(*geom).agg(*first)
+
+
 def _pieces(feats: DataFrame, length: float) -> DataFrame:
     """Cut long segments for the index only; distances use the whole segment."""
     run = F.sqrt((F.col("g_x2") - F.col("g_x1")) ** 2 + (F.col("g_y2") - F.col("g_y1")) ** 2)

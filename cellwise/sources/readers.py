@@ -36,7 +36,7 @@ def read_geojson(spark: SparkSession, path: str, kind: str, lines: bool = False)
     """
     if lines:
         row = F.regexp_replace(F.trim("value"), r",\s*$", "")
-        text = spark.read.text(path).select(F.from_json(row, _fields(kind)).alias("f")).where("f.type = 'Feature'")
+        text = spark.read.text(path).select(F.from_json(row, f"struct<{_fields(kind)}>").alias("f")).where("f.type = 'Feature'")
         f = text.select("f.*")
     else:
         doc = spark.read.option("multiLine", True).schema(f"features array<struct<{_fields(kind)}>>").json(path)

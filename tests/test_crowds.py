@@ -7,7 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cellwise.operators import components as C
 from cellwise.operators import joins as J
+from cellwise.operators import nearest as N
 from cellwise.operators import polygons as P
 
 
@@ -109,3 +111,47 @@ def test_lines_cut_by_polygons(spark):
         for z in (0, 1):
             share = (hit[:, pdf[:, 0] == z].sum(axis=1) % 2).mean()
             assert got.get((k, z), 0.0) == pytest.approx(share * math.hypot(x2 - x1, y2 - y1), abs=0.3)
+
+
+def test_components_with_a_hub(spark):
+    """A star of 60,000 nodes beside a path and a second star that meets it late."""
+    star = spark.range(1, 60_000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    path = spark.range(100_000, 100_300).select("id", (F.col("id") + 1).alias("b"))
+    other = spark.range(200_001, 205_000).select(F.lit(200_000).cast("long"), F.col("id"))
+    bridge = spark.createDataFrame([(59_999, 204_999)], "a long, b long")
+    edges = star.union(path).union(other).union(bridge)
+    got = {r.root: r["count"] for r in C.graph_components(edges).groupBy("root").count().collect()}
+    assert got == {0: 65_000, 100_000: 301}
+    links = star.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    a, b, keys = J.dealt(links, links.groupBy("u").agg(F.min("v").alias("m")), ["u"], F.col("v"))
+    assert keys == ["u", "_salt"] and a.groupBy(*keys).count().agg(F.max("count")).first()[0] < 1.2 * J.crowd_limit(60_000, 8)
+
+
+def crowd(rng, n):
+    """Features a third of which share one place."""
+    xy = np.where(np.arange(n)[:, None] % 3 == 0, 50.0, rng.random((n, 2)) * 100)
+    return pd.DataFrame({"id": rng.permutation(n), "x": xy[:, 0], "y": xy[:, 1], "start": rng.integers(0, 500, n), "team": rng.integers(0, 40, n)})
+
+
+@pytest.mark.parametrize("rule", ["dated", "grouped"])
+def test_nearest_among_coincident_features(spark, rule):
+    rng = np.random.default_rng(9)
+    feats = crowd(rng, 24_000)
+    points = pd.DataFrame({"k": np.arange(60), "x": 40 + rng.random(60) * 20, "y": 40 + rng.random(60) * 20,
+                           "cutoff": rng.integers(-5, 520, 60), "mine": rng.integers(0, 40, 60)})
+    points.loc[:5, ["x", "y"]] = 50.0
+    f = feats.to_dict("list")
+    fx, fy, fs, ft, fi = (np.array(f[c]) for c in ("x", "y", "start", "team", "id"))
+    want = {}
+    for p in points.itertuples():
+        ok = fs <= p.cutoff if rule == "dated" else ft != p.mine
+        if ok.any():
+            d = np.sqrt((fx - p.x) ** 2 + (fy - p.y) ** 2)
+            want[p.k] = min((round(float(a), 9), int(i)) for a, i in zip(d[ok], fi[ok]))
+    df = spark.createDataFrame(feats).withColumnRenamed("team", "mine")
+    how = {"start": "start", "cutoff": "cutoff"} if rule == "dated" else {"group": "mine"}
+    got = N.nearest(spark.createDataFrame(points), df, "k", "id", **how)
+    assert {r.k: (round(r.dist, 9), r.id) for r in got.collect()} == want
+    kept = N._one_place(df.select(F.col("id").alias("_order"), F.col("x").alias("g_x"), F.col("y").alias("g_y"), F.col("start").alias("_start"),
+                                  F.col("mine").alias("_group"), F.struct("id").alias("_attrs")), ["g_x", "g_y"], rule == "dated", rule == "grouped")
+    assert kept.where("g_x = 50 and g_y = 50").count() <= (40 if rule == "dated" else 2)
