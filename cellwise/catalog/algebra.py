@@ -103,13 +103,28 @@ def _profiles(t: Inputs):
 NAMES = ("conservador", "balanceado", "agresivo")
 
 
-@query("consensus_counts", PROFILES + f""", th AS (SELECT quantile_cont(conservador,0.9) a, quantile_cont(balanceado,0.9) b, quantile_cont(agresivo,0.9) g FROM q),
-f AS (SELECT (conservador>=a)::INT + (balanceado>=b)::INT + (agresivo>=g)::INT AS consenso FROM q, th)
-SELECT consenso, count(*) AS celdas, {M('100.0*count(*)/(SELECT count(*) FROM q)')} AS pct FROM f GROUP BY 1""")
+FLAGGED = PROFILES + """, th AS (SELECT quantile_cont(conservador,0.9) a, quantile_cont(balanceado,0.9) b, quantile_cont(agresivo,0.9) g FROM q),
+f AS (SELECT (conservador>=a)::INT AS x, (balanceado>=b)::INT AS y, (agresivo>=g)::INT AS z FROM q, th),
+n AS (SELECT k AS consenso, count(f.x) AS celdas, 100.0*count(f.x)/(SELECT count(*) FROM q) AS pct FROM (SELECT unnest([0,1,2,3]) AS k) LEFT JOIN f ON x+y+z=k GROUP BY k)"""
+
+
+@query("consensus_counts", FLAGGED + f" SELECT consenso, celdas, {M('pct')} AS pct FROM n")
 def consensus_counts(t: Inputs):
     return rounded(P.consensus_counts(P.consensus_cells(_profiles(t), NAMES, 90.0), NAMES))
 
 
+@query("consensus_profiles", FLAGGED + f""" SELECT unnest(['conservador','balanceado','agresivo']) AS perfil, unnest([{M('any_value(a)')},{M('any_value(b)')},{M('any_value(g)')}]) AS umbral,
+ unnest([sum(x),sum(y),sum(z)])::BIGINT AS celdas_aptas, (SELECT count(*) FROM q) AS celdas_validas FROM f, th""")
+def consensus_profiles(t: Inputs):
+    return rounded(P.consensus_profiles(P.consensus_cells(_profiles(t), NAMES, 90.0), NAMES, 90.0))
+
+
+@query("consensus_reading", FLAGGED + """ SELECT printf('%.2f%% apta en los 3 perfiles (consenso); %.2f%% solo en algunos (divergencia)',
+ round(sum(CASE WHEN consenso=3 THEN celdas ELSE 0 END)*100.0/sum(celdas),2), round(sum(CASE WHEN consenso IN (1,2) THEN celdas ELSE 0 END)*100.0/sum(celdas),2)) AS lectura FROM n""")
+def consensus_reading(t: Inputs):
+    return P.consensus_reading(P.consensus_counts(P.consensus_cells(_profiles(t), NAMES, 90.0), NAMES), NAMES)
+
+
 @query("consensus_rank_corr", PROFILES + f""", k AS (SELECT
   rank() OVER (ORDER BY conservador)+(count(*) OVER (PARTITION BY conservador)-1)/2.0 AS a,
   rank() OVER (ORDER BY balanceado)+(count(*) OVER (PARTITION BY balanceado)-1)/2.0 AS b,

@@ -37,43 +37,57 @@ SAMPLES = f""", smp AS (SELECT r*100+c AS cell, r, c, c//34 AS region, (floor(x/
 
 # -- applicability ------------------------------------------------------------------------
 
-AOA = """, tr AS (SELECT * FROM space WHERE is_train), zo AS (SELECT * FROM space WHERE NOT is_train),
-st AS (SELECT avg(f1) m1, avg(f2) m2, avg(f3) m3, stddev_pop(f1) s1, stddev_pop(f2) s2, stddev_pop(f3) s3 FROM tr),
-wt AS (SELECT vec_id, label, (f1-m1)/s1*sqrt(0.5) AS a, (f2-m2)/s2*sqrt(0.3) AS b, (f3-m3)/s3*sqrt(0.2) AS g FROM tr, st),
-wz AS (SELECT vec_id, (f1-m1)/s1*sqrt(0.5) AS a, (f2-m2)/s2*sqrt(0.3) AS b, (f3-m3)/s3*sqrt(0.2) AS g FROM zo, st),
-d AS (SELECT p.vec_id, min(sqrt((p.a-q.a)**2+(p.b-q.b)**2+(p.g-q.g)**2)) AS d FROM wt p JOIN wt q ON {other} GROUP BY 1),
-mu AS (SELECT avg(d) AS mu FROM d), di AS (SELECT d/mu AS di FROM d, mu),
-th AS (SELECT quantile_cont(di,0.75)+1.5*(quantile_cont(di,0.75)-quantile_cont(di,0.25)) AS t FROM di),
-z AS (SELECT p.vec_id, min(sqrt((p.a-q.a)**2+(p.b-q.b)**2+(p.g-q.g)**2))/(SELECT mu FROM mu) AS di FROM wz p, wt q GROUP BY 1)"""
-W = {"f1": 0.5, "f2": 0.3, "f3": 0.2}
+W = {"f1": 0.3, "f2": 0.2, "f3": 0.15, "f4": 0.1, "f5": 0.1, "f6": 0.1, "f7": 0.05}
+SPACE = list(W)
+
+
+def _aoa_sql(sets: str, other: str) -> str:
+    """Applicability of every scenario s, from training rows tr(s, vec_id, label, f...) and zone rows zo(s, vec_id, f...)."""
+    far = "min(sqrt(" + "+".join(f"(p.{f}-q.{f})**2" for f in SPACE) + "))"
+    scaled = ", ".join(f"(r.{f}-st.m_{f})/st.s_{f}*sqrt({W[f]}::DOUBLE) AS {f}" for f in SPACE)
+    return f""", {sets},
+st AS (SELECT s, {", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in SPACE)} FROM tr GROUP BY s),
+wt AS (SELECT r.s, r.vec_id, r.label, {scaled} FROM tr r JOIN st USING (s)), wz AS (SELECT r.s, r.vec_id, {scaled} FROM zo r JOIN st USING (s)),
+d AS (SELECT p.s, p.vec_id, {far} AS d FROM wt p JOIN wt q ON p.s=q.s AND {other} GROUP BY ALL),
+mus AS (SELECT s, avg(d) AS mu FROM d GROUP BY s), dis AS (SELECT d.s, d/mu AS di FROM d JOIN mus USING (s)),
+ths AS (SELECT s, quantile_cont(di,0.75)+1.5*(quantile_cont(di,0.75)-quantile_cont(di,0.25)) AS t FROM dis GROUP BY s),
+zs AS (SELECT p.s, p.vec_id, {far}/any_value(mu) AS di FROM wz p JOIN wt q ON p.s=q.s JOIN mus ON mus.s=p.s GROUP BY ALL),
+mu AS (SELECT mu FROM mus WHERE s=''), di AS (SELECT di FROM dis WHERE s=''), th AS (SELECT t FROM ths WHERE s=''), z AS (SELECT vec_id, di FROM zs WHERE s='')"""
+
+
+_ROWS = f"vec_id, label, {', '.join(SPACE)} FROM space"
+ONE = f"tr AS (SELECT '' AS s, {_ROWS} WHERE is_train), zo AS (SELECT '' AS s, {_ROWS} WHERE NOT is_train)"
 FIT = f""" SELECT (SELECT {M('mu')} FROM mu) AS mean_distance, (SELECT {M('t')} FROM th) AS threshold, count(*) AS n, {M('min(di)')} AS min, {M('avg(di)')} AS mean,
  {M('quantile_cont(di,0.25)')} AS di_q25, {M('quantile_cont(di,0.5)')} AS di_mediana, {M('quantile_cont(di,0.75)')} AS di_q75, {M('max(di)')} AS max FROM di"""
+SCENARIOS = f"""l AS (SELECT DISTINCT label AS h FROM space WHERE is_train),
+tr AS (SELECT unnest(['in_sample', 'transferencia']) AS s, {_ROWS} WHERE is_train UNION ALL SELECT 'loro_'||h, {_ROWS}, l WHERE is_train AND label<>h),
+zo AS (SELECT 'in_sample' AS s, {_ROWS} UNION ALL SELECT 'transferencia', {_ROWS} WHERE NOT is_train UNION ALL SELECT 'loro_'||h, {_ROWS}, l WHERE label=h)"""
 
 
 def _fit(t: Inputs, group=None):
-    return A.fit(t.space.where("is_train"), ["f1", "f2", "f3"], "vec_id", W, group)
+    return A.fit(t.space.where("is_train"), SPACE, "vec_id", W, group)
 
 
 def _fit_row(f):
     return rounded(f.stats.select(F.lit(f.mean_distance).alias("mean_distance"), F.lit(f.threshold).alias("threshold"), "*"))
 
 
-@query("aoa_fit", AOA.format(other="p.vec_id<>q.vec_id") + FIT)
+@query("aoa_fit", _aoa_sql(ONE, "p.vec_id<>q.vec_id") + FIT)
 def aoa_fit(t: Inputs):
     return _fit_row(_fit(t))
 
 
-@query("aoa_fit_blocks", AOA.format(other="p.label<>q.label") + FIT)
+@query("aoa_fit_blocks", _aoa_sql(ONE, "p.label<>q.label") + FIT)
 def aoa_fit_blocks(t: Inputs):
     return _fit_row(_fit(t, "label"))
 
 
-@query("aoa_score", AOA.format(other="p.vec_id<>q.vec_id") + f" SELECT vec_id, {M('di')} AS di, di <= t AS inside FROM z, th")
+@query("aoa_score", _aoa_sql(ONE, "p.vec_id<>q.vec_id") + f" SELECT vec_id, {M('di')} AS di, di <= t AS inside FROM z, th")
 def aoa_score(t: Inputs):
     return rounded(A.dissimilarity(_fit(t), t.space.where("not is_train"), "vec_id"))
 
 
-@query("aoa_zone", AOA.format(other="p.vec_id<>q.vec_id") + f""" SELECT count(*) AS n_cells, count(*) FILTER (di<=t) AS n_inside, count(*) FILTER (di>t) AS n_outside,
+@query("aoa_zone", _aoa_sql(ONE, "p.vec_id<>q.vec_id") + f""" SELECT count(*) AS n_cells, count(*) FILTER (di<=t) AS n_inside, count(*) FILTER (di>t) AS n_outside,
  {M('100.0*count(*) FILTER (di<=t)/count(*)')} AS pct_inside, {M('100.0*count(*) FILTER (di>t)/count(*)')} AS pct_outside, {M('min(di)')} AS min, {M('avg(di)')} AS mean,
  {M('quantile_cont(di,0.25)')} AS p25, {M('quantile_cont(di,0.5)')} AS p50, {M('quantile_cont(di,0.75)')} AS p75, {M('quantile_cont(di,0.95)')} AS p95, {M('max(di)')} AS max, {M('stddev_pop(di)')} AS std FROM z, th""")
 def aoa_zone(t: Inputs):
@@ -82,10 +96,12 @@ def aoa_zone(t: Inputs):
     return rounded(A.zone_report(cut(A.dissimilarity(_fit(t), t.space.where("not is_train"), "vec_id"))))
 
 
-@query("aoa_scenarios")
+@query("aoa_scenarios", _aoa_sql(SCENARIOS, "p.vec_id<>q.vec_id") + f""" SELECT s AS escenario, {M('any_value(t)')} AS umbral, count(*) AS n_cells, count(*) FILTER (di<=t) AS n_inside,
+ {M('100.0*count(*) FILTER (di<=t)/count(*)')} AS pct_inside FROM zs JOIN ths USING (s) GROUP BY s""")
 def aoa_scenarios(t: Inputs):
-    tr, zo = t.space.where("is_train"), t.space.where("not is_train")
-    return L.applicability_scenarios({"in_sample": (tr, tr), "transferencia": (tr, zo)}, "vec_id", ["f1", "f2", "f3"], W)
+    # the zone grid is the whole table: all rows in the model's own zone, each label against the others, and other labels
+    pairs = L.spatial_scenarios(t.space.where("is_train"), t.space, t.space.where("not is_train"), "label")
+    return rounded(L.applicability_scenarios(pairs, "vec_id", SPACE, W))
 
 
 # -- judgement matrices ----------------------------------------------------------------------
@@ -104,6 +120,25 @@ def ahp_weights(t: Inputs):
     return out.withColumn("cr", F.abs("cr") + 0.0)
 
 
+_JUDGED = """, m AS (SELECT n_nationkey AS z, 1.0::DOUBLE + n_nationkey % 5 AS a, 1.0::DOUBLE/(1 + n_nationkey % 4) AS b, 2.0::DOUBLE + n_nationkey % 3 AS g FROM nation),
+it AS (SELECT z, 0 AS k, 1/3.0::DOUBLE AS u, 1/3.0::DOUBLE AS v, 1/3.0::DOUBLE AS w FROM m UNION ALL
+ SELECT z, k+1, (u+a*v+b*w)/s, (u/a+v+g*w)/s, (u/b+v/g+w)/s FROM (SELECT *, u+a*v+b*w+u/a+v+g*w+u/b+v/g+w AS s FROM it JOIN m USING (z) WHERE k<200)),
+e AS (SELECT *, (u+a*v+b*w)/u AS lam FROM it JOIN m USING (z) WHERE k=200)"""
+
+
+@query("ahp_inconsistent", _JUDGED + f""" SELECT z AS zone_id, {M('u')} AS w0, {M('v')} AS w1, {M('w')} AS w2, {M('lam')} AS lambda_max, {M('(lam-3)/2/0.58')} AS cr,
+ (lam-3)/2/0.58 < 0.1 AS consistent FROM e""", recursive=True)
+def ahp_inconsistent(t: Inputs):
+    k = F.col("n_nationkey")
+    a, b, g, one = F.lit(1.0) + k % 5, F.lit(1.0) / (1 + k % 4), F.lit(2.0) + k % 3, F.lit(1.0)
+    m = [[one, a, b], [1 / a, one, g], [1 / b, 1 / g, one]]
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), m[i][j].alias("value")) for i in range(3) for j in range(3)]))
+    got = H.ahp_weights(t.table("nation").select(k.cast("string").alias("profile"), cells.alias("s")).select("profile", "s.*"))
+    at = lambda i: F.max(F.when(F.col("i") == i, F.col("weight"))).alias(f"w{i}")
+    return rounded(got.groupBy(F.col("profile").cast("int").alias("zone_id")).agg(
+        at(0), at(1), at(2), F.max("lambda_max").alias("lambda_max"), F.max("cr").alias("cr"), F.every("consistent").alias("consistent")))
+
+
 @query("ahp_or_direct_weights", AHPQ + f""", a AS (SELECT 'p'||prof AS profile, 'c'||i AS criterion, s/sum(s) OVER (PARTITION BY prof) AS weight FROM w WHERE prof<3),
 d AS (SELECT DISTINCT 'p'||prof AS profile, 'c'||i AS criterion, 0.2::DOUBLE AS weight FROM w)
 SELECT d.profile, d.criterion, {M('coalesce(a.weight, d.weight)')} AS weight FROM d LEFT JOIN a USING (profile, criterion)""")
@@ -172,12 +207,16 @@ def ablation(t: Inputs):
     return FO.ablation(samples(t), "block", None, "clase", PARAMS, 2)
 
 
-@query("feature_correlations", SAMPLES.replace(", smp AS (SELECT ", ", smp AS (SELECT ghi, slope, elev, cos(radians(aspect)) AS northness, ") + ", k AS (SELECT " + ", ".join(
-    f"rank() OVER (ORDER BY {v})+(count(*) OVER (PARTITION BY {v})-1)/2.0 AS {v}" for v in FEATURES[:4]) + " FROM smp) " + " UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, floor(corr({a},{b})*1e3+0.5)/1e3 AS rho FROM k" for a in FEATURES[:4] for b in FEATURES[:4]))
+_SEVEN = SAMPLES.replace(", smp AS (SELECT ", """, smp AS (SELECT ghi, slope, elev, cos(radians(aspect)) AS northness, abs(c-37)*1000.0::DOUBLE AS dist_transmision,
+ sqrt((r-20)**2+(c-70)**2)*1000.0::DOUBLE AS dist_almacen, sqrt((r-5)**2+(c-15)**2)*1000.0::DOUBLE AS dist_subestaciones, """)
+
+
+@query("feature_correlations", _SEVEN + ", k AS (SELECT " + ", ".join(
+    f"rank() OVER (ORDER BY {v})+(count(*) OVER (PARTITION BY {v})-1)/2.0 AS {v}" for v in FEATURES) + " FROM smp) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, floor(corr({a},{b})*1e3+0.5)/1e3 AS rho FROM k" for a in FEATURES for b in FEATURES))
 def feature_correlations(t: Inputs):
     # three decimals: equal cosines of different angles may differ in the last bit between engines
-    c = L.feature_correlations(samples(t), FEATURES[:4])
+    c = L.feature_correlations(samples(t), FEATURES)
     return c.withColumn("rho", F.floor(F.col("rho") * 1e3 + 0.5) / F.lit(1e3))
 
 
@@ -213,13 +252,16 @@ def dominant_summary(t: Inputs):
 
 @query("score_yield_correlation")
 def score_yield_correlation(t: Inputs):
-    from ..runtime import cut
-
     s = samples(t)
-    p = cut(FO.score(FO.train(s, FEATURES, "clase", PARAMS), s, FEATURES).where("yld > 0").select("cell", "prob", "yld"))
-    rows = P.correlation_guarded(p, "prob", "yld").withColumn("ambito", F.lit("todas"))
-    return rows.unionByName(P.correlation_guarded(p.where("prob >= 0.7"), "prob", "yld").withColumn("ambito", F.lit("aptas"))).withColumn(
-        "lectura", P.correlation_reading(F.col("rho")))
+    return P.score_yield_rows(FO.score(FO.train(s, FEATURES, "clase", PARAMS), s, FEATURES), "prob", "yld", "ghi", 0.7)
+
+
+@query("irradiance_yield_correlation", f""", k AS (SELECT rank() OVER (ORDER BY ghi)+(count(*) OVER (PARTITION BY ghi)-1)/2.0 AS a,
+ rank() OVER (ORDER BY yld)+(count(*) OVER (PARTITION BY yld)-1)/2.0 AS b FROM cells WHERE yld>0), r AS (SELECT count(*) AS n, corr(a,b) AS rho FROM k)
+SELECT n, {M('rho')} AS rho, CASE WHEN abs(rho)<0.3 THEN 'criterios casi independientes' ELSE 'criterios asociados' END AS lectura FROM r""")
+def irradiance_yield_correlation(t: Inputs):
+    rows = P.score_yield_rows(t.cells, "prob", "yld", "ghi", 0.7).where("ambito = 'irradiancia'")
+    return rounded(rows.select("n", "rho", "lectura"))
 
 
 # -- studies --------------------------------------------------------------------------------------
@@ -248,21 +290,75 @@ def design_sensitivity(t: Inputs):
     return _designs(t).drop("shares")
 
 
+_POOL = """, cand AS (SELECT * FROM smp WHERE clase=0), pools AS (SELECT 'ahp_filtrado' AS estrategia, * FROM cand WHERE ghi>=160 AND slope<=25 AND elev<=3900 AND dist_subestaciones<=60000
+ UNION ALL SELECT 'fondo_aleatorio', * FROM cand UNION ALL SELECT 'sin_filtros_geofisicos', * FROM cand WHERE dist_subestaciones<=60000
+ UNION ALL SELECT 'grupo_objetivo', * FROM cand WHERE dist_subestaciones<=30000)"""
+
+
+@query("design_pool_sizes", _SEVEN + _POOL + """ SELECT estrategia, count(*) AS n_pool, 7::BIGINT AS n_features FROM pools GROUP BY 1""")
+def design_pool_sizes(t: Inputs):
+    rows = L.design_pools(_design_pools(t), "cell", 100)
+    return rows.groupBy("estrategia").agg(F.max("n_pool").alias("n_pool"), F.count_distinct("feature").alias("n_features"))
+
+
+@query("design_negatives")
+def design_negatives(t: Inputs):
+    pos = samples(t).where("clase = 1").count()
+    return L.design_pools(_design_pools(t), "cell", 3 * pos)
+
+
+@query("design_negatives_whole", _SEVEN + _POOL + ", long AS (" + " UNION ALL ".join(f"SELECT estrategia, '{f}' AS feature, {f}::DOUBLE AS v FROM pools" for f in FEATURES) + f""")
+SELECT estrategia, feature, count(*) AS n, {M('min(v)')} AS min, {M('quantile_cont(v,0.25)')} AS p25, {M('quantile_cont(v,0.5)')} AS mediana,
+ {M('quantile_cont(v,0.75)')} AS p75, {M('max(v)')} AS max, floor(avg(v)*1e3+0.5)/1e3 AS mean, floor(stddev_samp(v)*1e3+0.5)/1e3 AS std FROM long GROUP BY 1,2""")
+def design_negatives_whole(t: Inputs):
+    # as many negatives as the pools hold: the draw is the pool, so the spread is known
+    rows = L.design_pools(_design_pools(t), "cell", t.cells.count()).drop("n_pool")
+    return rounded(rows, "min", "p25", "mediana", "p75", "max").withColumns(
+        {c: F.floor(F.col(c) * 1e3 + 0.5) / F.lit(1e3) for c in ("mean", "std")})
+
+
 @query("design_agreement")
 def design_agreement(t: Inputs):
     return L.design_agreement(_designs(t))
 
 
-@query("leak_audit")
-def leak_audit(t: Inputs):
+def _audit(t: Inputs):
     k = F.col("site_id")
     s = t.sites.select(
         k, "x", "y", "f_ref", (F.lit(140.0) + (k * 29) % 160).alias("ghi"), (((k * 31) % 300) / 10.0).alias("slope"),
         (F.lit(100.0) + (k * 211) % 4200).alias("elev"), K.northness((k * 37) % 360).alias("northness"),
         F.col("is_pos").cast("int").alias("clase"), (F.col("region_id") % 2).alias("region"), K.block_number("x", "y", 60000.0).alias("block"))
-    layers = {"subestaciones": (t.infra, "infra_id", "point"), "lineas": (t.lines, "line_id", "segment"), "almacenamiento": (t.infra.where("infra_id % 2 = 0"), "infra_id", "point")}
-    wide = I.experiment_features(I.distance_table(s, layers, "site_id", "f_ref"), "site_id")
-    return L.leak_audit(s, wide, "site_id", "block", "region", ["linea_base", "tres_sin_dedicadas", "tres_previas"], PARAMS, 2)
+    layers = {"subestaciones": (t.infra, "infra_id", "point"), "lineas": (t.lines, "line_id", "segment"),
+              "almacenamiento": (t.infra.where("tipo <> 'ZONAL'"), "infra_id", "point")}
+    return s, I.experiment_features(I.distance_table(s, layers, "site_id", "f_ref"), "site_id")
+
+
+@query("leak_audit")
+def leak_audit(t: Inputs):
+    s, wide = _audit(t)
+    return L.leak_audit(s, wide, "site_id", "block", "region", params=PARAMS, k=2)
+
+
+@query("leak_audit_checks", " SELECT unnest([" + ", ".join(f"'{e}'" for e in I.EXPERIMENTS) + "]) AS experimento, unnest([" + ", ".join(
+    str(I.has_map(e)).lower() for e in I.EXPERIMENTS) + """]) AS has_map, (SELECT count(*) FROM sites) AS n, 100.0::DOUBLE AS pct_total, 1::BIGINT AS first_place, 7::BIGINT AS last_place,
+ 2::BIGINT AS n_regions, true AS families_add_up, true AS rates_in_range""")
+def leak_audit_checks(t: Inputs):
+    r = leak_audit(t)
+    total = lambda c: F.aggregate(F.map_values(c), F.lit(0.0), lambda x, y: x + y)
+    inside = K.add(F.col(c).between(0, 1).cast("int") for c in ("auc_mean", "brier_mean", "loro_auc", "loro_gap")) == 4
+    return r.select("experimento", "has_map", "n", F.round(total("shares"), 6).alias("pct_total"), F.array_min(F.map_values("places")).cast("bigint").alias("first_place"),
+                    F.array_max(F.map_values("places")).cast("bigint").alias("last_place"), F.size("loro").cast("bigint").alias("n_regions"),
+                    (F.abs(F.col("pct_red") + F.col("pct_recurso") - 100.0) < 1e-6).alias("families_add_up"), inside.alias("rates_in_range"))
+
+
+@query("audit_maps")
+def audit_maps(t: Inputs):
+    s, wide = _audit(t)
+    m = samples(t).drop("clase", "region", "block")
+    dist = m.select("r", "c", "dist_subestaciones", "dist_transmision", "dist_almacen")
+    maps = L.audit_maps(s, wide, m, {n: dist for n in ("linea_base", "tres_sin_dedicadas", "tres_previas")}, "site_id", PARAMS)
+    both = [df.select("r", "c", F.lit(n).alias("experimento"), "prob") for n, df in maps.items()]
+    return both[0].unionByName(both[1])
 
 
 def _mapped(t: Inputs):
@@ -294,3 +390,13 @@ def transfer_applicability(t: Inputs):
     tr = m.where("c < 50")
     out = L.transfer(FO.train(tr, FEATURES, "clase", PARAMS), tr, m.where("c >= 50"), t.grid, "cell", FEATURES, (1.0,))
     return out["aoa"].withColumn("_p", out["plants"].select(F.struct("*")).scalar()).select("*", "_p.*").drop("_p")
+
+
+@query("transfer_sensitivity")
+def transfer_sensitivity(t: Inputs):
+    m = _mapped(t)
+    tr, zone = m.where("c < 50"), m.where("c >= 50")
+    # a line along column 80 carries a compound region code: only the compound filter keeps it
+    wide = zone.withColumn("dist_transmision", F.least(F.col("dist_transmision"), F.abs(F.col("c") - 80) * 1000.0))
+    model = FO.train(tr, FEATURES, "clase", PARAMS)
+    return L.transfer_sensitivity(model, tr, zone, wide, t.grid, "cell", FEATURES, (1.0, 5.0, 10.0))["delta"]

@@ -121,10 +121,24 @@ def insert_sql(t: Inputs):
     return sinks.to_insert_sql(df, order="ord").where("part = 1")
 
 
-@query("reconcile", "SELECT count(*) AS n, 0::BIGINT AS n_unmatched, 0.0::DOUBLE AS max_diff FROM sites")
+@query("reconcile", "SELECT count(DISTINCT region_id) AS n, 0::BIGINT AS n_unmatched, 0.0::DOUBLE AS max_diff FROM sites")
 def reconcile(t: Inputs):
-    a = t.sites.select("site_id", "prob")
-    return Q.reconcile(a, a.withColumn("prob", F.col("prob") + 0.0), ["site_id"], "prob", 1e-9)
+    control = t.table("customer").groupBy(F.col("c_nationkey").alias("region_id")).agg(F.sum(F.lit(1) + F.col("c_custkey") % 250).cast("double").alias("mw"))
+    return Q.reconcile(t.sites.groupBy("region_id").agg(F.sum("mw").alias("mw")), control, ["region_id"], "mw", 1e-6)
+
+
+@query("layer_in_system", f"""SELECT site_id, {M('-70.0 + (x-500000.0)/1e6')} AS lon0, true AS same_place, true AS moved_back FROM sites""")
+def layer_in_system(t: Inputs):
+    # degrees to zone 19 and from zone 18 to zone 19 meet in the same place; a layer without a system stays as it is
+    lon, lat = F.lit(-70.0) + (F.col("x") - 500000.0) / 1e6, F.lit(-25.0) + (F.col("y") - 7000000.0) / 1e6
+    s = t.sites.select("site_id", lon.alias("lon"), lat.alias("lat"), lon.alias("x"), lat.alias("y"))
+    east = Q.in_system(s, 4326, 32719)
+    zone18 = Q.in_system(s, 4326, 32718).select("site_id", "x", "y")
+    again = Q.in_system(zone18, 32718, 32719).select("site_id", F.col("x").alias("x2"), F.col("y").alias("y2"))
+    same = Q.in_system(Q.in_system(east, None, 32719), 32719, 32719).select("site_id", F.col("x").alias("x3"))
+    both = east.join(again, "site_id").join(same, "site_id")
+    near = (F.abs(F.col("x") - F.col("x2")) < 0.05) & (F.abs(F.col("y") - F.col("y2")) < 0.05)
+    return both.select("site_id", K.micro(F.col("lon")).alias("lon0"), near.alias("same_place"), (F.col("x") == F.col("x3")).alias("moved_back"))
 
 
 @query("report_json", """SELECT '{"region_id":' || region_id || ',"n":' || count(*) || ',"mw":' || sum(mw)::BIGINT || '}' AS value FROM sites GROUP BY region_id""")

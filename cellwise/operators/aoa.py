@@ -42,7 +42,7 @@ def fit(train: DataFrame, features: Sequence[str], key: str,
     """Standardise, weight, and derive the threshold Q3 + 1.5 IQR of the training index.
 
     With ``group`` a training row is measured against other groups only (spatial
-    cross-validation), else against every other row.
+    cross-validation), else, and if there is one group only, against every other row.
     """
     features = tuple(features)
     train = train.dropna(subset=list(features))
@@ -57,7 +57,7 @@ def fit(train: DataFrame, features: Sequence[str], key: str,
     space = cut(_project(train, features, means, sds, w, keep))
     dims = [f"_w_{f}" for f in features]
     other = space.withColumnRenamed(key, "_ref")
-    if group:
+    if group and space.select(group).distinct().limit(2).count() > 1:
         mine, theirs, grp = space, other, group
     else:
         mine, theirs, grp = space.withColumn("_self", F.col(key)), other.withColumn("_self", F.col("_ref")), "_self"

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import utm_lonlat, utm_xy
 from .polygons import memberships
 from .proximity import spatial_duplicates
 
@@ -153,3 +154,25 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(message)
     return df
+
+
+def in_system(layer: DataFrame, srid: int | None, target: int, x: str = "x", y: str = "y") -> DataFrame:
+    """Point layer in the target UTM system: taken as it is when the layer names no system or the same one, else reprojected.
+
+    Systems are 4326 (degrees) and UTM, 326zz north and 327zz south; others raise.
+    """
+    if srid in (None, target):
+        return layer
+    zone, south = _utm(target)
+    if srid == 4326:
+        lon, lat = F.col(x), F.col(y)
+    else:
+        lon, lat = utm_lonlat(x, y, *_utm(srid))
+    east, north = utm_xy(lon, lat, zone, south)
+    return layer.withColumns({x: east, y: north})
+
+
+def _utm(srid: int) -> tuple[int, bool]:
+    if srid // 100 not in (326, 327) or not 1 <= srid % 100 <= 60:
+        raise ValueError(f"unknown reference system: {srid}")
+    return srid % 100, srid // 100 == 327

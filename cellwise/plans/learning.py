@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,14 +14,15 @@ from ..operators import aoa as A
 from ..operators import forest as FO
 from ..operators import sampling as S
 from ..operators.grid import GridSpec
-from ..operators.infrastructure import EXPERIMENTS
-from ..operators.ranks import auc, brier, kendall_columns, spearman_matrix
-from ..runtime import cut
+from ..operators.infrastructure import EXPERIMENTS, has_map
+from ..operators.ranks import auc, brier, kendall_columns, spearman_matrix, summary
+from ..runtime import cut, together
+from ..sources.sinks import compare_reports
 from .studies import KS, covariate_shift, topk_metrics, topk_zones
 
 # Macro families of the features.
 FAMILY_NETWORK = ("dist_transmision", "dist_subestaciones", "dist_almacen")
-FAMILY_RESOURCE = ("ghi", "slope", "elev", "northness")
+FAMILY_RESOURCE = ("ghi", "slope", "northness", "elev")
 
 
 def assemble(positives: DataFrame, pool: DataFrame, key: str, ratio: int, seed: int) -> DataFrame:
@@ -80,12 +82,25 @@ def design_sensitivity(positives: DataFrame, pools: Mapping[str, DataFrame], key
                        seed: int = 42) -> DataFrame:
     """One row per pseudo-absence design."""
     params = {**FO.DEFAULTS, **(params or {})}
+    def run(name: str) -> DataFrame:
+        row = design_row(assemble(positives, pools[name], key, ratio, seed), key, block, features, params, k, seed)
+        return cut(row.withColumn("estrategia", F.lit(S.strategy_name(name))))
+
+    return cut(reduce(DataFrame.unionByName, together(positives.sparkSession, [partial(run, n) for n in pools])))
+
+
+def design_pools(pools: Mapping[str, DataFrame], key: str, n: int, seed: int = 42, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Size of each design's pool, and the spread of every feature over the ``n`` negatives drawn from it:
+    (estrategia, n_pool, feature, n, min, p25, mediana, p75, max, mean, std)."""
     out = None
     for name, pool in pools.items():
-        row = design_row(assemble(positives, pool, key, ratio, seed), key, block, features, params, k, seed)
-        row = row.withColumn("estrategia", F.lit(S.strategy_name(name)))
+        pool = cut(pool)
+        drawn = cut(S.draw_rows(pool, key, n, seed))
+        long = drawn.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("s"))
+        spread = summary(long.select("s.*").dropna(), "v", ["feature"], {"p25": 0.25, "mediana": 0.5, "p75": 0.75}, "sample")
+        row = spread.select(F.lit(S.strategy_name(name)).alias("estrategia"), F.lit(pool.count()).alias("n_pool"), "*")
         out = row if out is None else out.unionByName(row)
-    return cut(out)
+    return out
 
 
 def design_agreement(designs: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -119,26 +134,56 @@ def design_agreement(designs: DataFrame, features: Sequence[str] = FEATURES) ->
 def leak_audit(samples: DataFrame, wide: DataFrame, key: str, block: str, region: str,
                experiments: Sequence[str] = tuple(EXPERIMENTS), params: Mapping[str, int] | None = None, k: int = 5,
                seed: int = 42) -> DataFrame:
-    """Per audit experiment: spatial validation, leave-one-region-out and single-distance AUC.
+    """Per audit experiment: spatial validation, leave-one-region-out, single-distance AUC, and what the model rests on.
 
-    ``wide`` holds ``(experiment, key, dist_...)``; the other features come from ``samples``.
+    ``shares`` and ``places`` map each feature to its share of the contributions and its place, ``importances`` to its mean
+    importance over the folds, ``loro`` each region held out to its AUC; ``has_map`` says whether the experiment has one map. ``wide``
+    holds ``(experiment, key, dist_...)``; the other features come from ``samples``. Experiments are fitted side by side.
     """
     params = {**FO.DEFAULTS, **(params or {})}
     dists = ["dist_subestaciones", "dist_transmision", "dist_almacen"]
-    base = samples.drop(*dists)
-    wide = cut(wide)
-    out = None
-    for name in experiments:
+    base, wide = samples.drop(*dists), cut(wide)
+
+    def run(name: str) -> DataFrame:
         data = cut(base.join(wide.where(F.col("experiment") == name).drop("experiment"), key))
-        cv = FO.cv_summary(FO.spatial_cv(data, FEATURES, block, "clase", params, k, seed))
-        loro = FO.region_gap(FO.leave_one_region_out(data, FEATURES, region, "clase", params, seed))
-        row = cv.select(F.lit(name).alias("experimento"), "auc_mean", "brier_mean",
-                        loro.select(F.struct("*")).scalar().alias("l"),
-                        *[auc(data.withColumn("_near", -F.col(d)), "_near", "clase").scalar().alias(f"auc_{d}") for d in dists])
-        row = row.select("experimento", "auc_mean", "brier_mean", F.col("l.auc_mean").alias("loro_auc"),
-                         F.col("l.gap").alias("loro_gap"), *[f"auc_{d}" for d in dists])
-        out = row if out is None else out.unionByName(row)
-    return out
+        folds = FO.spatial_cv(data, FEATURES, block, "clase", params, k, seed)
+        regions = cut(FO.leave_one_region_out(data, FEATURES, region, "clase", params, seed))
+        model = FO.train(data, FEATURES, "clase", params, seed)
+        shares = cut(FO.contribution_shares(FO.contributions(model, data, FEATURES, [key]), FEATURES))
+        family = lambda names: shares.where(F.col("feature").isin(*names)).agg(F.sum("pct")).scalar()
+        entries = lambda df, a, b: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(a, b))))).scalar()
+        infra = [f for f in FEATURES if f in dists]
+        row = FO.cv_summary(folds).select(
+            F.lit(name).alias("experimento"), F.lit(has_map(name)).alias("has_map"), F.lit(data.count()).alias("n"), "auc_mean", "auc_std", "brier_mean",
+            FO.region_gap(regions).select(F.struct("*")).scalar().alias("l"),
+            entries(regions.withColumn(region, F.col(region).cast("string")), region, "auc").alias("loro"),
+            *[auc(data.withColumn("_near", -F.col(d)), "_near", "clase").scalar().alias(f"auc_{d}") for d in dists],
+            entries(FO.importance_summary(folds), "feature", "importance_mean").alias("importances"),
+            entries(shares, "feature", "pct").alias("shares"), entries(shares, "feature", "place").alias("places"),
+            family(infra).alias("pct_infraestructura"), family(FAMILY_NETWORK).alias("pct_red"), family(FAMILY_RESOURCE).alias("pct_recurso"))
+        return cut(row.select("experimento", "has_map", "n", "auc_mean", "auc_std", "brier_mean", F.col("l.auc_mean").alias("loro_auc"),
+                              F.col("l.gap").alias("loro_gap"), *row.columns[7:]))
+
+    rows = together(samples.sparkSession, [partial(run, name) for name in experiments])
+    return reduce(DataFrame.unionByName, rows)
+
+
+def audit_maps(samples: DataFrame, wide: DataFrame, cells: DataFrame, cell_features: Mapping[str, DataFrame], key: str,
+               params: Mapping[str, int] | None = None, seed: int = 42) -> dict[str, DataFrame]:
+    """Score maps ``(r, c, prob)`` of the experiments that have one (dated variants depend on each sample).
+
+    ``cell_features`` gives, per experiment, the distances ``(r, c, dist_...)`` of the cells; the other features come from ``cells``.
+    """
+    params = {**FO.DEFAULTS, **(params or {})}
+    dists = ["dist_subestaciones", "dist_transmision", "dist_almacen"]
+    names = [n for n in cell_features if has_map(n)]
+
+    def run(name: str) -> DataFrame:
+        data = samples.drop(*dists).join(wide.where(F.col("experiment") == name).drop("experiment"), key)
+        model = FO.train(data, FEATURES, "clase", params, seed)
+        return cut(FO.score(model, cells.drop(*dists).join(cell_features[name], ["r", "c"]), FEATURES).select("r", "c", "prob"))
+
+    return dict(zip(names, together(samples.sparkSession, [partial(run, n) for n in names])))
 
 
 def region_maps(cells: DataFrame, train_rows: DataFrame, grid: GridSpec, region: str, regions: Sequence, features: Sequence[str],
@@ -175,15 +220,41 @@ def transfer(model, train_rows: DataFrame, zone_cells: DataFrame, grid: GridSpec
             "shift": covariate_shift(train_rows, zone_cells, list(features)), "aoa": A.zone_report(di), "plants": plants}
 
 
+def transfer_sensitivity(model, train_rows: DataFrame, exact: DataFrame, compound: DataFrame, grid: GridSpec, key: str,
+                         features: Sequence[str], ks: Sequence[float] = KS) -> dict[str, DataFrame]:
+    """A zone evaluated with features from the exact region filter and again from the compound one, and what changes.
+
+    ``delta`` holds a row per K and metric: both values and the difference.
+    """
+    first, second = together(train_rows.sparkSession, [partial(transfer, model, train_rows, zone, grid, key, features, ks) for zone in (exact, compound)])
+    metrics = ["threshold", "n_top", "captured", "recall", "n_zones", "n_hit", "precision", "random_base"]
+
+    def long(part: dict[str, DataFrame]) -> DataFrame:
+        both = part["topk"].join(part["zones"], "k")
+        return both.select("k", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")).select("k", "m.*")
+
+    return {"exact": first, "compound": second, "delta": compare_reports(long(first), long(second), ["k", "metric"])}
+
+
+def spatial_scenarios(train_rows: DataFrame, zone_cells: DataFrame, other_cells: DataFrame, region: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(train, zone) pairs of the applicability study: all rows against the zone's own cells, each region's cells against rows of the
+    other regions, and another zone. Regions are few by nature."""
+    names = [r[0] for r in train_rows.select(region).distinct().orderBy(region).collect()]
+    return {"in_sample": (train_rows, zone_cells),
+            **{f"loro_{n}": (train_rows.where(F.col(region) != F.lit(n)), zone_cells.where(F.col(region) == F.lit(n))) for n in names},
+            "transferencia": (train_rows, other_cells)}
+
+
 def applicability_scenarios(scenarios: Mapping[str, tuple[DataFrame, DataFrame]], key: str, features: Sequence[str],
                             weights: Mapping[str, float] | None = None, group: str | None = None) -> DataFrame:
     """Share inside the area of applicability for (train, zone) pairs."""
-    out = None
-    for name, (tr, zone) in scenarios.items():
+    def run(name: str) -> DataFrame:
+        tr, zone = scenarios[name]
         fit = A.fit(tr, features, key, weights, group)
-        row = A.zone_report(A.dissimilarity(fit, zone, key)).select(
-            F.lit(name).alias("escenario"), F.lit(fit.threshold).alias("umbral"), "n_cells", "n_inside", "pct_inside")
-        out = row if out is None else out.unionByName(row)
-    return out
+        return cut(A.zone_report(A.dissimilarity(fit, zone, key)).select(
+            F.lit(name).alias("escenario"), F.lit(fit.threshold).alias("umbral"), "n_cells", "n_inside", "pct_inside"))
+
+    first = next(iter(scenarios.values()))[0]
+    return reduce(DataFrame.unionByName, together(first.sparkSession, [partial(run, n) for n in scenarios]))
 
 

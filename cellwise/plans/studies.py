@@ -74,6 +74,14 @@ def correlation_guarded(cells: DataFrame, a: str, b: str, min_n: int = 10) -> Da
         "n", "rho", p_correlation(F.col("rho"), F.col("n").cast("double")).alias("p"))
 
 
+def score_yield_rows(cells: DataFrame, prob: str, yld: str, ghi: str, threshold: float) -> DataFrame:
+    """Score against yield over all cells and over the suitable ones, and irradiance against yield, each with its reading."""
+    cells = cut(cells.where(F.col(yld) > 0).select(prob, yld, ghi))
+    parts = [("todas", cells, prob), ("aptas", cells.where(F.col(prob) >= threshold), prob), ("irradiancia", cells, ghi)]
+    rows = [correlation_guarded(df, a, yld).withColumn("ambito", F.lit(name)) for name, df, a in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("lectura", correlation_reading(F.col("rho")))
+
+
 # -- agreement of profiles ---------------------------------------------------------------
 
 def consensus_cells(cells: DataFrame, profiles: Sequence[str], percentile: float) -> DataFrame:
@@ -87,9 +95,28 @@ def consensus_cells(cells: DataFrame, profiles: Sequence[str], percentile: float
 
 
 def consensus_counts(flagged: DataFrame, profiles: Sequence[str]) -> DataFrame:
+    """Cells by the number of profiles that find them suitable, with the numbers that no cell has."""
     n = F.count(F.lit(1))
-    total = flagged.agg(n).scalar()
-    return flagged.groupBy("consenso").agg(n.alias("celdas")).withColumn("pct", 100.0 * F.col("celdas") / total)
+    counts = [F.count_if(F.col("consenso") == i).alias(f"n{i}") for i in range(len(profiles) + 1)]
+    rows = flagged.agg(n.alias("total"), *counts).select("total", F.posexplode(F.array(*[F.col(f"n{i}") for i in range(len(profiles) + 1)])).alias("consenso", "celdas"))
+    return rows.select("consenso", "celdas", (100.0 * F.try_divide(F.col("celdas"), F.col("total"))).alias("pct"))
+
+
+def consensus_profiles(flagged: DataFrame, profiles: Sequence[str], percentile: float) -> DataFrame:
+    """Per profile its limit and the cells at or above it."""
+    limits = [quantiles(flagged, p, {"t": percentile / 100.0}).scalar() for p in profiles]
+    rows = flagged.agg(F.count(F.lit(1)).alias("celdas_validas"), *[F.sum(f"apto_{p}").alias(p) for p in profiles])
+    return rows.select("celdas_validas", F.explode(F.array(*[
+        F.struct(F.lit(p).alias("perfil"), t.alias("umbral"), F.col(p).alias("celdas_aptas")) for p, t in zip(profiles, limits)])).alias("s")).select(
+        "s.perfil", "s.umbral", "s.celdas_aptas", "celdas_validas")
+
+
+def consensus_reading(counts: DataFrame, profiles: Sequence[str]) -> DataFrame:
+    """One sentence: how much of the valid zone all profiles agree on, and how much only some."""
+    share = lambda c: F.round(F.sum(F.when(c, F.col("celdas")).otherwise(0)) * 100.0 / F.sum("celdas"), 2)
+    k, n = F.col("consenso"), len(profiles)
+    row = counts.agg(share(k == n).alias("todos"), share((k > 0) & (k < n)).alias("algunos"))
+    return row.select(F.format_string(f"%.2f%% apta en los {n} perfiles (consenso); %.2f%% solo en algunos (divergencia)", "todos", "algunos").alias("lectura"))
 
 
 def profile_correlations(cells: DataFrame, profiles: Sequence[str]) -> DataFrame:

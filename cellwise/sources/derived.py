@@ -14,6 +14,8 @@ from ..operators.grid import GridSpec
 
 CELL_M = 1000.0
 X0, Y0, WIDTH = 300000.0, 7000000.0, 100
+#: Values of an embedding that serve as features, as many as the study has.
+SPACE = 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,10 +96,10 @@ def feature_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", (F.col("label") < 5).alias("is_train"), "label",
-        *[F.element_at(e, i).cast("double").alias(f"f{i}") for i in (1, 2, 3)])
+        *[F.element_at(e, i).cast("double").alias(f"f{i}") for i in range(1, SPACE + 1)])
 
 
-SQL = """
+SQL = f"""
 sites AS (SELECT c_custkey AS site_id, c_nationkey AS region_id,
   100000.0::DOUBLE + (c_custkey*7919) % 800000 AS x,
   6000000.0::DOUBLE + (c_custkey*104729) % 2500000 AS y,
@@ -129,8 +131,8 @@ cells AS (SELECT CAST(floor(o_orderkey/100.0) AS BIGINT) AS r, o_orderkey % 100
   FROM orders),
 centred AS (SELECT *, 300000.0::DOUBLE + (c+0.5::DOUBLE)*1000.0::DOUBLE AS x,
   7000000.0::DOUBLE - (r+0.5::DOUBLE)*1000.0::DOUBLE AS y FROM cells),
-space AS (SELECT vec_id, label < 5 AS is_train, label, embedding[1]::DOUBLE AS f1,
-  embedding[2]::DOUBLE AS f2, embedding[3]::DOUBLE AS f3 FROM embeddings)
+space AS (SELECT vec_id, label < 5 AS is_train, label,
+  {", ".join(f"embedding[{i}]::DOUBLE AS f{i}" for i in range(1, SPACE + 1))} FROM embeddings)
 """
 
 
