@@ -211,9 +211,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     """``docs`` with one document of each group of near-duplicates, its columns unchanged."""
     found = near_duplicates(docs, key, text, width, similarity)
     stay = found.where((F.col("id") == F.col("component_id")) & (F.col("text_hash") == F.col("component_hash")))
-    stay = stay.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    named = docs.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)), "_hash": F.xxhash64(text)})
-    return named.join(stay, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    stay = stay.select("id", "text_hash").distinct()
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), F.struct("*").alias("doc"))
+    return rows.join(stay, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"]).select("doc.*")
 
 
 def oracle_sql(width: int, similarity: int) -> str:

@@ -18,15 +18,16 @@ predicted for every text. Rows with a null label never train. Existing columns w
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 PER_LANGUAGE, SAMPLE = 1000, 20_000
 BITS = 11
 UNKNOWN = "und"
@@ -86,7 +87,7 @@ class Typical:
     def __init__(self, x: np.ndarray):
         grams = np.square(x, dtype=np.float64)
         mean = (grams.sum(axis=0) + 1 / x.shape[1]) / (len(x) + 1)
-        self.log = np.log(mean)
+        self.log = np.log(mean).astype(np.float32)
         self.noise = max(float(mean @ self.log ** 2 - (mean @ self.log) ** 2), 1e-9)
         means = grams @ self.log
         self.centre = float(np.median(means))
@@ -95,8 +96,8 @@ class Typical:
 
     def deviation(self, x: np.ndarray) -> np.ndarray:
         """Distance of the mean log-likelihood from the centre in spreads; the rarest gram of a text counts once."""
-        grams = np.square(x, dtype=np.float64)
-        rarest = np.where(grams > 0, grams, 1.0).min(axis=1)
+        grams = np.square(x)
+        rarest = np.min(grams, axis=1, where=grams > 0, initial=1.0)
         return (grams @ self.log - self.centre) / np.sqrt(self.spread ** 2 + self.noise * rarest)
 
     def fits(self, x: np.ndarray) -> np.ndarray:
@@ -121,12 +122,11 @@ class Classifier:
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
         """Language and score (0 to 1) of each row of features."""
-        x = np.hstack([x, np.ones((len(x), 1))])
         sure = lambda margin: 1 / (1 + np.exp(-np.clip(3 * margin, -30, 30)))
         if self.top is None:
             first, p = np.zeros(len(x), int), np.ones(len(x))
         else:
-            margins = x @ self.top.T
+            margins = x @ self.top[:, :-1].T.astype(np.float32) + self.top[:, -1]
             first = margins.argmax(axis=1)
             e = np.exp(3 * np.clip(margins - margins.max(axis=1, keepdims=True), -20, 0))
             p = 1 / e.sum(axis=1)
@@ -136,7 +136,8 @@ class Classifier:
             members = self.members[f]
             votes, least = np.zeros((len(rows), len(members))), np.ones((len(rows), len(members)))
             for (i, a), (j, b) in combinations(enumerate(members), 2):
-                win = sure(x[rows] @ self.pairs[a, b])
+                w = self.pairs[a, b]
+                win = sure(x[rows] @ w[:-1].astype(np.float32) + w[-1])
                 votes[:, i] += (win >= 0.5) + 1e-3 * win
                 votes[:, j] += (win < 0.5) + 1e-3 * (1 - win)
                 least[:, i], least[:, j] = np.minimum(least[:, i], win), np.minimum(least[:, j], 1 - win)
@@ -158,10 +159,9 @@ RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField
 FITTED = T.StructType([*RESULT.fields, T.StructField("fits", T.BooleanType())])
 
 
-@F.pandas_udf(T.BinaryType())
-def _features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([None if (v := features(t)) is None else v.tobytes() for t in batch], dtype=object)
+@F.arrow_udf(T.BinaryType())
+def _features(texts: pa.Array) -> pa.Array:
+    return pa.array([None if (v := features(t.as_py())) is None else v.tobytes() for t in texts], pa.binary())
 
 
 def fit(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -184,27 +184,31 @@ def fit(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
     return Classifier(np.array([np.frombuffer(v, np.float32) for v in got["x"].to_pylist()]), np.array(got["lang"].to_pylist(), object))
 
 
-def identify(docs: DataFrame, model: Classifier | None, text: str = "text", batch: int = 512,
+def identify(docs: DataFrame, model: Classifier | None, text: str = "text", batch: int = 64,
              fits: str | None = None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` from the text alone; ``fits`` names a column for whether the text is like
     the training rows of its language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf(FITTED if fits else RESULT)
-    def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in texts:
-            out = [(UNKNOWN, 0.0, False) if fits else (UNKNOWN, 0.0)] * len(series)
-            for at in range(0, len(series), batch):
-                found = [(i, v) for i, t in enumerate(series.iloc[at:at + batch], at) if (v := features(t)) is not None]
-                if found and shared.value is not None:
-                    x = np.array([v for _, v in found])
-                    answers = shared.value.predict(x)
-                    if fits:
-                        answers = [(*a, b) for a, b in zip(answers, shared.value.fits(x, [a for a, _ in answers]).tolist())]
-                    for (i, _), answer in zip(found, answers):
-                        out[i] = answer
-            yield pd.DataFrame(out, columns=(FITTED if fits else RESULT).names)
-
-    found = docs.withColumn("_found", predicted(F.col(text)))
-    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score"),
-                              **({fits: F.col("_found.fits")} if fits else {})}).drop("_found")
+    kind = FITTED if fits else RESULT
+
+    @F.arrow_udf(kind)
+    def predicted(texts: pa.Array) -> pa.Array:
+        langs, scores, like = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for at in range(0, len(texts), batch):
+            found = [(i, v) for i, t in enumerate(texts[at:at + batch], at) if (v := features(t.as_py())) is not None]
+            if not found or shared.value is None:
+                continue
+            rows, x = [i for i, _ in found], np.array([v for _, v in found])
+            answers = shared.value.predict(x)
+            scores[rows] = [s for _, s in answers]
+            for i, (lang, _) in zip(rows, answers):
+                langs[i] = lang
+            if fits:
+                like[rows] = shared.value.fits(x, [lang for lang, _ in answers])
+        columns = [pa.array(langs, pa.string()), pa.array(scores), *([pa.array(like)] if fits else [])]
+        return pa.StructArray.from_arrays(columns, kind.names)
+
+    found = free_name(docs, "_found")
+    out = docs.withColumn(found, predicted(F.col(text)))
+    return out.withColumns({"lang_pred": F.col(found)["lang_pred"], "score": F.col(found)["score"],
+                            **({fits: F.col(found)["fits"]} if fits else {})}).drop(found)

@@ -145,8 +145,8 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     whole = both.where("taken = size").select("doc.*")
     part = both.where("taken < size").withColumn("tokens", F.regexp_extract_all(F.col("doc")[text], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)))
     cut = F.flatten(F.transform("runs", lambda r: F.slice(F.col("tokens"), (r["word"] + 1).cast("int"), r["n"].cast("int"))))
-    part = part.select("doc.*", F.regexp_replace(F.array_join(cut, ""), r"^[\x20\x09-\x0D]+", "").alias("_text"))
-    part = part.withColumn(text, F.col("_text")).drop("_text")
+    taken = F.regexp_replace(F.array_join(cut, ""), r"^[\x20\x09-\x0D]+", "")
+    part = part.select(*[(taken if c == text else F.col("doc")[c]).alias(c) for c in docs.columns])
     if n_chars is not None:
         part = part.withColumn(n_chars, F.char_length(text).cast("long"))
     return whole.unionByName(part)

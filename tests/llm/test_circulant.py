@@ -71,3 +71,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (300, 200), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 200: 100, 300: 100}
+
+
+def test_deduplicated_keeps_columns_of_any_name(spark):
+    docs = documents(spark).withColumnsRenamed({"id": "_id", "hash": "_hash", "node": "doc", "score": "text_hash"})
+    got = circulant.deduplicated(docs)
+    assert got.columns == docs.columns and 0 < got.count() < docs.count()
+    assert {(r["_id"], r["_hash"], r["doc"], r["text_hash"]) for r in got.collect()} == {("x", "x", "x", "x")}

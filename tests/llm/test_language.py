@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,10 +21,10 @@ def test_held_out_accuracy(spark):
 
 
 def test_undetermined_and_clashing_columns(spark):
-    docs = documents(spark).withColumn("lang_pred", F.lit(7))
+    docs = documents(spark).withColumns({"lang_pred": F.lit(7), "_found": F.lit("kept"), "_found_": F.lit("too")})
     model = language.fit(docs, F.lit(True))
     rows = language.identify(docs, model).collect()
-    assert len(rows) == docs.count()
+    assert len(rows) == docs.count() and {(r["_found"], r["_found_"]) for r in rows} == {("kept", "too")}
     assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) for r in rows)
     assert all(r.score == 0 for r in rows if r.lang_pred == "und")
     odd = spark.createDataFrame([(1, "12 345 $$$"), (2, "Ωμέγα"), (3, "_")], "doc_id long, text string")
@@ -45,3 +48,29 @@ def test_families_are_named_once():
 @pytest.mark.parametrize("text", ["", None, "123", "  "])
 def test_no_features(text):
     assert language.features(text) is None
+
+
+def test_votes_by_definition():
+    """Family by the largest margin, then a duel of every two languages of it, one row and one machine at a time."""
+    rng = np.random.default_rng(2)
+    langs = np.array(["en", "de", "nl", "fr", "es", "xx"] * 40, object)
+    centres = {g: rng.random(64) for g in set(langs)}
+    x = np.array([centres[g] + 0.4 * rng.random(64) for g in langs], np.float32)
+    model = language.Classifier(x, langs)
+    test = np.array([centres[g] * 0.6 + 0.7 * rng.random(64) for g in langs], np.float32)
+    value = lambda w, v: float(np.dot(w[:-1], v.astype(float)) + w[-1])
+    sure = lambda m: 1 / (1 + math.exp(-max(-30.0, min(30.0, 3 * m))))
+    for v, (lang, score) in zip(test, model.predict(test)):
+        margins = [value(w, v) for w in model.top]
+        best = max(range(len(margins)), key=lambda k: margins[k])
+        p = 1 / sum(math.exp(3 * max(-20, m - margins[best])) for m in margins)
+        members = model.members[model.families[best]]
+        votes, least = dict.fromkeys(members, 0.0), dict.fromkeys(members, 1.0)
+        for (a, b), w in model.pairs.items():
+            if a in votes:
+                win = sure(value(w, v))
+                votes[a] += (win >= 0.5) + 1e-3 * win
+                votes[b] += (win < 0.5) + 1e-3 * (1 - win)
+                least[a], least[b] = min(least[a], win), min(least[b], 1 - win)
+        want = max(members, key=lambda g: votes[g])
+        assert lang == want and score == pytest.approx(p * least[want], rel=1e-3)

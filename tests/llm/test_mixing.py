@@ -98,3 +98,10 @@ def test_empty_table(spark):
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     place = mixing.placed(blank, keep=False)
     assert [(r.taken, r.target) for r in mixing.summary(place, *mixing.mixed(place)).collect()] == [(0, 0.0)] * 2
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    docs = documents(spark).withColumnsRenamed({"id": "_text", "hash": "taken", "node": "runs", "score": "doc"})
+    got = mixing.mixed_documents(docs, n_chars="n_chars")
+    assert got.columns == docs.columns and got.count() > 0
+    assert {(r["_text"], r["taken"], r["runs"], r["doc"]) for r in got.collect()} == {("x", "x", "x", "x")}
