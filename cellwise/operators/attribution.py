@@ -24,7 +24,8 @@ from ..runtime import checkpoint_folder
 
 #: Nodes that one broadcast holds (40 bytes each); larger forests are dealt into groups of trees, which add up.
 NODES_HELD = 1_000_000
-ROWS = 128
+#: Numbers of one level that are worked on at a time, so that they stay near the processor.
+HELD_NUMBERS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -156,8 +157,9 @@ def forest_contributions(nodes: Nodes, x: np.ndarray) -> tuple[np.ndarray, float
     for k in range(len(nodes.begins) - 1):
         tree, mean = levels(nodes, k, features, points)
         base += mean
-        for at in range(0, rows, ROWS):
-            tree_contributions(tree, flat[:, at:at + ROWS], weights, phi[:, at:at + ROWS])
+        block = max(16, HELD_NUMBERS // (len(weights) * max([len(lv.feature) for lv in tree], default=1)))
+        for at in range(0, rows, block):
+            tree_contributions(tree, flat[:, at:at + block], weights, phi[:, at:at + block])
     return phi.T, base
 
 

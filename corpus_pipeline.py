@@ -17,8 +17,8 @@ from cellwise.llm.queries import TOKENIZER
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents written in a language that was learned; columns and texts stay as they are."""
     model = language.fit(docs, remainder(F.col("doc_id"), 3) != 1)
-    rows = docs.select(F.struct("*").alias("doc"), F.col("text").alias("text"))
-    found = language.identify(rows, model, fits="fits")
+    rows = docs.select(F.struct("*").alias("doc"))
+    found = language.identify(rows, model, "doc.text", fits="fits")
     return found.where((F.col("lang_pred") != language.UNKNOWN) & F.col("fits")).select("doc.*")
 
 
