@@ -16,6 +16,7 @@ Very long texts are split over windows. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from ..runtime import partitions
 
 WINDOW, END_ID = 4096, 2
 SENTENCE_PENALTY, HARD_PENALTY = 8.0, 64.0
-CHUNK_CHARS, STRETCH, WORDS_HELD = 1_000_000, 1 << 20, 1_200_000
+CHUNK_CHARS, STRETCH, WORDS_HELD, LEARN_BYTES = 1_000_000, 1 << 18, 600_000, 1 << 18
 
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in
                        ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -42,6 +43,7 @@ class WordTokens:
     """Ids of words: each distinct word is encoded once while it is held."""
 
     def __init__(self, path: str, held: int = WORDS_HELD):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer, self.held = Tokenizer.from_file(path), held
         self.forget()
@@ -64,24 +66,32 @@ class WordTokens:
         self.sentence[n:n + more] = [w[-1:] in (b".", b"!", b"?") for w in words]
         self.index.update(zip(words, range(n, n + more)))
 
-    def encode(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a text and the places behind its sentences."""
-        words = text.split() if text else []
-        if not words:
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+    def encode_many(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids and the places behind its sentences; words that are new to all texts are learned at once."""
+        lists = [t.split() if t else [] for t in texts]
+        flat = list(chain.from_iterable(lists))
+        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
             if len(self.index) > self.held:
                 self.forget()
-                missing = range(len(words))
-            self._learn(list(dict.fromkeys(words[i] for i in missing)))
-            at[missing] = [self.index[words[i]] for i in missing]
-        starts = self.starts
-        lengths = starts[at + 1] - starts[at]
+                missing = range(len(flat))
+            new = [flat[i] for i in missing]
+            self._learn(list(dict.fromkeys(new)))
+            at[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        lengths = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])]
-        return ids, ends[self.sentence[at]]
+        ids = self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        marks = ends[self.sentence[at]]
+        begin = 0
+        for end in np.concatenate([[0], ends])[np.cumsum([len(words) for words in lists])].tolist():
+            low, high = np.searchsorted(marks, [begin, end], "right")
+            yield ids[begin:end], marks[low:high] - begin
+            begin = end
+
+    def encode(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text and the places behind its sentences."""
+        return next(self.encode_many([text]))
 
 
 @lru_cache(maxsize=2)
@@ -189,17 +199,28 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int
     def rows(pieces: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*pieces)], PIECES.names)
 
-    for batch in batches:
-        for chunk, key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
-            if stream is not None and stream.chunk != chunk:
-                if done := stream.close(True):
-                    yield rows(done)
-                stream = None
-            stream = stream or Stream(chunk, window)
-            ids, sentences = words.encode(value.as_py())
-            stream.add(key, np.append(ids, np.uint32(end_id)), sentences)
-            if stream.length >= STRETCH and (done := stream.close(False)):
+    def documents() -> Iterator[tuple]:
+        """Chunk, key, ids and sentence ends of all rows; rows of about ``LEARN_BYTES`` are encoded together."""
+        for batch in batches:
+            held, size = [], 0
+            for chunk, key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+                text = value.as_py()
+                held.append((chunk, key, text))
+                size += len(text or b"")
+                if size >= LEARN_BYTES:
+                    yield from ((c, k, *e) for (c, k, _), e in zip(held, words.encode_many([t for _, _, t in held])))
+                    held, size = [], 0
+            yield from ((c, k, *e) for (c, k, _), e in zip(held, words.encode_many([t for _, _, t in held])))
+
+    for chunk, key, ids, sentences in documents():
+        if stream is not None and stream.chunk != chunk:
+            if done := stream.close(True):
                 yield rows(done)
+            stream = None
+        stream = stream or Stream(chunk, window)
+        stream.add(key, np.append(ids, np.uint32(end_id)), sentences)
+        if stream.length >= STRETCH and (done := stream.close(False)):
+            yield rows(done)
     if stream is not None and (done := stream.close(True)):
         yield rows(done)
 
