@@ -69,7 +69,11 @@ def test_consensus(spark):
     sums = flags.agg(*[F.sum(f"apto_{p}").alias(p) for p in ("con", "bal", "agr")]).first()
     assert tuple(sums) == (10, 10, 10)
     counts = {r.consenso: r.celdas for r in P.consensus_counts(flags, ("con", "bal", "agr")).collect()}
-    assert sum(counts.values()) == 100 and counts == {0: 80, 1: 10, 2: 10}
+    assert sum(counts.values()) == 100 and counts == {0: 80, 1: 10, 2: 10, 3: 0}  # a class without a cell is a row, too
+    per = {r.perfil: (r.celdas_aptas, r.celdas_validas) for r in P.consensus_profiles(flags, ("con", "bal", "agr"), 90.0).collect()}
+    assert per == {p: (10, 100) for p in ("con", "bal", "agr")}
+    reading = P.consensus_reading(P.consensus_counts(flags, ("con", "bal", "agr")), ("con", "bal", "agr")).first().lectura
+    assert reading == "0.00% apta en los 3 perfiles (consenso); 20.00% solo en algunos (divergencia)"
     rho = {r.par: r.rho for r in P.profile_correlations(df, ("con", "bal", "agr")).collect()}
     assert np.isclose(rho["con_vs_bal"], 1.0) and np.isclose(rho["con_vs_agr"], -1.0)
     with pytest.raises(ValueError):
@@ -472,3 +476,24 @@ def test_topk_needs_cells_and_plants(spark):
         P.topk_metrics(cells, "prob", (10.0,))
     with pytest.raises(ValueError, match="cell"):
         P.topk_metrics(cells.limit(0), "prob", (10.0,))
+
+
+def test_layers_follow_one_system(spark):
+    from cellwise.operators import quality as Q
+
+    geo = spark.createDataFrame([(1, -70.0, -24.0), (2, -69.2, -25.5)], "k int, x double, y double")
+    east = {r.k: (r.x, r.y) for r in Q.in_system(geo, 4326, 32719).collect()}
+    assert all(200_000 < x < 800_000 and 7_000_000 < y < 8_000_000 for x, y in east.values())
+    again = Q.in_system(Q.in_system(geo, 4326, 32718), 32718, 32719)
+    assert all(np.allclose((r.x, r.y), east[r.k], atol=0.05) for r in again.collect())
+    for srid in (None, 32719):
+        assert {r.k: (r.x, r.y) for r in Q.in_system(geo, srid, 32719).collect()} == {1: (-70.0, -24.0), 2: (-69.2, -25.5)}
+    with pytest.raises(ValueError):
+        Q.in_system(geo, 3857, 32719)
+
+
+def test_applicability_with_one_group_uses_plain_neighbours(spark):
+    from cellwise.operators import aoa as A
+
+    df = spark.createDataFrame([(i, float(i * i % 17), float(i % 5), 1) for i in range(40)], "k int, a double, b double, g int")
+    assert A.fit(df, ["a", "b"], "k", group="g").threshold == A.fit(df, ["a", "b"], "k").threshold
