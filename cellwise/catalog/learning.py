@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as K
@@ -13,6 +17,7 @@ from ..operators import sampling as S
 from ..plans import learning as L
 from ..plans import studies as P
 from .base import M, Inputs, query, rounded
+from .statistics import DESIGN_VECTORS, design_vectors
 
 PARAMS = {"n_estimators": 8, "max_depth": 5, "min_samples_leaf": 4}
 FEATURES = K.FEATURES
@@ -273,6 +278,36 @@ def training_report(t: Inputs):
     return L.training_report(pos, s.where("clase = 0").drop("clase"), "cell", "block", 3, 5, PARAMS, k=2)
 
 
+def _train_study(t: Inputs):
+    s = samples(t)
+    space = {"n_estimators": (4, 8, 4), "max_depth": (3, 5, 2), "min_samples_leaf": (2, 6, 4)}
+    return L.train_study(s.where("clase = 1").drop("clase"), s.where("clase = 0").drop("clase"), "cell", "block", 1, 2, 3, space, 8, k=2)
+
+
+@query("train_study")
+def train_study(t: Inputs):
+    return _train_study(t)["metrics"]
+
+
+@query("train_study_checks", SAMPLES + """, n AS (SELECT count(*) FILTER (clase=1) AS p, count(*) FILTER (clase=0) AS q FROM smp)
+SELECT p AS n_pos, least(p, q) AS n_neg, 49::BIGINT AS n_pairs, 7::BIGINT AS n_features, true AS best_first, true AS rates_in_range, true AS reading_fits,
+ true AS curve_gives_auc FROM n""")
+def train_study_checks(t: Inputs):
+    out = _train_study(t)
+    m = out["metrics"]
+    rates = [c for c in m.columns if c.startswith(("auc", "brier", "ap"))]
+    inside = F.forall(F.filter(F.array(*rates), lambda v: v.isNotNull()), lambda v: v.between(0, 1))
+    fits = F.coalesce((F.col("lectura") == "robusto al ratio") == (F.abs(F.col("auc_alt") - F.col("auc_split")) < 0.02), F.col("auc_alt").isNull())
+    by_area = Window.partitionBy("ratio").orderBy(F.desc("threshold"))  # one row per distinct score of a few trees
+    before = lambda c: F.coalesce(F.lag(c).over(by_area), F.lit(0.0))
+    area = out["curves"].where("ratio = 1").select(((F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2).alias("a")).agg(F.sum("a")).scalar()
+    best = out["search"].agg(F.min("brier_mean")).scalar()
+    chosen = out["search"].where(reduce(and_, [F.col(n) == v for n, v in out["params"].items()])).select("brier_mean").scalar()
+    return m.select("n_pos", "n_neg", out["correlations"].agg(F.count(F.lit(1))).scalar().alias("n_pairs"),
+                    out["importances"].agg(F.count(F.lit(1))).scalar().alias("n_features"), (best == chosen).alias("best_first"),
+                    inside.alias("rates_in_range"), fits.alias("reading_fits"), (F.abs(area - F.col("auc_split")) < 1e-9).alias("curve_gives_auc"))
+
+
 def _design_pools(t: Inputs):
     s = samples(t).where("clase = 0").drop("clase").withColumn("crit", F.col("dist_subestaciones"))
     crit = {"ghi_min": 160.0, "slope_max": 25.0, "elev_max": 3900.0, "dist_max": 60000.0}
@@ -317,6 +352,23 @@ def design_negatives_whole(t: Inputs):
         {c: F.floor(F.col(c) * 1e3 + 0.5) / F.lit(1e3) for c in ("mean", "std")})
 
 
+_P_SQL = DESIGN_VECTORS + f""", orders AS (SELECT m % 2 + m//2 % 3 + m//6 % 4 + m//24 % 5 + m//120 % 6 + m//720 % 7 AS inversions FROM range(5040) t(m)),
+z AS (SELECT d1, d2, sum(p*q) AS score, sum(p*q)/sqrt(sum(p*p)*sum(q*q)) AS tau FROM s GROUP BY 1,2),
+k AS (SELECT d1, d2, list_transform(wa, lambda x: len(list_filter(wa, lambda y: y < x))) AS ra, list_transform(wb, lambda x: len(list_filter(wb, lambda y: y < x))) AS rb,
+ list_position(wa, list_max(wa)) = list_position(wb, list_max(wb)) AS misma_dominante FROM pairs),
+h AS (SELECT d1, d2, misma_dominante, 1 - 6.0*list_sum(list_transform(range(1,8), lambda i: (ra[i]-rb[i])**2))/336 AS rho FROM k),
+g AS (SELECT *, atan(rho/sqrt(1-rho*rho)) AS angle FROM h)
+SELECT d1::VARCHAR AS a, d2::VARCHAR AS b, {M('tau')} AS tau, {M('least(1.0, 2.0*(SELECT count(*) FROM orders WHERE 2*inversions <= 21-abs(score))/5040)')} AS p_tau, {M('rho')} AS rho,
+ {M('CASE WHEN abs(rho)=1 THEN 0.0 ELSE 1-2/pi()*(abs(angle)+sin(abs(angle))*(cos(angle)+2.0/3*cos(angle)**3)) END')} AS p_rho, misma_dominante
+FROM z JOIN g USING (d1, d2)"""
+
+
+@query("design_agreement_p", _P_SQL)
+def design_agreement_p(t: Inputs):
+    # seven distinct numbers per design: both p values have a closed form to hold them against
+    return rounded(L.design_agreement(design_vectors(t), [f"w{i}" for i in range(7)]))
+
+
 @query("design_agreement")
 def design_agreement(t: Inputs):
     return L.design_agreement(_designs(t))

@@ -44,12 +44,25 @@ ij AS (SELECT i, j FROM range(1,8) t(i), range(1,8) u(j) WHERE i > j),
 s AS (SELECT d1, d2, sign(wa[i]-wa[j]) AS p, sign(wb[i]-wb[j]) AS q FROM pairs, ij)"""
 
 
-@query("kendall", DESIGN_VECTORS + f" SELECT d1, d2, {M('sum(p*q)/sqrt(sum(p*p)*sum(q*q))')} AS tau FROM s GROUP BY 1,2")
-def kendall(t: Inputs):
-    w = t.sites.groupBy((F.col("region_id") % 4).alias("d")).agg(
+def _region_vectors(t: Inputs):
+    return t.sites.groupBy((F.col("region_id") % 4).alias("d")).agg(
         F.avg("prob").alias("w0"), (F.avg("mw") / 250.0).alias("w1"), (F.avg("x") / 900000.0).alias("w2"),
         (F.avg("y") / 8500000.0).alias("w3"), F.avg(F.col("is_pos").cast("int")).alias("w4"),
         F.stddev_pop("prob").alias("w5"), (F.stddev_pop("mw") / 250.0).alias("w6"))
+
+
+def design_vectors(t: Inputs):
+    """Seven numbers per group of regions as shares of a design, with the largest one's name."""
+    w = _region_vectors(t)
+    names = [f"w{i}" for i in range(7)]
+    top = F.array_position(F.array(*names), F.array_max(F.array(*names)))
+    return w.select(F.col("d").cast("string").alias("estrategia"), F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]).alias("shares"),
+                    F.element_at(F.array(*[F.lit(n) for n in names]), top.cast("int")).alias("dominante"))
+
+
+@query("kendall", DESIGN_VECTORS + f" SELECT d1, d2, {M('sum(p*q)/sqrt(sum(p*p)*sum(q*q))')} AS tau FROM s GROUP BY 1,2")
+def kendall(t: Inputs):
+    w = _region_vectors(t)
     later = F.explode(F.array(*[F.lit(i) for i in range(4)]))
     a = w.select(F.col("d").alias("d1"), *[F.col(f"w{i}").alias(f"a{i}") for i in range(7)], later.alias("d2"))
     b = w.select(F.col("d").alias("d2"), *[F.col(f"w{i}").alias(f"b{i}") for i in range(7)])

@@ -15,10 +15,10 @@ from ..operators import forest as FO
 from ..operators import sampling as S
 from ..operators.grid import GridSpec
 from ..operators.infrastructure import EXPERIMENTS, has_map
-from ..operators.ranks import auc, brier, kendall_columns, spearman_matrix, summary
+from ..operators.ranks import auc, average_precision, brier, curve_points, kendall_columns, spearman_matrix, summary
 from ..runtime import cut, together
-from ..sources.sinks import compare_reports
-from .studies import KS, covariate_shift, topk_metrics, topk_zones
+from ..sources.sinks import compare_reports, write_report, write_samples
+from .studies import KS, covariate_shift, ratio_reading, topk_metrics, topk_zones
 
 # Macro families of the features.
 FAMILY_NETWORK = ("dist_transmision", "dist_subestaciones", "dist_almacen")
@@ -35,9 +35,7 @@ def assemble(positives: DataFrame, pool: DataFrame, key: str, ratio: int, seed:
 
 def holdout_scores(df: DataFrame, key: str, features: Sequence[str], params: Mapping[str, int], seed: int) -> DataFrame:
     """AUC and Brier of a stratified random 70/30 split (context only: it ignores space)."""
-    split = cut(S.stratified_split(df.dropna(subset=list(features)), key, "clase", 0.3, seed))
-    model = FO.train(split.where("not is_test"), features, "clase", params, seed)
-    held = cut(FO.score(model, split.where("is_test"), features).select("clase", "prob"))
+    held = held_out(df, key, features, params, seed)[1]
     return held.sparkSession.range(1).select(auc(held, "prob", "clase").scalar().alias("auc"),
                                              brier(held, "prob", "clase").scalar().alias("brier"))
 
@@ -59,6 +57,72 @@ def training_report(positives: DataFrame, pool: DataFrame, key: str, block: str,
         F.col("a.auc").alias("auc_alt"), F.col("a.brier").alias("brier_alt"), "c.*")
 
 
+def held_out(df: DataFrame, key: str, features: Sequence[str], params: Mapping[str, int], seed: int) -> tuple:
+    """A model of seven tenths of the rows, and ``(clase, prob)`` of the other, stratified three tenths."""
+    split = cut(S.stratified_split(df.dropna(subset=list(features)), key, "clase", 0.3, seed))
+    model = FO.train(split.where("not is_test"), features, "clase", params, seed)
+    return model, cut(FO.score(model, split.where("is_test"), features).select("clase", "prob"))
+
+
+def train_study(positives: DataFrame, pool: DataFrame, key: str, block: str, ratio: int = 3, ratio_alt: int | None = 10,
+                trials: int = 20, space: Mapping[str, tuple[int, int, int]] | None = None, trees: int | None = None,
+                features: Sequence[str] = FEATURES, k: int = 5, seed: int = 42, path: str | None = None) -> dict:
+    """The whole training run: correlations, search, model of the best parameters, scores of record, another ratio.
+
+    The search and the scores of record (spatial folds) keep blocks whole; the scores of the random split are context only, and the
+    model is fitted again on all rows. The model of the other ratio takes the depth and leaf size found, with ``trees`` trees (by default the usual number); it is left out
+    without ``ratio_alt``, or if the pool holds no more negatives than the first ratio takes. Returns ``data``, ``correlations``, ``search``,
+    ``params``, ``model``, ``importances``, ``folds``, ``curves`` (points of ROC and precision-recall per ratio) and ``metrics`` (one row).
+    With ``path`` the samples, model, metrics, importances, curves and correlations are written there; ``tuned_parameters`` reads the
+    metrics.
+    """
+    spark = positives.sparkSession
+    data = cut(assemble(positives, pool, key, ratio, seed))
+    sizes = data.agg(F.count_if(F.col("clase") == 1).alias("n_pos"), F.count_if(F.col("clase") == 0).alias("n_neg"))
+    first = sizes.first()
+    if not first["n_pos"] or not first["n_neg"]:
+        raise ValueError("training needs positive and negative rows")
+    tried = cut(FO.search(data, features, block, trials, "clase", space, k, seed))
+    names = list(space or FO.SEARCH_SPACE)
+    best = tried.orderBy("brier_mean", *names).first()  # one row per trial
+    params = {**FO.DEFAULTS, **{n: int(best[n]) for n in names}}
+    other = {**params, "n_estimators": int(trees or FO.DEFAULTS["n_estimators"])}
+    wide = cut(assemble(positives, pool, key, ratio_alt, seed)) if ratio_alt not in (None, ratio) else None
+    if wide is not None and wide.where("clase = 0").count() <= first["n_neg"]:
+        wide = None
+    fits = [partial(held_out, data, key, features, params, seed)]
+    if wide is not None:
+        fits.append(partial(held_out, wide, key, features, other, seed))
+    model, (_, held), *alt = together(spark, [partial(FO.train, data, features, "clase", params, seed), *fits])
+    folds = cut(FO.spatial_cv(data, features, block, "clase", params, k, seed))
+    scores = lambda df: df.sparkSession.range(1).select(F.struct(
+        auc(df, "prob", "clase").scalar().alias("auc"), brier(df, "prob", "clase").scalar().alias("brier"),
+        average_precision(df, "prob", "clase").scalar().alias("ap"))).scalar()
+    nothing = F.lit(None).cast("struct<auc:double,brier:double,ap:double>")
+    row = sizes.select("n_pos", "n_neg", FO.cv_summary(folds).select(F.struct("*")).scalar().alias("c"), scores(held).alias("m"),
+                       (scores(alt[0][1]) if alt else nothing).alias("a"))
+    metrics = cut(row.select(
+        "n_pos", "n_neg", F.lit(ratio).alias("ratio"), F.col("c.auc_mean").alias("auc_sbcv"), F.col("c.auc_std").alias("auc_sbcv_std"),
+        F.col("c.brier_mean").alias("brier_sbcv"), F.col("m.auc").alias("auc_split"), F.col("m.brier").alias("brier_split"),
+        F.col("m.ap").alias("ap_split"), F.lit(ratio_alt if alt else None).cast("int").alias("ratio_alt"), F.col("a.auc").alias("auc_alt"),
+        F.col("a.brier").alias("brier_alt"), F.col("a.ap").alias("ap_alt"),
+        F.when(F.col("a.auc").isNotNull(), ratio_reading(F.col("a.auc") - F.col("m.auc"))).alias("lectura"),
+        F.struct(*[F.lit(v).alias(n) for n, v in params.items()]).alias("best_params")))
+    importances = spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())],
+                                        "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    curves = reduce(DataFrame.unionByName, [curve_points(df, "prob", "clase").select(F.lit(r).alias("ratio"), "threshold", "tpr", "fpr", "precision")
+                                            for r, df in [(ratio, held), *((ratio_alt, h) for _, h in alt)]])
+    out = {"data": data, "correlations": feature_correlations(data, features), "search": tried, "params": params, "model": model,
+           "importances": importances, "folds": folds, "curves": curves, "metrics": metrics}
+    if path is not None:
+        write_samples(data, f"{path}/samples")
+        FO.save(model, f"{path}/model")
+        for name in ("metrics", "importances", "correlations"):
+            write_report(out[name], f"{path}/{name}")
+        curves.write.mode("overwrite").parquet(f"{path}/curves")
+    return out
+
+
 def feature_correlations(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     return spearman_matrix(df, list(features))
 

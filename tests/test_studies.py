@@ -497,3 +497,29 @@ def test_applicability_with_one_group_uses_plain_neighbours(spark):
 
     df = spark.createDataFrame([(i, float(i * i % 17), float(i % 5), 1) for i in range(40)], "k int, a double, b double, g int")
     assert A.fit(df, ["a", "b"], "k", group="g").threshold == A.fit(df, ["a", "b"], "k").threshold
+
+
+def test_train_study_end_to_end(spark, tmp_path):
+    rows = spark.range(240).select(
+        F.col("id").alias("cell"), F.expr("id div 20").alias("block"), ((F.col("id") * 37) % 101).cast("double").alias("f1"),
+        ((F.col("id") * 11) % 17).cast("double").alias("f2")).withColumn("y", (F.col("f1") + F.col("f2") > 70).cast("int"))
+    pos, pool = rows.where("y = 1").drop("y"), rows.where("y = 0").drop("y")
+    space = {"n_estimators": (3, 6, 3), "max_depth": (2, 4, 2), "min_samples_leaf": (1, 2, 1)}
+    path = str(tmp_path / "study")
+    out = L.train_study(pos, pool, "cell", "block", 1, 2, 4, space, 5, ["f1", "f2"], 3, 7, path)
+    m = out["metrics"].first()
+    assert (m.n_pos, m.n_neg) == (pos.count(), min(pos.count(), pool.count()))
+    assert m.best_params.asDict() == out["params"] == {k: out["search"].orderBy("brier_mean", *space).first()[k] for k in space}
+    assert m.auc_sbcv > 0.8 and m.auc_split > 0.8 and m.ratio_alt == 2
+    assert m.lectura == ("robusto al ratio" if abs(m.auc_alt - m.auc_split) < 0.02 else "sensible al ratio")
+    assert out["model"].getNumTrees == out["params"]["n_estimators"]
+    # what is written can be read by the next study
+    assert readers.tuned_parameters(spark, path + "/metrics") == out["params"]
+    again = FO.score(FO.load(path + "/model"), out["data"], ["f1", "f2"]).orderBy("cell").collect()
+    assert [r.prob for r in again] == [r.prob for r in FO.score(out["model"], out["data"], ["f1", "f2"]).orderBy("cell").collect()]
+    assert spark.read.parquet(path + "/samples").count() == m.n_pos + m.n_neg
+    # a pool that cannot serve the other ratio leaves its columns null
+    short = L.train_study(pos, pool.where("cell < 60"), "cell", "block", 3, 10, 1, space, 5, ["f1", "f2"], 2, 7)["metrics"].first()
+    assert short.auc_alt is None and short.lectura is None and short.ratio_alt is None
+    with pytest.raises(ValueError):
+        L.train_study(pos, pool.limit(0), "cell", "block", 1, None, 1, space, 5, ["f1", "f2"], 2, 7)
