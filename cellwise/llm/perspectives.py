@@ -4,10 +4,11 @@ For every participant of a dialogue the whole dialogue is rendered with that spe
 named users; system turns stay system turns. The mask lists the code-point spans that are trained on: the speaker's
 own texts with their end mark.
 
-A dialogue is rendered in parts of ``PART`` consecutive turn numbers, so a dialogue of any length is never gathered in one
-row; each part is a rendering of its own with offsets from its start.
+A rendering is handed out in parts of ``PART`` consecutive turn numbers, so a dialogue of any length is never gathered in one
+row. ``begin`` counts the code points of the rendering before a part, and the spans of the mask count from the start of the
+rendering: parts joined by number are the whole rendering and its whole mask, whatever the size of a part.
 
-Null text is empty. A null turn stands before all others, in part 0. Turns with equal numbers are ordered by role and
+Null text is empty. A null turn counts as number 0 and stands before the others of its part. Turns with equal numbers are ordered by role and
 text; repeated rows are repeated turns. A null role speaks as ``unknown`` and has no perspective, like ``system``; a
 dialogue without other roles is not rendered. A null dialogue id is a dialogue. Marks inside texts are broken up by a
 blank. Only the four columns named are read.
@@ -18,13 +19,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import running, stored
+
 PART = 64
 SYSTEM, NOBODY, END = "system", "unknown", "<|end|>\n"
 
 
 def rotated(turns: DataFrame, dialogue: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
             part: int = PART) -> DataFrame:
-    """(conv_id, part, speaker, n_turns, rendered, mask) per dialogue, part and participant."""
+    """(conv_id, part, speaker, begin, n_turns, rendered, mask) per dialogue, part and participant."""
     rows = turns.select(F.col(dialogue).alias("conv_id"), F.floor(F.coalesce(F.col(turn), F.lit(0)) / part).alias("part"),
                         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit(NOBODY)).alias("role"),
                                  F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text")).alias("t"))
@@ -35,19 +38,22 @@ def rotated(turns: DataFrame, dialogue: str = "conv_id", turn: str = "turn", rol
     head = lambda t: (F.when(t["role"] == F.col("speaker"), F.lit("<|assistant|>\n"))
                       .when(t["role"] == SYSTEM, F.lit("<|system|>\n"))
                       .otherwise(F.concat(F.lit("<|user name="), t["role"], F.lit("|>\n"))))
-    both = both.withColumn("pieces", F.transform("turns", lambda t: F.struct(
-        head(t).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), (t["role"] == F.col("speaker")).alias("own"))))
+    both = both.select("conv_id", "part", "speaker", F.transform("turns", lambda t: F.struct(
+        head(t).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), (t["role"] == F.col("speaker")).alias("own"))).alias("pieces"))
+    whole = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "")
+    both = stored(both.select(F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("_key"), "*", whole.alias("rendered")))
+    begins = running(both.select("_key", "speaker", "part", F.char_length("rendered").cast("long").alias("chars")), ["_key", "speaker"], "part", "chars", "begin")
+    both = both.join(begins.drop("chars"), ["_key", "speaker", "part"])
 
     def add(state, p):
-        begin = state["at"] + F.char_length(p["head"])
-        end = begin + F.char_length(p["body"])
-        span = F.concat_ws(":", begin, end)
+        start = state["at"] + F.char_length(p["head"])
+        end = start + F.char_length(p["body"])
+        span = F.concat_ws(":", start, end)
         return F.struct(end.alias("at"), F.when(p["own"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+    start = F.struct(F.col("begin").alias("at"), F.array().cast("array<string>").alias("spans"))
     mask = F.aggregate("pieces", start, add, lambda s: F.array_join(s["spans"], ","))
-    return both.select("conv_id", "part", "speaker", F.size("turns").cast("long").alias("n_turns"),
-                       F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("rendered"), mask.alias("mask"))
+    return both.select("conv_id", "part", "speaker", "begin", F.size("pieces").cast("long").alias("n_turns"), "rendered", mask.alias("mask"))
 
 
 SQL = """
@@ -63,8 +69,8 @@ p as (
   from t join s on t.conv_id is not distinct from s.conv_id),
 o as (
   select *, row_number() over w as k, sum(length(head) + length(body)) over w as hi
-  from p window w as (partition by conv_id, part, speaker order by turn nulls first, role, body rows unbounded preceding))
-select conv_id, part, speaker, count(*) as n_turns, string_agg(head || body, '' order by k) as rendered,
+  from p window w as (partition by conv_id, speaker order by part, turn nulls first, role, body rows unbounded preceding))
+select conv_id, part, speaker, min(hi - length(head) - length(body))::bigint as begin, count(*) as n_turns, string_agg(head || body, '' order by k) as rendered,
        coalesce(string_agg((hi - length(body))::varchar || ':' || hi::varchar, ',' order by k) filter (where own), '') as mask
 from o group by conv_id, part, speaker
 """
