@@ -24,10 +24,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import partitions
 from .common import n_words, running, stored
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 BLOCK, SHARD, EVEN, ROUNDS, SEED = 128, 1024, 0.1, 12, 20_261
+STRETCH, SLOTS_PER_TASK = 256, 1_000_000
 ROW = ["src", "bucket", "rn"]
 
 
@@ -95,11 +97,16 @@ def _slots(sources: DataFrame, shard: int, seed: int) -> DataFrame:
     open_ = running(counts, ["src"], "shard", "c", "first").select("src", "shard", "first", "c")
     got = counts.groupBy("src").agg(F.sum("c").alias("got"))
     rest = sources.join(got, "src", "left").withColumn("got", F.least(F.coalesce("got", F.lit(0)), "slots"))
-    rest = rest.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(max(0, closing - 1))))).withColumn("left", F.col("slots") - F.col("got"))
+    # the closing shards are listed in stretches, so that no task lists them all for its sources
+    tasks = max(partitions(sources), total // SLOTS_PER_TASK)
+    stretches = rest.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(max(0, closing - 1)), F.lit(STRETCH)))).repartition(tasks, "src", "_from")
+    last = F.least(F.col("_from") + (STRETCH - 1), F.lit(max(0, closing - 1)))
+    rest = stretches.withColumn("g", F.explode(F.sequence("_from", last))).withColumn("left", F.col("slots") - F.col("got"))
     part = lambda g: F.floor(g * F.col("left") / max(1, closing)).cast("long")
     rest = rest.select("src", (F.col("g") + drawn).cast("long").alias("shard"), (F.col("got") + part(F.col("g"))).alias("first"),
                        (part(F.col("g") + 1) - part(F.col("g"))).alias("c"))
     both = open_.union(rest).join(sources, "src").where("c > 0 and first < slots")
+    both = both.repartition(tasks, "src", "shard")  # these rows are few and small, their slots are not
     return both.withColumn("j", F.explode(F.sequence("first", F.least(F.col("first") + F.col("c"), F.col("slots")) - 1))).drop("first", "c")
 
 
