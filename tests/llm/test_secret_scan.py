@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from cellwise.llm import secret_scan as S
 
@@ -46,6 +47,36 @@ def test_constants_are_followed():
     assert lexed('K2 = "a8F3kQ9zX1"\nprivateKey = K2\ncolour = "a8F3kQ9zX2"') == {"a8F3kQ9zX1"}
 
 
+def test_source_and_configuration_syntax():
+    key = "q9X2mL0pZr7T"
+    one = [f'let dbPassword: string = "{key}"', f"const apiKey: Option<String> = '{key}';", f'client.secret = KEY\nKEY = "{key}"', f'password = """{key}"""',
+           f"<password>{key}</password>", f"<db:password a='1'> {key} </db:password>", f"run --password {key} --user me", f'run --api-key="{key}"',
+           f'auth_token = ("{key}")', f'auth_token = (\n  "{key}"\n)', f'base = "{key}"\nsecret = f"{{base}}"', f'config["db_password"] = "{key}"',
+           f"db:\n  password: |\n    {key}\n  user: somebody", f'<add key="AdminPassword" value="{key}"/>', f'{{"private_key": "{key}", "x": 1}}',
+           f'a = "{key}"\nb = a\nc = b\npassphrase = c', f"secret := `{key}`", f'export API_KEY={key}', f"passwd => '{key}',"]
+    for text in one:
+        assert lexed(text) == {key}, text
+    assert lexed('token = "q9X2mL" "0pZr7T"') == {"q9X2mL", "0pZr7T"}
+    assert lexed('secret = (\n "q9X2mL"\n + "0pZr7T")\nother = "q9X2mL0pZr7T9"') == {"q9X2mL", "0pZr7T"}
+    assert lexed("key_password: >-\n  q9X2mL\n  0pZr7T\nnext: q9X2mL0pZr7T8") == {"q9X2mL", "0pZr7T"}
+    assert lexed(f'a = "q9X2"\nsecret = f"{{a}}mL0pZr7T"') == {"q9X2", "mL0pZr7T"}
+
+
+def test_texts_without_secrets_stay_clean():
+    for text in ["the secret: nobody knew why it mattered", "access to the key == 12345678a", "password: ", 'password = ""', "password = (", 'token = "', "secret = secret",
+                 "a_token = b_token\nb_token = a_token", 'title = "q9X2mL0pZr7T"', "<password></password>", "--password", "key = value + ", "pass --token ordinary words",
+                 "password = get_password()", "api_key: |", "secret = os.environ"]:
+        S.redact(text)
+        assert not {x for x in lexed(text) if any(c.isdigit() for c in x)}, text
+
+
+def test_lexing_takes_linear_time():
+    for unit in ('secret = "a', "password: |\n  ", "token = (", 'a = a + a\n', "<secret>", "--key ", '"""', "secret = ", "f'{a}{b"):
+        begin = time.perf_counter()
+        S.redact(unit * 20_000)
+        assert time.perf_counter() - begin < 6, unit
+
+
 def test_redaction_removes_every_span():
     for text in TEXTS:
         masked = S.redact(text)
