@@ -2,13 +2,15 @@
 
 URLs that the rules accept and reject train one smoothed variable-order Markov model each (Witten-Bell: every context
 mixes its own counts with the model of the next shorter context). A URL without a rule is judged by its mean log
-ratio per character, against a threshold calibrated on the URLs with a rule.
+ratio per character, against a threshold calibrated on URLs with a rule that trained no model: about a third, taken by a hash
+of the URL, so that copies stand on the same side. A class without such URLs is calibrated on its training URLs.
 
 Grams of all URLs are counted once, per class; all shorter contexts follow from that table, so the text is read once for
 the models and once for the scores. Grams that many URLs share are dealt over salts where scores are looked up.
 
 Null URLs and URLs without ``://`` have an empty host and path and fit no rule; a null URL is scored as empty text. Repeated
-URLs count each. If no URL is accepted, or none rejected, URLs without a rule are allowed. Other columns travel untouched.
+URLs count each. If no URL is accepted, or none rejected, URLs without a rule are allowed. A score equal to the threshold is
+accepted. Other columns travel untouched; those with the name of a result (``RESULT``) are replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from pyspark.sql import functions as F
 from .common import attach, lower_ascii, stored
 
 ORDER = 4  # longest context
+PIECE = 512  # grams are cut from pieces of a text: a position is found by counting from the start
+HELD_OUT = "5"  # URLs whose MD5 in hex starts below this calibrate and do not train: 5 of 16
+RESULT = ["host", "path", "rule", "score", "verdict"]
 EDGE = "\x02"  # stands before the first and behind the last character
 
 #: (verdict, host, start of the path)
@@ -48,7 +53,10 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 def grams(text: Column, order: int = ORDER) -> Column:
     """All grams of a text: each character, and the end, behind its ``order`` predecessors."""
     padded = F.concat(F.lit(EDGE * order), F.lower(F.coalesce(text, F.lit(""))), F.lit(EDGE))
-    return F.transform(F.sequence(F.lit(1), F.char_length(padded) - order), lambda i: padded.substr(i, F.lit(order + 1)))
+    starts = F.sequence(F.lit(1), F.char_length(padded) - order, F.lit(PIECE))
+    pieces = F.transform(starts, lambda i: padded.substr(i, F.lit(PIECE + order)))
+    of = lambda p: F.transform(F.sequence(F.lit(1), F.char_length(p) - order), lambda i: p.substr(i, F.lit(order + 1)))
+    return F.flatten(F.transform(pieces, of))
 
 
 def gram_ratios(counted: DataFrame, order: int = ORDER) -> DataFrame:
@@ -80,15 +88,17 @@ def judged(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, s
     host, path = host_and_path(F.col(url))
     fit = rule_of(F.col("_host"), F.col("_path"), rules)
     rows = pages.select(F.struct("*").alias("_page"), F.col(url).alias("_url"), host.alias("_host"), path.alias("_path"))
+    rows = rows.withColumn("_held", F.substring(F.md5(F.coalesce(F.col("_url"), F.lit("")).cast("binary")), 1, 1) < HELD_OUT)
     rows = stored(rows.withColumns({"_rule": fit, "_row": F.monotonically_increasing_id()}))
-    at = stored(rows.select("_row", F.col("_rule.verdict").alias("v"), F.explode(grams(F.col("_url"), order)).alias("gram")))
+    at = stored(rows.select("_row", F.when(~F.col("_held"), F.col("_rule.verdict")).alias("v"), F.explode(grams(F.col("_url"), order)).alias("gram")))
     counted = stored(at.groupBy("gram").agg(F.count(F.when(F.col("v") == "allow", 1)).alias("a"),
                                             F.count(F.when(F.col("v") == "block", 1)).alias("r")))
     ratios = gram_ratios(counted, order)
     scores = attach(at.select("_row", "gram"), ratios, "gram", F.col("_row")).groupBy("_row").agg(F.avg("ratio").alias("_score"))
     rows = stored(rows.join(scores, "_row"))
     s = {r["v"]: r for r in rows.where("_rule is not null").groupBy(F.col("_rule.verdict").alias("v")).agg(
-        F.avg("_score").alias("mean"), F.coalesce(F.stddev_pop("_score"), F.lit(0.0)).alias("sd")).collect()}
+        F.coalesce(F.avg(F.when(F.col("_held"), F.col("_score"))), F.avg("_score")).alias("mean"),
+        F.coalesce(F.stddev_pop(F.when(F.col("_held"), F.col("_score"))), F.stddev_pop("_score")).alias("sd")).collect()}
     if len(s) == 2:
         a, r = s["allow"], s["block"]
         spread = a["sd"] + r["sd"]
@@ -96,7 +106,8 @@ def judged(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, s
         own = F.when(F.col("_score") >= limit, "allow").otherwise("block")
     else:
         own = F.lit("allow")
-    return rows.select("_page.*", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"),
+    kept = [F.col("_page")[c].alias(c) for c in pages.columns if c.lower() not in RESULT]
+    return rows.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"),
                        F.col("_score").alias("score"), F.coalesce(F.col("_rule.verdict"), own).alias("verdict"))
 
 
@@ -123,15 +134,17 @@ with cut as (select row_number() over () as n, page_id, coalesce(url, '') as url
     case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 parts as (select *, regexp_extract(rest, '^[^/?#]*') as h from cut),
 rows_ as (select n, page_id, url, translate(h, '{upper}', '{low}') as host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') as path from parts),
-ruled as (select *, {case(1)} as rule, {case(0)} as v from rows_),
-padded as (select n, v, repeat({edge}, {order}) || lower(url) || {edge} as t from ruled),
+ruled as (select *, {case(1)} as rule, {case(0)} as v, substr(md5(url), 1, 1) < '{HELD_OUT}' as held from rows_),
+padded as (select n, case when not held then v end as v, repeat({edge}, {order}) || lower(url) || {edge} as t from ruled),
 at_ as (select n, v, substr(t, i, {order + 1}) as gram from (select *, unnest(range(1, length(t) - {order} + 1)) as i from padded)),
 counted as (select gram, count(*) filter (v = 'allow') as a, count(*) filter (v = 'block') as r from at_ group by 1),
 {', '.join(levels)},
 scored as (select n, avg(ln(pa) - ln(pr)) as score from at_ join p{order} using (gram) group by 1),
 both_ as (select * from ruled join scored using (n)),
-side as (select avg(score) filter (v = 'allow') as ma, avg(score) filter (v = 'block') as mr,
-    stddev_pop(score) filter (v = 'allow') as sa, stddev_pop(score) filter (v = 'block') as sr from both_),
+side as (select coalesce(avg(score) filter (v = 'allow' and held), avg(score) filter (v = 'allow')) as ma,
+    coalesce(avg(score) filter (v = 'block' and held), avg(score) filter (v = 'block')) as mr,
+    coalesce(stddev_pop(score) filter (v = 'allow' and held), stddev_pop(score) filter (v = 'allow')) as sa,
+    coalesce(stddev_pop(score) filter (v = 'block' and held), stddev_pop(score) filter (v = 'block')) as sr from both_),
 bound as (select case when ma is null or mr is null then null when sa + sr = 0 then (ma + mr) / 2
     else (ma * sr + mr * sa) / (sa + sr) end as limit_ from side)
 select page_id, host, path, rule, coalesce(v, case when limit_ is null or score >= limit_ then 'allow' else 'block' end) as verdict
