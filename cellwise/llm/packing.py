@@ -1,16 +1,18 @@
 """Packing documents into token windows by order-preserving dynamic programming.
 
-Documents are dealt into chunks by a hash of their key, as many as the text asks for, and keep the order of their keys inside
-a chunk. A chunk's tokens form one stream. Cuts are allowed behind documents, behind sentences (a small penalty), and
-where neither comes within a window. The cheapest cuts minimise padding plus penalties: the cost of a cut is the least
-over the cuts up to a window before, kept in a monotone queue, so a stream takes time linear in its cuts. A window whose
-length is a power of two needs no padding.
+Documents are cut into ranges of consecutive keys with about as many documents each, so windows follow the order of the
+keys through the whole table. A range's tokens form one stream. Cuts are allowed behind documents, behind sentences (a
+small penalty), and a window behind any cut that would else leave more than ``SLACK`` tokens of padding (a larger one).
+The cheapest cuts minimise padding plus penalties: the cost of a cut is the least over the cuts up to a window before,
+kept in a monotone queue, so a stream takes time linear in its cuts. A window whose length is a power of two needs no
+padding.
 
 Tokens come from a public tokenizer file, word by word: its rules never join characters across ASCII blanks, so
-the ids of a text are those of its words, and each task encodes a word once (a bounded memory of words). A chunk is
-streamed: the cuts of a stretch of tokens are fixed before the next one is read.
+the ids of a text are those of its words, and each task encodes a word once (a bounded memory of words, which keeps the
+frequent ones when it is full). A range is streamed: the cuts of a stretch of tokens are fixed before the next one is read.
 
-Null text is empty and yields the end token only. Rows equal in key and text are packed each. Null keys come first.
+Null text is empty and yields the end token only. Rows equal in key and text are packed each. Null keys come first, and
+rows of one key by a hash of their texts, so that a key of many rows is spread over ranges too.
 Very long texts are split over windows. An empty table gives an empty result.
 """
 
@@ -32,13 +34,21 @@ from pyspark.sql import types as T
 from ..runtime import partitions
 
 WINDOW, END_ID = 4096, 2
-SENTENCE_PENALTY, HARD_PENALTY = 8.0, 64.0
-CHUNK_CHARS, STRETCH, WORDS_HELD, LEARN_BYTES = 1_000_000, 1 << 18, 600_000, 1 << 18
+SENTENCE_PENALTY, HARD_PENALTY, SLACK = 8.0, 64.0, 64
+SENTENCE_ENDS = tuple(".!?…。！？｡।॥؟۔")
+CLOSERS = "\"')]}”’»›」』）"
+JOINED = 512  # words that are encoded as one text
+RANGE_CHARS, STRETCH, WORDS_HELD, LEARN_BYTES = 1_000_000, 1 << 18, 600_000, 1 << 18
 
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in
                        ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
+def ends_sentence(word: str) -> bool:
+    """Whether a word ends in a full stop or the like, perhaps before closing quotes and brackets."""
+    return word.rstrip(CLOSERS).endswith(SENTENCE_ENDS)
+
+
 class WordTokens:
     """Ids of words: each distinct word is encoded once while it is held."""
 
@@ -46,42 +56,83 @@ class WordTokens:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer, self.held = Tokenizer.from_file(path), held
-        self.forget()
-
-    def forget(self) -> None:
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not t.single_word]
+        self.between = f" {special[0]} " if special else None
+        self.mark = self.tokenizer.token_to_id(special[0]) if special else None
         self.index: dict[bytes, int] = {}
-        self.ids, self.starts, self.sentence = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.empty(1 << 14, bool)
+        self.ids, self.starts = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.sentence, self.uses = np.empty(1 << 14, bool), np.zeros(1 << 14, np.int64)
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [c.ids for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum())), lengths
+
+    def _coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of each text; many are encoded as one, parted by a special token.
+
+        Where the special token occurs in a text as well, its group is encoded text by text.
+        """
+        if self.mark is None:
+            return self._each(texts)
+        groups = [texts[i:i + JOINED] for i in range(0, len(texts), JOINED)]
+        joined = self.tokenizer.encode_batch_fast([self.between.join([*g, ""]) for g in groups], add_special_tokens=False)
+        parts = []
+        for group, coded in zip(groups, joined):
+            ids = np.array(coded.ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark)
+            parts.append((ids[ids != self.mark], np.diff(at, prepend=-1) - 1) if len(at) == len(group) else self._each(group))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _learn(self, words: list[bytes]) -> None:
-        coded = [c.ids for c in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        texts = [w.decode("utf-8", "replace") for w in words]
+        coded, lengths = self._coded(texts)
         n, more = len(self.index), len(words)
-        begin, ends = self.starts[n], np.cumsum(np.fromiter(map(len, coded), np.int64, more))
+        begin, ends = self.starts[n], np.cumsum(lengths)
         while begin + ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while n + more >= len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.sentence = np.concatenate([self.sentence, np.empty_like(self.sentence)])
-        self.ids[begin:begin + ends[-1]] = np.fromiter(chain.from_iterable(coded), np.uint32, int(ends[-1]))
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
+        self.ids[begin:begin + ends[-1]] = coded
         self.starts[n + 1:n + 1 + more] = begin + ends
-        self.sentence[n:n + more] = [w[-1:] in (b".", b"!", b"?") for w in words]
+        self.sentence[n:n + more] = [ends_sentence(t) for t in texts]
+        self.uses[n:n + more] = 0
         self.index.update(zip(words, range(n, n + more)))
 
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words ``at``, one after the other, and the places behind them."""
+        lengths = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _shed(self) -> None:
+        """Keeps the words that were used again, at most the more frequent half."""
+        uses = self.uses[:len(self.index)]
+        keep = np.flatnonzero(uses > 1)
+        if len(keep) > self.held // 2:
+            keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[:self.held // 2]])
+        words, n = list(self.index), len(keep)
+        ids, ends = self._gather(keep)
+        self.ids[:len(ids)], self.starts[1:n + 1] = ids, ends
+        self.sentence[:n], self.uses[:n] = self.sentence[keep], self.uses[keep] // 2
+        self.index = {words[i]: k for k, i in enumerate(keep.tolist())}
+
     def encode_many(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids and the places behind its sentences; words that are new to all texts are learned at once."""
         lists = [t.split() if t else [] for t in texts]
         flat = list(chain.from_iterable(lists))
+        if len(self.index) > self.held:
+            self._shed()
         at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            if len(self.index) > self.held:
-                self.forget()
-                missing = range(len(flat))
             new = [flat[i] for i in missing]
             self._learn(list(dict.fromkeys(new)))
             at[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
-        lengths = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        self.uses[:len(self.index)] += np.bincount(at, minlength=len(self.index))
+        ids, ends = self._gather(at)
         marks = ends[self.sentence[at]]
         begin = 0
         for end in np.concatenate([[0], ends])[np.cumsum([len(words) for words in lists])].tolist():
@@ -136,13 +187,35 @@ def cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> lis
     return path[::-1]
 
 
+def _hard(soft: list[int], window: int) -> list[int]:
+    """Places a window behind a cut (soft or hard) which has no other place for a cut within the ``slack`` tokens before.
+
+    So a window from any cut can be filled up to the slack, and no two hard places are closer than it.
+    """
+    slack, out, at, before = max(1, min(SLACK, window // 4)), [], 0, 0
+    begins = iter(soft)
+    begin, soft_next = next(begins, None), 0
+    while begin is not None or at < len(out):
+        if begin is None or at < len(out) and out[at] < begin:
+            here, at = out[at], at + 1
+        else:
+            here, begin = begin, next(begins, None)
+        place = here + window
+        if place >= soft[-1]:
+            break
+        while soft_next < len(soft) and soft[soft_next] <= place:
+            before, soft_next = soft[soft_next], soft_next + 1
+        if place - max(before, out[-1] if out else 0) >= slack:
+            out.append(place)
+    return out
+
+
 def _candidates(length: int, documents: np.ndarray, sentences: np.ndarray, window: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of possible cuts with their penalties; hard cuts wherever the others leave too wide a gap."""
-    fine = {0: 0.0, length: 0.0}
+    """Places of possible cuts with their penalties; hard cuts wherever the others would leave padding."""
     soft = np.unique(np.concatenate([[0], documents, sentences, [length]]))
-    hard = [np.arange(soft[g], soft[g + 1], window // 2)[1:] for g in np.flatnonzero(np.diff(soft) > window // 2)]
+    hard = [_hard(soft.tolist(), window)]
     if last:  # places from which the tail fills a power of two
-        hard.append(length - np.array([1 << k for k in range(window.bit_length()) if 1 << k < length], np.int64))
+        hard.append([length - (1 << k) for k in range(window.bit_length()) if 1 << k < length])
     fine = np.concatenate([np.zeros(len(documents) + 2), np.full(len(sentences), SENTENCE_PENALTY), np.full(sum(map(len, hard)), HARD_PENALTY)])
     place = np.concatenate([[0, length], documents, sentences, *hard]).astype(np.int64)
     order = np.lexsort((fine, place))
@@ -151,10 +224,10 @@ def _candidates(length: int, documents: np.ndarray, sentences: np.ndarray, windo
 
 
 class Stream:
-    """The open stretch of a chunk: documents as (id, place of their first token, ids, tokens before)."""
+    """The open stretch of a range: documents as (id, place of their first token, ids, tokens before)."""
 
-    def __init__(self, chunk: int, window: int):
-        self.chunk, self.window, self.sequences = chunk, window, 0
+    def __init__(self, part: int, window: int):
+        self.part, self.window, self.sequences = part, window, 0
         self.docs: list[tuple[int | None, int, np.ndarray, int, int]] = []
         self.length, self.sentences = 0, []
 
@@ -164,7 +237,7 @@ class Stream:
         self.length += len(ids)
 
     def close(self, last: bool) -> list[tuple]:
-        """Pieces of the windows that are fixed; unless the chunk ends, the rest of the stretch stays open."""
+        """Pieces of the windows that are fixed; unless the range ends, the rest of the stretch stays open."""
         if not self.docs:
             return []
         ends = np.array([at + len(ids) for _, at, ids, _, _ in self.docs], np.int64)
@@ -179,7 +252,7 @@ class Stream:
                 a, b = max(begin, at), min(end, at + len(ids))
                 part = ids[a - at:b - at]
                 out.append((key, before + a - at, b - a, zlib.crc32(part.astype("<u4").tobytes()), total,
-                            (self.chunk << 32) + self.sequences, a - begin))
+                            (self.part << 32) + self.sequences, a - begin))
                 if at + len(ids) > end:
                     break
                 d += 1
@@ -200,24 +273,24 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int
         return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*pieces)], PIECES.names)
 
     def documents() -> Iterator[tuple]:
-        """Chunk, key, ids and sentence ends of all rows; rows of about ``LEARN_BYTES`` are encoded together."""
+        """Range, key, ids and sentence ends of all rows; rows of about ``LEARN_BYTES`` are encoded together."""
         for batch in batches:
             held, size = [], 0
-            for chunk, key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+            for part, key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
                 text = value.as_py()
-                held.append((chunk, key, text))
+                held.append((part, key, text))
                 size += len(text or b"")
                 if size >= LEARN_BYTES:
                     yield from ((c, k, *e) for (c, k, _), e in zip(held, words.encode_many([t for _, _, t in held])))
                     held, size = [], 0
             yield from ((c, k, *e) for (c, k, _), e in zip(held, words.encode_many([t for _, _, t in held])))
 
-    for chunk, key, ids, sentences in documents():
-        if stream is not None and stream.chunk != chunk:
+    for part, key, ids, sentences in documents():
+        if stream is not None and stream.part != part:
             if done := stream.close(True):
                 yield rows(done)
             stream = None
-        stream = stream or Stream(chunk, window)
+        stream = stream or Stream(part, window)
         stream.add(key, np.append(ids, np.uint32(end_id)), sentences)
         if stream.length >= STRETCH and (done := stream.close(False)):
             yield rows(done)
@@ -226,14 +299,14 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int
 
 
 def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID,
-           chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+           range_chars: int = RANGE_CHARS) -> DataFrame:
     """Pieces (id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents in windows.
 
     ``tokenizer`` is the path of a tokenizer file that every executor has.
     """
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     chars = source.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
-    chunks = max(1, chars // chunk_chars)
-    dealt = source.select(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).alias("chunk"), "id", "text")
-    dealt = dealt.repartition(max(partitions(docs), 1), "chunk").sortWithinPartitions("chunk", "id", F.xxhash64("text"))
+    order = ["id", F.xxhash64("text")]
+    ranges = source.repartitionByRange(max(1, min(chars // range_chars, partitions(docs))), *order).sortWithinPartitions(*order)
+    dealt = ranges.select(F.spark_partition_id().cast("long").alias("range"), "id", "text")
     return dealt.mapInArrow(partial(_pack, path=tokenizer, window=window, end_id=end_id), PIECES)

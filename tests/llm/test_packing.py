@@ -36,10 +36,10 @@ def check(rows, docs, window):
             assert fits >= n
 
 
-@pytest.mark.parametrize("window,chunk", [(4096, 1_000_000), (64, 4_000), (100, 20_000)])
-def test_round_trip(spark, window, chunk):
+@pytest.mark.parametrize("window,chars", [(4096, 1_000_000), (64, 4_000), (100, 20_000)])
+def test_round_trip(spark, window, chars):
     docs = documents(spark)
-    rows = packing.packed(docs, PATH, window=window, chunk_chars=chunk).collect()
+    rows = packing.packed(docs, PATH, window=window, range_chars=chars).collect()
     check(rows, docs.collect(), window)
 
 
@@ -106,6 +106,50 @@ def test_little_padding(spark):
     assert padding < 0.01 * sum(length.values())
 
 
+def test_windows_follow_the_keys(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.packed(docs, PATH, range_chars=200_000).orderBy("sequence_id", "offset").collect()
+    assert len({r.sequence_id >> 32 for r in rows}) > 1
+    assert [(r.id, r.start) for r in rows] == sorted((r.id, r.start) for r in rows)
+
+
+@pytest.mark.parametrize("tokens", [1366, 1400, 1500, 3000])
+def test_little_padding_without_sentence_ends(tokens):
+    stream, out = packing.Stream(0, 4096), []
+    for key in range(300):
+        stream.add(key, np.zeros(tokens, np.uint32), np.empty(0, np.int64))
+        if stream.length > 1 << 18:
+            out += stream.close(False)
+    length = Counter()
+    for r in out + stream.close(True):
+        length[r[5]] += r[2]
+    assert sum(length.values()) == 300 * tokens
+    assert sum(0 if n & (n - 1) == 0 else 4096 - n for n in length.values()) < 0.02 * 300 * tokens
+
+
+def test_a_window_from_any_place_can_be_filled():
+    rng = np.random.default_rng(3)
+    for gaps in ([5], [1] * 300, [1000], rng.integers(1, 200, 50), rng.integers(1, 30, 200)):
+        ends = np.cumsum(gaps).astype(np.int64)
+        places, _ = packing._candidates(int(ends[-1]), ends, np.empty(0, np.int64), 64, False)
+        for p in places[places + 64 < ends[-1]]:
+            assert ((places > p + 48) & (places <= p + 64)).any()
+
+
+@pytest.mark.parametrize("word,end", [("end.", True), ('end."', True), ("konec!»", True), ("终。", True), ("है।", True), ("a.b", False), ('"', False)])
+def test_sentence_ends(word, end):
+    assert packing.ends_sentence(word) is end
+
+
+def test_a_full_memory_keeps_the_frequent_words():
+    tokenizer, words = Tokenizer.from_file(PATH), packing.WordTokens(PATH, held=40)
+    for round_ in range(6):
+        text = " ".join(f"often{i} rare{round_}x{i}. often{i}" for i in range(15))
+        assert words.encode(text.encode())[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(words.index) <= 40 + 30
+    assert b"often3" in words.index and b"rare0x3." not in words.index
+
+
 def test_empty_table(spark):
     assert packing.packed(empty(spark), PATH).count() == 0
 
