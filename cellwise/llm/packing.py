@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -37,8 +38,9 @@ WINDOW, END_ID = 4096, 2
 SENTENCE_PENALTY, HARD_PENALTY, SLACK = 8.0, 64.0, 64
 SENTENCE_ENDS = tuple(".!?…。！？｡।॥؟۔")
 CLOSERS = "\"')]}”’»›」』）"
+LAST = frozenset("".join(SENTENCE_ENDS) + CLOSERS)
 JOINED = 512  # words that are encoded as one text
-RANGE_CHARS, STRETCH, WORDS_HELD, LEARN_BYTES = 1_000_000, 1 << 18, 600_000, 1 << 18
+RANGE_CHARS, STRETCH, WORDS_HELD, LEARN_BYTES = 1_000_000, 1 << 19, 600_000, 1 << 18
 
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in
                        ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -97,7 +99,7 @@ class WordTokens:
             self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
         self.ids[begin:begin + ends[-1]] = coded
         self.starts[n + 1:n + 1 + more] = begin + ends
-        self.sentence[n:n + more] = [ends_sentence(t) for t in texts]
+        self.sentence[n:n + more] = [t[-1] in LAST and ends_sentence(t) for t in texts]
         self.uses[n:n + more] = 0
         self.index.update(zip(words, range(n, n + more)))
 
@@ -165,21 +167,26 @@ def cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> lis
         for j in np.flatnonzero(places[at] == places - p).tolist():
             exact.setdefault(j, []).append(int(at[j]))
     cost, back = [0.0] * len(where), [0] * len(where)
-    queue: deque[int] = deque([0])  # begins, by ascending cost + place
+    begins, values, head = [0], [0.0], 0  # the queue of begins, by ascending cost + place, from ``head`` on
     for j in range(1, len(where)):
         here = where[j]
-        while where[queue[0]] < here - window:
-            queue.popleft()
-        i = queue[0]
-        best, source = cost[i] + window - (here - where[i]), i
-        for i in exact.get(j, ()):
-            if cost[i] < best:
-                best, source = cost[i], i
-        cost[j], back[j] = best + fine[j], source
-        value = cost[j] + here
-        while queue and cost[queue[-1]] + where[queue[-1]] >= value:
-            queue.pop()
-        queue.append(j)
+        while where[begins[head]] < here - window:
+            head += 1
+        best, source = values[head] + window - here, begins[head]
+        if j in exact:
+            for i in exact[j]:
+                if cost[i] < best:
+                    best, source = cost[i], i
+        best += fine[j]
+        cost[j], back[j] = best, source
+        value = best + here
+        while values and values[-1] >= value:
+            values.pop()
+            begins.pop()
+        if head > len(begins):
+            head = len(begins)
+        begins.append(j)
+        values.append(value)
     path, j = [], len(where) - 1
     while j:
         path.append(where[j])
@@ -187,25 +194,22 @@ def cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> lis
     return path[::-1]
 
 
-def _hard(soft: list[int], window: int) -> list[int]:
-    """Places a window behind a cut (soft or hard) which has no other place for a cut within the ``slack`` tokens before.
+def _hard(soft: np.ndarray, window: int) -> list[int]:
+    """Places a window behind a cut (soft or hard) which has no other place for a cut within the slack of tokens before.
 
     So a window from any cut can be filled up to the slack, and no two hard places are closer than it.
     """
-    slack, out, at, before = max(1, min(SLACK, window // 4)), [], 0, 0
-    begins = iter(soft)
-    begin, soft_next = next(begins, None), 0
-    while begin is not None or at < len(out):
-        if begin is None or at < len(out) and out[at] < begin:
-            here, at = out[at], at + 1
+    slack, out, at, length = max(1, min(SLACK, window // 4)), [], 0, int(soft[-1])
+    bare = soft[soft + window - soft[np.searchsorted(soft, soft + window, "right") - 1] >= slack]
+    begins, soft_places = deque(bare.tolist()), soft.tolist()
+    while begins or at < len(out):
+        if at < len(out) and not (begins and begins[0] < out[at]):
+            place, at = out[at] + window, at + 1
         else:
-            here, begin = begin, next(begins, None)
-        place = here + window
-        if place >= soft[-1]:
+            place = begins.popleft() + window
+        if place >= length:
             break
-        while soft_next < len(soft) and soft[soft_next] <= place:
-            before, soft_next = soft[soft_next], soft_next + 1
-        if place - max(before, out[-1] if out else 0) >= slack:
+        if place - max(soft_places[bisect_right(soft_places, place) - 1], out[-1] if out else 0) >= slack:
             out.append(place)
     return out
 
@@ -213,7 +217,7 @@ def _hard(soft: list[int], window: int) -> list[int]:
 def _candidates(length: int, documents: np.ndarray, sentences: np.ndarray, window: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places of possible cuts with their penalties; hard cuts wherever the others would leave padding."""
     soft = np.unique(np.concatenate([[0], documents, sentences, [length]]))
-    hard = [_hard(soft.tolist(), window)]
+    hard = [_hard(soft, window)]
     if last:  # places from which the tail fills a power of two
         hard.append([length - (1 << k) for k in range(window.bit_length()) if 1 << k < length])
     fine = np.concatenate([np.zeros(len(documents) + 2), np.full(len(sentences), SENTENCE_PENALTY), np.full(sum(map(len, hard)), HARD_PENALTY)])
