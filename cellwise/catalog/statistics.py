@@ -377,6 +377,37 @@ def decoupling_study(t: Inputs):
     return P.decoupling_study(t.cells, t.grid, 0.4, 50, 42, 15000.0)
 
 
+def _scope_sql(s: str, where: str, n_boot: int, seed: int) -> str:
+    """CTEs of one scope: cells, blocks, their rank correlations and both bootstraps, under names that end in ``s``."""
+    ranks = lambda by: ", ".join(
+        f"rank() OVER ({p} ORDER BY {v})+(count(*) OVER (PARTITION BY {by + ',' if by else ''}{v})-1)/2.0 AS r{v}"
+        for v in "ab" for p in [f"PARTITION BY {by}" if by else ""])
+    def boot(kind: str, src: str, seed: int) -> str:
+        return f""", pick{kind}{s} AS (SELECT id // n AS rep, {K.draw_sql("id", seed)} % n AS pos FROM nb{s}, range(0, {n_boot}*(SELECT n FROM nb{s})) t(id)),
+mult{kind}{s} AS (SELECT rep, block, count(*) AS times FROM pick{kind}{s} JOIN nm{s} USING (pos) GROUP BY 1,2),
+rows{kind}{s} AS (SELECT rep, a, b FROM mult{kind}{s} JOIN {src} USING (block), range(0, times) u(i)),
+rho{kind}{s} AS (SELECT rep, corr(ra,rb) AS rho FROM (SELECT rep, {ranks("rep")} FROM rows{kind}{s}) GROUP BY 1),
+ci{kind}{s} AS (SELECT quantile_cont(rho,0.025) AS lo, quantile_cont(rho,0.975) AS hi, stddev_pop(rho) AS se FROM rho{kind}{s})"""
+    return f""", cl{s} AS (SELECT (floor(x/15000.0)*1000003+floor(y/15000.0))::BIGINT AS block, prob AS a, yld AS b FROM centred WHERE {where}),
+bl{s} AS (SELECT block, avg(a) AS a, avg(b) AS b FROM cl{s} GROUP BY 1), nb{s} AS (SELECT count(*) AS n FROM bl{s}),
+nm{s} AS (SELECT block, row_number() OVER (ORDER BY block)-1 AS pos FROM bl{s}),
+rc{s} AS (SELECT count(*) AS n, corr(ra,rb) AS rho FROM (SELECT {ranks("")} FROM cl{s})),
+rb{s} AS (SELECT count(*) AS n, corr(ra,rb) AS rho FROM (SELECT {ranks("")} FROM bl{s}))""" + boot("b", f"bl{s}", seed) + boot("c", f"cl{s}", seed + 1)
+
+
+def _scope_row(s: str, name: str) -> str:
+    return f"""SELECT '{name}' AS ambito, rc{s}.n AS n_celdas, {M(f"rc{s}.rho")} AS rho_celda, rb{s}.n AS n_bloques, {M(f"rb{s}.rho")} AS rho_bloque,
+ {M(f"cib{s}.lo")} AS bloque_ic_inf, {M(f"cib{s}.hi")} AS bloque_ic_sup, {M(f"cib{s}.se")} AS bloque_se,
+ {M(f"cic{s}.lo")} AS celda_ic_inf, {M(f"cic{s}.hi")} AS celda_ic_sup, {M(f"cic{s}.se")} AS celda_se FROM rc{s}, rb{s}, cib{s}, cic{s}"""
+
+
+@query("decoupling_intervals", _scope_sql("1", "yld>0 AND prob IS NOT NULL", 50, 42) + _scope_sql("2", "yld>0 AND prob>=0.4", 50, 42)
+       + " " + _scope_row("1", "region") + " UNION ALL " + _scope_row("2", "aptas"))
+def decoupling_intervals(t: Inputs):
+    """The decoupling study without its p value, which SQL has no function for."""
+    return rounded(P.decoupling_study(t.cells, t.grid, 0.4, 50, 42, 15000.0).drop("p_bloque"))
+
+
 @query("metrics_long", f""", v AS (SELECT avg(yld) m, quantile_cont(yld,0.5) p FROM cells WHERE yld>0)
 SELECT 'Rendimiento' AS categoria, 'media' AS metrica, 'region' AS ambito, {M('m')} AS valor, 'kWh/kWp' AS unidad, NULL::DOUBLE AS ic_95_inferior, NULL::DOUBLE AS ic_95_superior, NULL::DOUBLE AS p_valor, 'media regional' AS descripcion FROM v
 UNION ALL SELECT 'Rendimiento', 'mediana', 'region', {M('p')}, 'kWh/kWp', NULL, NULL, NULL, 'mediana regional' FROM v""")
