@@ -6,7 +6,8 @@ the cells whose box could still beat the best representative seen, and joins
 their children. The number of cells a point keeps depends on the geometry around
 it, not on how many features share a cell: a crowded place only makes the pyramid
 deeper there. Visibility dates and "other than myself" rules work by choosing a
-representative that the point may use.
+representative that the point may use. Points in more than three dimensions are
+searched in tiles of median splits instead.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import add, segment_distance
 from ..runtime import cut, single
+from .neighbours import nearest_in_tiles
 
 LEAF_LIMIT = 64
 MAX_SIDE_BITS = 40
 TOP_LIMIT = 4096
+WHOLE = ("byte", "short", "integer", "long")
 
 
 def _separate(p: Sequence[Column], lo: Sequence[Column], hi: Sequence[Column]) -> Column:
@@ -69,6 +72,13 @@ def nearest(points: DataFrame, features: DataFrame, key: str, order: str,
     feats = feats.select(F.col(order).alias("_order"), *[F.col(g).cast("double").alias(f"g_{g}") for g in geom],
                          *extra, F.struct(F.col(order), *[F.col(a) for a in attrs]).alias("_attrs"))
     feats = _one_place(feats, [f"g_{g}" for g in geom], bool(start), bool(group))
+    whole = [points.schema[group], features.schema[group], features.schema[order]] if group else [features.schema[order]]
+    if nd > 3 and shape == "point" and not (start or attrs or max_dist) and all(f.dataType.typeName() in WHOLE for f in whole):
+        mine = [F.col(group).alias("_mine")] if group else []
+        rows = points.dropna(subset=[*dims, *([group] if group else [])]).select(
+            key, *[F.col(d).cast("double").alias(f"p_{d}") for d in dims], *mine)
+        won = nearest_in_tiles(rows, feats, key, dims, int(box["n"]), bool(group)).withColumnRenamed("_order", order)
+        return points.select(key).join(won, key, "left") if keep_all else won
     if shape == "segment":
         feats = _pieces(feats, max(span.values()) / 64.0)
         lo = {d: F.least(f"a_{d}", f"b_{d}") for d in dims}
