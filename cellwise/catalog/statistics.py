@@ -138,7 +138,7 @@ def tukey_fence(t: Inputs):
     return rounded(q.select("region_id", (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("cerca")))
 
 
-@query("top_sites", f"SELECT r, c, {M('prob')} AS prob FROM cells ORDER BY prob DESC, r, c LIMIT 25")
+@query("top_sites", f"SELECT r, c, {M('prob')} AS prob FROM cells ORDER BY cells.prob DESC, cells.r, cells.c LIMIT 25")
 def top_sites(t: Inputs):
     return rounded(t.cells.select("r", "c", "prob").orderBy(F.desc("prob"), "r", "c").limit(25))
 

@@ -115,3 +115,20 @@ def test_kendall_p_is_exact_without_ties():
 
 def test_feature_order():
     assert FEATURES == ["slope", "ghi", "elev", "northness", "dist_transmision", "dist_almacen", "dist_subestaciones"]
+
+
+def test_top_sites_order_by_the_unrounded_score(spark, tmp_path):
+    """Scores that differ beyond the sixth decimal: the query and its SQL rank them alike."""
+    import duckdb
+
+    from cellwise.catalog import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    base = "/root/testdata/sf0.001"
+    for t in "region nation customer supplier part embeddings".split():
+        con.execute(f"create view {t} as from '{base}/{t}.parquet'")
+    # the lower the key, the lower the price, by less than the rounding
+    con.execute(f"copy (select s.* replace (450000.0 + o_orderkey * 1e-5 as o_totalprice) from '{base}/orders.parquet' s) to '{tmp_path}/orders.parquet'")
+    con.execute(f"create view orders as from '{tmp_path}/orders.parquet'")
+    want = {(r, c) for r, c, _ in con.execute(ORACLES["top_sites"]).fetchall()}
+    assert {(r.r, r.c) for r in QUERIES["top_sites"](spark, str(tmp_path)).collect()} == want
