@@ -6,8 +6,8 @@ the cells whose box could still beat the best representative seen, and joins
 their children. The number of cells a point keeps depends on the geometry around
 it, not on how many features share a cell: a crowded place only makes the pyramid
 deeper there. Visibility dates and "other than myself" rules work by choosing a
-representative that the point may use. Points in more than three dimensions are
-searched in tiles of median splits instead.
+representative that the point may use. Distances to segments, under dates, within a
+radius or in more than three dimensions are searched in tiles of median splits instead.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .neighbours import nearest_in_tiles
 LEAF_LIMIT = 64
 MAX_SIDE_BITS = 40
 TOP_LIMIT = 4096
-WHOLE = ("byte", "short", "integer", "long")
+WHOLE = {"byte", "short", "integer", "long"}
 
 
 def _separate(p: Sequence[Column], lo: Sequence[Column], hi: Sequence[Column]) -> Column:
@@ -72,13 +72,6 @@ def nearest(points: DataFrame, features: DataFrame, key: str, order: str,
     feats = feats.select(F.col(order).alias("_order"), *[F.col(g).cast("double").alias(f"g_{g}") for g in geom],
                          *extra, F.struct(F.col(order), *[F.col(a) for a in attrs]).alias("_attrs"))
     feats = _one_place(feats, [f"g_{g}" for g in geom], bool(start), bool(group))
-    whole = [points.schema[group], features.schema[group], features.schema[order]] if group else [features.schema[order]]
-    if nd > 3 and shape == "point" and not (start or attrs or max_dist) and all(f.dataType.typeName() in WHOLE for f in whole):
-        mine = [F.col(group).alias("_mine")] if group else []
-        rows = points.dropna(subset=[*dims, *([group] if group else [])]).select(
-            key, *[F.col(d).cast("double").alias(f"p_{d}") for d in dims], *mine)
-        won = nearest_in_tiles(rows, feats, key, dims, int(box["n"]), bool(group)).withColumnRenamed("_order", order)
-        return points.select(key).join(won, key, "left") if keep_all else won
     if shape == "segment":
         feats = _pieces(feats, max(span.values()) / 64.0)
         lo = {d: F.least(f"a_{d}", f"b_{d}") for d in dims}
@@ -87,6 +80,18 @@ def nearest(points: DataFrame, features: DataFrame, key: str, order: str,
     else:
         lo = hi = {d: F.col(f"g_{d}") for d in dims}
         drop = []
+    rule = "group" if group else "start" if start else ""
+    held = {"group": (group, group), "start": (start, cutoff), "": ()}[rule]
+    kinds = {df.schema[c].dataType.typeName() for df, c in zip((features, points), held)}
+    if not attrs and not (group and start) and features.schema[order].dataType.typeName() in WHOLE and (
+            kinds <= WHOLE or rule == "start" and kinds == {"date"}) and (nd > 3 or shape == "segment" or start or max_dist is not None):
+        mark = (lambda c: F.unix_date(c)) if kinds == {"date"} else F.col
+        rows = points.dropna(subset=[*dims, *held[1:]]).select(
+            key, *[F.col(d).cast("double").alias(f"p_{d}") for d in dims], *[mark(c).alias("_mine") for c in held[1:]])
+        feats = feats.select("_order", *[f"g_{g}" for g in geom], *[mark(f"_{rule}").alias("_mark") for _ in held[:1]],
+                             *([lo[d].alias(f"lo_{d}") for d in dims] + [hi[d].alias(f"hi_{d}") for d in dims] if shape == "segment" else []))
+        won = nearest_in_tiles(rows, feats, key, dims, geom, rule, math.inf if max_dist is None else max_dist).withColumnRenamed("_order", order)
+        return points.select(key).join(won, key, "left") if keep_all else won
     depth = _depth(feats, {d: (lo[d] + hi[d]) / 2.0 for d in dims}, box, span, dims, base, int(box["n"]))
     side = base**depth
 

@@ -1,7 +1,7 @@
-"""Exact nearest point in a space of many dimensions.
+"""Exact nearest feature without a candidate table per level: many dimensions, long segments, dates.
 
-Grid pyramids need 2^dims children a cell, so beyond three dimensions they are either crowded or empty. Here the features are dealt
-into tiles by median splits of a sample (the widest direction first). A point is searched in its own tile, which bounds its distance,
+Grid pyramids need 2^dims children a cell, so beyond three dimensions they are either crowded or empty; pieces of long segments overlap
+in them, and their representatives are poor bounds under dates. Here the features are dealt into tiles by median splits of a sample (the widest direction first). A point is searched in its own tile, which bounds its distance,
 and then in those tiles only whose box is nearer than that. Every tile is searched by a task of its own; the driver and the tasks
 share the splits and the boxes, a few numbers per tile.
 """
@@ -9,6 +9,7 @@ share the splits and the boxes, a few numbers per tile.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -66,6 +67,40 @@ def _to_boxes(p: np.ndarray, lo: np.ndarray, hi: np.ndarray, far: bool = False)
     return np.sqrt(out)
 
 
+@dataclass(frozen=True)
+class Tile:
+    """Features of one tile: geometry, box, order and, if there is a rule, group or first day."""
+
+    geom: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    order: np.ndarray
+    mark: np.ndarray | None = None
+
+
+def allowed(rule: str, mine: np.ndarray | None, low: np.ndarray | None, high: np.ndarray | None) -> np.ndarray | bool:
+    """Which points (rows) may use some of the features whose marks lie between ``low`` and ``high`` (columns)."""
+    if rule == "group":
+        return (mine[:, None] != low) | (mine[:, None] != high)
+    return low <= mine[:, None] if rule == "start" else True
+
+
+def _distance(p: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Points against points or, with twice as many columns, segments (x1, y1, x2, y2)."""
+    if g.shape[1] == p.shape[1]:
+        out = np.zeros((len(p), len(g)))
+        for d in range(p.shape[1]):
+            gap = p[:, d, None] - g[:, d]
+            out += gap * gap
+        return np.sqrt(out)
+    (px, py), (x1, y1, x2, y2) = p.T[:, :, None], g.T
+    ax, ay = x2 - x1, y2 - y1
+    size = ax * ax + ay * ay
+    t = np.where(size == 0, 0.0, ((px - x1) * ax + (py - y1) * ay) / np.where(size == 0, 1.0, size)).clip(0.0, 1.0)
+    ex, ey = px - (x1 + t * ax), py - (y1 + t * ay)
+    return np.sqrt(ex * ex + ey * ey)
+
+
 def _leaves(f: np.ndarray) -> list[np.ndarray]:
     out, todo = [], [np.arange(len(f))]
     while todo:
@@ -79,25 +114,21 @@ def _leaves(f: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def search(p: np.ndarray, mine: np.ndarray | None, f: np.ndarray, order: np.ndarray, group: np.ndarray | None,
-           bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distance and order of the nearest usable feature of one tile, where it is within ``bound`` (else infinite)."""
+def search(p: np.ndarray, mine: np.ndarray | None, f: Tile, rule: str, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and order of the nearest feature of one tile that the rule allows, where it is within ``bound`` (else infinite)."""
     best, who = np.full(len(p), np.inf), np.full(len(p), LAST)
-    if not len(f):
+    if not len(f.order):
         return best, who
-    leaves = _leaves(f)
-    lo, hi = np.array([f[i].min(0) for i in leaves]), np.array([f[i].max(0) for i in leaves])
+    leaves = _leaves((f.lo + f.hi) / 2.0)
+    lo, hi = np.array([f.lo[i].min(0) for i in leaves]), np.array([f.hi[i].max(0) for i in leaves])
+    low, high = (np.array([g(f.mark[i]) for i in leaves]) for g in (np.min, np.max)) if rule else (None, None)
 
     def visit(rows: np.ndarray, ids: np.ndarray) -> None:
-        dist = np.zeros((len(rows), len(ids)))
-        for d in range(p.shape[1]):
-            gap = p[rows, d, None] - f[ids, d]
-            dist += gap * gap
-        dist = np.sqrt(dist)
-        if group is not None:
-            dist[mine[rows, None] == group[ids]] = np.inf
+        dist = _distance(p[rows], f.geom[ids])
+        if rule:
+            dist[~allowed(rule, mine[rows], f.mark[ids], f.mark[ids])] = np.inf
         least = dist.min(1)
-        first = np.where(dist == least[:, None], order[ids], LAST).min(1)
+        first = np.where(dist == least[:, None], f.order[ids], LAST).min(1)
         better = (least < best[rows]) | ((least == best[rows]) & (first < who[rows]))
         rows = rows[better]
         best[rows], who[rows] = least[better], first[better]
@@ -105,80 +136,87 @@ def search(p: np.ndarray, mine: np.ndarray | None, f: np.ndarray, order: np.ndar
     for start in range(0, len(p), CHUNK):
         rows = np.arange(start, min(start + CHUNK, len(p)))
         near = _to_boxes(p[rows], lo, hi)
+        if rule:
+            near[~allowed(rule, mine[rows], low, high)] = np.inf
         home = near.argmin(1)
         for i in np.unique(home):
             visit(rows[home == i], leaves[i])
         near[np.arange(len(rows)), home] = np.inf
-        open_ = near <= (np.minimum(best[rows], bound[rows]) * SLACK)[:, None]
-        open_ &= np.isfinite(near)
+        open_ = (near <= (np.minimum(best[rows], bound[rows]) * SLACK)[:, None]) & np.isfinite(near)
         for i in np.flatnonzero(open_.any(0)):
-            here = open_[:, i]
-            here &= near[:, i] <= np.minimum(best[rows], bound[rows]) * SLACK  # what was found meanwhile
+            here = open_[:, i] & (near[:, i] <= np.minimum(best[rows], bound[rows]) * SLACK)  # what was found meanwhile
             if here.any():
                 visit(rows[here], leaves[i])
+    best[best > bound] = np.inf
     who[~np.isfinite(best)] = LAST
     return best, who
 
 
-def nearest_in_tiles(points: DataFrame, feats: DataFrame, key: str, dims: Sequence[str], rows: int, grouped: bool) -> DataFrame:
-    """``(key, dist, _order)`` of points ``key, p_dims..., _mine`` among features ``_order, g_dims..., _group``.
+def nearest_in_tiles(points: DataFrame, feats: DataFrame, key: str, dims: Sequence[str], geom: Sequence[str], rule: str = "",
+                     most: float = np.inf) -> DataFrame:
+    """``(key, dist, _order)`` of points ``key, p_dims..., _mine`` among features ``_order, g_geom..., _mark`` not farther than ``most``.
 
-    ``_order`` and the groups are whole numbers; the points have no nulls. Equal distances go to the smallest order.
+    The rule ``group`` allows features whose mark differs from ``_mine``, ``start`` those with a mark not above it. Segments come in
+    pieces with boxes ``lo_dims..., hi_dims...``; distances are to the whole segment. ``_order``, ``_mark`` and ``_mine`` are whole numbers without
+    nulls. Equal distances go to the smallest order.
     """
-    p_cols, g_cols = [f"p_{d}" for d in dims], [f"g_{d}" for d in dims]
-    extra, mine_col = (["_group"], ["_mine"]) if grouped else ([], [])
+    p_cols, g_cols = [f"p_{d}" for d in dims], [f"g_{g}" for g in geom]
+    boxed = len(geom) > len(dims)
+    l_cols, h_cols = ([f"lo_{d}" for d in dims], [f"hi_{d}" for d in dims]) if boxed else (g_cols, g_cols)
+    mark, mine_col = (["_mark"], ["_mine"]) if rule else ([], [])
+    feats = feats.select("_order", *g_cols, *(l_cols + h_cols if boxed else []), *mark)
+    rows = feats.count()
     tiles = max(1, min(MOST_TILES, rows // TILE_ROWS))
     share = min(1.0, tiles * SAMPLED / max(rows, 1))
-    picked = feats.where(F.pmod(F.xxhash64(*g_cols), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(*g_cols)
+    middles = [((F.col(a) + F.col(b)) / 2.0).alias(f"m{i}") for i, (a, b) in enumerate(zip(l_cols, h_cols))]
+    picked = feats.where(F.pmod(F.xxhash64(*l_cols, *h_cols), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(*middles)
     tree = splits(picked.toPandas().to_numpy(float).reshape(-1, len(dims)))  # a bounded number of rows per tile
 
-    def route(cols: list[str]):
+    def route(low: list[str], high: list[str]):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                yield part.assign(_tile=tile_of(part[cols].to_numpy(float), tree))
+                yield part.assign(_tile=tile_of((part[low].to_numpy(float) + part[high].to_numpy(float)) / 2.0, tree))
         return run
 
-    kept = feats.select("_order", *g_cols, *extra)
-    stored = cut(kept.mapInPandas(route(g_cols), f"{_ddl(kept)}, _tile bigint"))
+    stored = cut(feats.mapInPandas(route(l_cols, h_cols), f"{_ddl(feats)}, _tile bigint"))
     shape = stored.groupBy("_tile").agg(
-        *[F.min(c).alias(f"lo_{c}") for c in g_cols], *[F.max(c).alias(f"hi_{c}") for c in g_cols],
-        *[e for c in extra for e in (F.min(c).alias("g_lo"), F.max(c).alias("g_hi"))]).toPandas()  # one row per tile
+        *[F.min(c).alias(f"low_{i}") for i, c in enumerate(l_cols)], *[F.max(c).alias(f"high_{i}") for i, c in enumerate(h_cols)],
+        *[e for c in mark for e in (F.min(c).alias("m_lo"), F.max(c).alias("m_hi"))]).toPandas()  # one row per tile
     number = shape["_tile"].to_numpy()
-    lo, hi = shape[[f"lo_{c}" for c in g_cols]].to_numpy(float), shape[[f"hi_{c}" for c in g_cols]].to_numpy(float)
-    g_lo, g_hi = (shape[c].to_numpy() for c in ("g_lo", "g_hi")) if grouped else (None, None)
-
-    def arrays(pts: pd.DataFrame, fts: pd.DataFrame) -> tuple:
-        return (pts[p_cols].to_numpy(float), pts["_mine"].to_numpy() if grouped else None, fts[g_cols].to_numpy(float),
-                fts["_order"].to_numpy(np.int64), fts["_group"].to_numpy() if grouped else None)
+    lo, hi = (shape[[f"{n}_{i}" for i in range(len(dims))]].to_numpy(float) for n in ("low", "high"))
+    m_lo, m_hi = (shape[c].to_numpy() for c in ("m_lo", "m_hi")) if rule else (None, None)
 
     def usable(mine: np.ndarray | None, which: np.ndarray) -> np.ndarray | bool:
-        return (mine[:, None] != g_lo[which]) | (mine[:, None] != g_hi[which]) if grouped else True
+        return allowed(rule, mine, m_lo[which], m_hi[which]) if rule else True
+
+    def found(pts: pd.DataFrame, fts: pd.DataFrame, bound: np.ndarray) -> tuple:
+        p, mine = pts[p_cols].to_numpy(float), pts["_mine"].to_numpy() if rule else None
+        tile = Tile(fts[g_cols].to_numpy(float), fts[l_cols].to_numpy(float), fts[h_cols].to_numpy(float),
+                    fts["_order"].to_numpy(np.int64), fts["_mark"].to_numpy() if rule else None)
+        return p, mine, *search(p, mine, tile, rule, bound)
 
     def at_home(pts: pd.DataFrame, fts: pd.DataFrame) -> pd.DataFrame:
         """What the own tile has, and a row for every other tile that may have something nearer."""
-        if not len(pts):
-            return pd.DataFrame(columns=[*pts.columns.drop("_salt"), "dist", "_order", "_found"])
-        p, mine, f, order, group = arrays(pts, fts)
-        dist, who = search(p, mine, f, order, group, np.full(len(p), np.inf))
+        p, mine, dist, who = found(pts, fts, np.full(len(pts), most))
         pts = pts.drop(columns="_salt").assign(dist=dist, _order=who, _found=True)
         every, home = np.arange(len(number)), pts["_tile"].to_numpy()
         out = [pts[np.isfinite(dist)]]
         for start in range(0, len(p), CHUNK // 8):
             s = slice(start, start + CHUNK // 8)
-            q, own, bound = p[s], mine[s] if grouped else None, dist[s].copy()
+            q, own, bound = p[s], mine[s] if rule else None, dist[s].copy()
             none = ~np.isfinite(bound)
             if none.any():  # nothing usable at home: some usable tile lies wholly within this distance
-                bound[none] = np.where(usable(own[none] if grouped else None, every), _to_boxes(q[none], lo, hi, far=True), np.inf).min(1)
+                far = np.where(usable(own[none] if rule else None, every), _to_boxes(q[none], lo, hi, far=True), np.inf).min(1)
+                bound[none] = np.where(np.isfinite(far), np.minimum(far, most), -1.0)
             gap = np.maximum(np.maximum(lo - q.max(0), q.min(0) - hi), 0.0)
             which = np.flatnonzero(np.sqrt((gap * gap).sum(1)) <= bound.max() * SLACK)
             go = (_to_boxes(q, lo[which], hi[which]) <= (bound * SLACK)[:, None]) & (number[which] != home[s, None]) & usable(own, which)
-            row, tile = np.nonzero(go & np.isfinite(bound)[:, None])
+            row, tile = np.nonzero(go)
             out.append(pts.iloc[start + row].assign(_tile=number[which[tile]], dist=bound[row], _order=LAST, _found=False))
         return pd.concat(out)
 
     def elsewhere(pts: pd.DataFrame, fts: pd.DataFrame) -> pd.DataFrame:
-        p, mine, f, order, group = arrays(pts, fts)
-        dist, who = search(p, mine, f, order, group, pts["dist"].to_numpy() * SLACK)
+        dist, who = found(pts, fts, np.minimum(pts["dist"].to_numpy() * SLACK, most))[2:]
         return pts[[key]].assign(dist=dist, _order=who)[np.isfinite(dist)]
 
     def searched(rows: DataFrame, run, schema: str) -> DataFrame:
@@ -189,7 +227,7 @@ def nearest_in_tiles(points: DataFrame, feats: DataFrame, key: str, dims: Sequen
         return a.groupBy("_tile", "_salt").cogroup(b.groupBy("_tile", "_salt")).applyInPandas(run, schema)
 
     kept = points.select(key, *p_cols, *mine_col)
-    placed = cut(kept.mapInPandas(route(p_cols), f"{_ddl(kept)}, _tile bigint"))
+    placed = cut(kept.mapInPandas(route(p_cols, p_cols), f"{_ddl(kept)}, _tile bigint"))
     first = cut(searched(placed, at_home, f"{_ddl(placed)}, dist double, _order bigint, _found boolean"))
     more = searched(first.where("not _found").drop("_order", "_found"), elsewhere, f"{_ddl(placed.select(key))}, dist double, _order bigint")
     return first.where("_found").select(key, "dist", "_order").unionByName(more).groupBy(key).agg(

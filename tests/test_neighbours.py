@@ -49,8 +49,37 @@ def test_search_within_a_bound(monkeypatch):
     tiles = T.tile_of(f, tree)
     sizes = np.bincount(tiles)
     assert len(sizes) >= 10 and sizes.min() > 0 and sizes.max() < 20000 / 5
-    dist, who = T.search(f[:300], np.arange(300), f, np.arange(20000), np.arange(20000), np.full(300, np.inf))
+    whole = T.Tile(f, f, f, np.arange(20000), np.arange(20000))
+    dist, who = T.search(f[:300], np.arange(300), whole, "group", np.full(300, np.inf))
     want, at = brute(f[:300], f, np.arange(300), np.arange(20000))
     np.testing.assert_allclose(dist, want, atol=1e-12)
     assert who.tolist() == at.tolist() and asked
-    assert (T.search(f[:300], np.arange(300), f, np.arange(20000), np.arange(20000), want / 2)[0] >= want).all()
+    assert not np.isfinite(T.search(f[:300], np.arange(300), whole, "group", want / 2)[0]).any()
+
+
+@pytest.mark.parametrize("radius", [None, 40.0])
+@pytest.mark.parametrize("shape", ["point", "segment"])
+def test_dated_features_and_radius(spark, monkeypatch, shape, radius):
+    monkeypatch.setattr(T, "TILE_ROWS", 64)
+    monkeypatch.setattr(T, "MOST_POINTS", 100)
+    rng = np.random.default_rng(3)
+    n, m = 400, 500
+    a, b = np.round(rng.uniform(0, 1000, (n, 2)), 0), np.round(rng.uniform(0, 1000, (n, 2)), 0)
+    b[:20] = a[:20]
+    start = rng.integers(0, 3000, n)
+    p, limit = rng.uniform(-50, 1050, (m, 2)), rng.integers(-100, 3000, m)
+    day = lambda v: pd.Series(pd.Timestamp("2000-01-01") + pd.to_timedelta(v, "D")).dt.date
+    pts = pd.DataFrame({"k": np.arange(m), "x": p[:, 0], "y": p[:, 1], "limit": day(limit)})
+    fts = pd.DataFrame({"q": np.arange(n), "x": a[:, 0], "y": a[:, 1], "x1": a[:, 0], "y1": a[:, 1], "x2": b[:, 0], "y2": b[:, 1], "f_op": day(start)})
+    got = N.nearest(spark.createDataFrame(pts), spark.createDataFrame(fts), "k", "q", shape=shape, start="f_op", cutoff="limit",
+                    max_dist=radius, keep_all=True).toPandas().sort_values("k")
+    along = b - a if shape == "segment" else np.zeros((n, 2))
+    size = (along ** 2).sum(1)
+    t = (((p[:, None] - a) * along).sum(2) / np.where(size == 0, 1, size)).clip(0, 1)
+    d = np.sqrt(((p[:, None] - (a + t[:, :, None] * along)) ** 2).sum(2))
+    d[start[None, :] > limit[:, None]] = np.inf
+    d[d > (radius or np.inf)] = np.inf
+    want = np.where(np.isfinite(d.min(1)), d.min(1), np.nan)
+    assert np.isnan(want).any() and not np.isnan(want).all()
+    np.testing.assert_allclose(got["dist"], want, atol=1e-9)
+    assert got["q"].fillna(-1).astype(int).tolist() == np.where(np.isnan(want), -1, d.argmin(1)).tolist()
