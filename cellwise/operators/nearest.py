@@ -6,8 +6,8 @@ the cells whose box could still beat the best representative seen, and joins
 their children. The number of cells a point keeps depends on the geometry around
 it, not on how many features share a cell: a crowded place only makes the pyramid
 deeper there. Visibility dates and "other than myself" rules work by choosing a
-representative that the point may use. Distances to segments, under dates, within a
-radius or in more than three dimensions are searched in tiles of median splits instead.
+representative that the point may use. Features with whole numbers as order are searched in
+tiles of median splits instead, if no attributes are asked for and groups and dates can be compared as numbers.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def nearest(points: DataFrame, features: DataFrame, key: str, order: str,
     held = {"group": (group, group), "start": (start, cutoff), "": ()}[rule]
     kinds = {df.schema[c].dataType.typeName() for df, c in zip((features, points), held)}
     if not attrs and not (group and start) and features.schema[order].dataType.typeName() in WHOLE and (
-            kinds <= WHOLE or rule == "start" and kinds == {"date"}) and (nd > 3 or shape == "segment" or start or max_dist is not None):
+            kinds <= WHOLE or rule == "start" and kinds == {"date"}):
         mark = (lambda c: F.unix_date(c)) if kinds == {"date"} else F.col
         rows = points.dropna(subset=[*dims, *held[1:]]).select(
             key, *[F.col(d).cast("double").alias(f"p_{d}") for d in dims], *[mark(c).alias("_mine") for c in held[1:]])

@@ -21,7 +21,7 @@ from ..runtime import cut
 TILE_ROWS, MOST_TILES, SAMPLED = 4096, 8192, 64
 LEAF_ROWS, CHUNK = 64, 2048
 #: Points that are searched in a tile at a time; more of them are dealt over salts.
-MOST_POINTS = 32768
+MOST_POINTS = 8192
 SLACK = 1 + 1e-9
 LAST = np.iinfo(np.int64).max
 

@@ -241,9 +241,10 @@ def audit_maps(samples: DataFrame, wide: DataFrame, cells: DataFrame, cell_featu
     params = {**FO.DEFAULTS, **(params or {})}
     dists = ["dist_subestaciones", "dist_transmision", "dist_almacen"]
     names = [n for n in cell_features if has_map(n)]
+    wide = cut(wide.where(F.col("experiment").isin(*names)))  # a fit passes over its rows several times
 
     def run(name: str) -> DataFrame:
-        data = samples.drop(*dists).join(wide.where(F.col("experiment") == name).drop("experiment"), key)
+        data = cut(samples.drop(*dists).join(wide.where(F.col("experiment") == name).drop("experiment"), key))
         model = FO.train(data, FEATURES, "clase", params, seed)
         return cut(FO.score(model, cells.drop(*dists).join(cell_features[name], ["r", "c"]), FEATURES).select("r", "c", "prob"))
 

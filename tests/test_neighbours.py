@@ -83,3 +83,43 @@ def test_dated_features_and_radius(spark, monkeypatch, shape, radius):
     assert np.isnan(want).any() and not np.isnan(want).all()
     np.testing.assert_allclose(got["dist"], want, atol=1e-9)
     assert got["q"].fillna(-1).astype(int).tolist() == np.where(np.isnan(want), -1, d.argmin(1)).tolist()
+
+
+def test_distances_are_searched_once_and_in_tiles(spark, monkeypatch):
+    """Plain points are searched in tiles too, and the maps of an audit read the distances of their samples once."""
+    from pyspark.sql import functions as F
+
+    from cellwise.functions.columns import FEATURES
+    from cellwise.operators import infrastructure as I
+    from cellwise.plans import learning as L
+
+    searched = []
+    tiles = N.nearest_in_tiles
+    monkeypatch.setattr(N, "nearest_in_tiles", lambda *a: searched.append(1) or tiles(*a))
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("k") * 40).cast("int"))
+    s = spark.range(60).select(F.col("id").alias("k"), ((F.col("id") * 37) % 100).cast("double").alias("x"), ((F.col("id") * 53) % 90).cast("double").alias("y")
+                               ).withColumn("f_ref", day).withColumn("clase", (F.col("k") % 2).cast("int"))
+    s = s.select("*", *[((F.col("k") * (7 + i)) % 11).cast("double").alias(f) for i, f in enumerate(FEATURES)])
+    layer = spark.range(30).select(F.col("id").alias("q"), ((F.col("id") * 29) % 100).cast("double").alias("x"), ((F.col("id") * 17) % 90).cast("double").alias("y"),
+                                   F.when(F.col("id") % 3 == 0, "DEDICADO").otherwise("ZONAL").alias("tipo"), F.lit("2001-01-01").cast("date").alias("f_op"))
+    long = I.distance_table(s.where("k > 0").unionByName(s.where("k = 0").withColumn("x", F.lit(None).cast("double"))),
+                            {name: (layer, "q", "point") for name in I.LAYER_OF.values()}, "k", "f_ref")
+    assert len(searched) == 9
+    wide = I.experiment_features(long, "k")
+    # the sample without a place has a row (without distances) where its layer is dated, as in the long table
+    assert {r.experiment for r in wide.where("k = 0").collect()} == {e for e, v in I.EXPERIMENTS.items() if "previas" in v.values()}
+    want = {(e, r["k"], f): r["dist"] for r in long.collect() for e in I.EXPERIMENTS for f, v in I.experiment_variants(e).items() if (f, v) == (r["feature"], r["variant"])}
+    got = {(r["experiment"], r["k"], f): r[f] for r in wide.collect() for f in I.LAYER_OF}
+    assert {k: v for k, v in got.items() if v is not None} == {k: v for k, v in want.items() if v is not None}
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def once(v):
+        seen.add(1)
+        return v
+
+    rows = wide.where("k > 0").repartition(4).localCheckpoint()
+    maps = L.audit_maps(s, rows.withColumn("k", F.udf(once, "long")("k")), s.select(F.col("k").alias("r"), F.col("k").alias("c"), *FEATURES),
+                        {n: s.select(F.col("k").alias("r"), F.col("k").alias("c"), *I.LAYER_OF) for n in ("linea_base", "tres_sin_dedicadas")}, "k", {"n_estimators": 2, "max_depth": 2})
+    assert sorted(maps) == ["linea_base", "tres_sin_dedicadas"] and maps["linea_base"].count() == 60
+    assert seen.value <= rows.count()
