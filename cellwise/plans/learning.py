@@ -312,14 +312,16 @@ def spatial_scenarios(train_rows: DataFrame, zone_cells: DataFrame, other_cells:
 
 def applicability_scenarios(scenarios: Mapping[str, tuple[DataFrame, DataFrame]], key: str, features: Sequence[str],
                             weights: Mapping[str, float] | None = None, group: str | None = None) -> DataFrame:
-    """Share inside the area of applicability for (train, zone) pairs."""
+    """Share inside the area of applicability for (train, zone) pairs. Pairs with the same training table share its fit."""
+    tables = {id(tr): tr for tr, _ in scenarios.values()}
+    spark = next(iter(tables.values())).sparkSession
+    fits = dict(zip(tables, together(spark, [partial(A.fit, tr, features, key, weights, group) for tr in tables.values()])))
+
     def run(name: str) -> DataFrame:
         tr, zone = scenarios[name]
-        fit = A.fit(tr, features, key, weights, group)
-        return cut(A.zone_report(A.dissimilarity(fit, zone, key)).select(
+        fit = fits[id(tr)]
+        scored = cut(A.dissimilarity(fit, zone, key))  # read by counts and order statistics
+        return cut(A.zone_report(scored).select(
             F.lit(name).alias("escenario"), F.lit(fit.threshold).alias("umbral"), "n_cells", "n_inside", "pct_inside"))
 
-    first = next(iter(scenarios.values()))[0]
-    return reduce(DataFrame.unionByName, together(first.sparkSession, [partial(run, n) for n in scenarios]))
-
-
+    return reduce(DataFrame.unionByName, together(spark, [partial(run, n) for n in scenarios]))

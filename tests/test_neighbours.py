@@ -123,3 +123,19 @@ def test_distances_are_searched_once_and_in_tiles(spark, monkeypatch):
                         {n: s.select(F.col("k").alias("r"), F.col("k").alias("c"), *I.LAYER_OF) for n in ("linea_base", "tres_sin_dedicadas")}, "k", {"n_estimators": 2, "max_depth": 2})
     assert sorted(maps) == ["linea_base", "tres_sin_dedicadas"] and maps["linea_base"].count() == 60
     assert seen.value <= rows.count()
+
+
+def test_scenarios_share_the_fit_of_a_training_table(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cellwise.operators import aoa as A
+    from cellwise.plans import learning as L
+
+    asked, fit = [], A.fit
+    monkeypatch.setattr(A, "fit", lambda *a: asked.append(1) or fit(*a))
+    rows = spark.range(80).select("id", (F.col("id") % 2).alias("label"), *[((F.col("id") * (3 + i)) % 17).cast("double").alias(f) for i, f in enumerate("abcd")])
+    train = rows.where("id < 40")
+    pairs = L.spatial_scenarios(train, rows, rows.where("id >= 40"), "label")
+    got = {r.escenario: r for r in L.applicability_scenarios(pairs, "id", list("abcd")).collect()}
+    assert set(got) == {"in_sample", "loro_0", "loro_1", "transferencia"} and len(asked) == 3
+    assert got["in_sample"].umbral == got["transferencia"].umbral and (got["in_sample"].n_cells, got["transferencia"].n_cells) == (80, 40)
