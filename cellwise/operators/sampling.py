@@ -15,6 +15,7 @@ from ..functions.columns import draw, technical, uniform
 from .joins import dealt_join
 from .polygons import memberships
 from .ranks import cumulative, numbered, spearman, take_ranked
+from .redraws import redrawn_correlations
 
 # Pseudo-absence designs, and a retired name of one of them.
 STRATEGIES = ("ahp_filtrado", "fondo_aleatorio", "sin_filtros_geofisicos", "grupo_objetivo")
@@ -145,15 +146,7 @@ def block_bootstrap(blocks: DataFrame, block: str, a: str, b: str, n_boot: int,
 
 def cluster_bootstrap(cells: DataFrame, block: str, a: str, b: str, n_boot: int, seed: int) -> DataFrame:
     """Cell-level rank correlation when whole blocks are redrawn."""
-    # a block may hold a large share of the cells: its cells are spread over salts
-    # and the short list of draws is repeated for each
-    salts = 16
-    merged = cells.groupBy(block, a, b).agg(F.count(F.lit(1)).alias("_m")).withColumn(
-        "_salt", F.pmod(F.xxhash64(a, b), F.lit(salts)).cast("int"))
-    times = _multiplicity(cells, block, n_boot, seed).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    drawn = times.join(merged, [block, "_salt"])
-    return spearman(drawn, a, b, by=["rep"], weight=F.col("times") * F.col("_m")).select("rep", "rho")
+    return redrawn_correlations(cells, _multiplicity(cells, block, n_boot, seed), block, a, b, n_boot)
 
 
 def interval(reps: DataFrame) -> DataFrame:

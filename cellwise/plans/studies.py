@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from ..operators.quality import require_rows
 from ..operators.ranks import (
     _at, cumulative, overlap_of_tops, quantiles, rank_correlation, spearman, summary, with_ranks)
 from ..operators.sampling import block_bootstrap, cluster_bootstrap, interval
-from ..runtime import cut
+from ..runtime import cut, together
 
 # K percentages of the ranking curves, target figures, reference gain.
 KS = (0.5, 1.0, 2.0, 3.0, 5.0, 7.5, 10.0)
@@ -222,11 +223,8 @@ def decoupling_study(cells: DataFrame, grid: GridSpec, threshold: float, n_boot:
     if len(apt.limit(3).collect()) < 3:
         raise ValueError("fewer than three suitable cells: decoupling cannot be measured")
     scopes = [("region", valid), ("aptas", apt)]
-    out = None
-    for name, df in scopes:
-        row = decoupling_scope(df, grid, block_m, n_boot, seed, prob, yld).withColumn("ambito", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    run = lambda name, df: decoupling_scope(df, grid, block_m, n_boot, seed, prob, yld).withColumn("ambito", F.lit(name))
+    return reduce(DataFrame.unionByName, together(cells.sparkSession, [partial(run, *scope) for scope in scopes]))
 
 
 # -- top-K -------------------------------------------------------------------------------------------
