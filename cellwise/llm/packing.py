@@ -9,7 +9,8 @@ padding.
 
 Tokens come from a public tokenizer file, word by word: its rules never join characters across ASCII blanks, so
 the ids of a text are those of its words, and each task encodes a word once (a bounded memory of words, which keeps the
-frequent ones when it is full). A range is streamed: the cuts of a stretch of tokens are fixed before the next one is read.
+frequent ones when it is full). Where the file's rules part letters from the marks behind them and lower their case, a word is put
+together from the ids of both, so that a word is encoded once with whatever marks and capitals. A range is streamed: the cuts of a stretch of tokens are fixed before the next one is read.
 
 Null text is empty and yields the end token only. Rows equal in key and text are packed each. Null keys come first, and
 rows of one key by a hash of their texts, so that a key of many rows is spread over ranges too.
@@ -18,7 +19,9 @@ Very long texts are split over windows. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections import deque
@@ -28,6 +31,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +44,13 @@ SENTENCE_ENDS = tuple(".!?…。！？｡।॥؟۔")
 CLOSERS = "\"')]}”’»›」』）"
 LAST = frozenset("".join(SENTENCE_ENDS) + CLOSERS)
 JOINED = 512  # words that are encoded as one text
-RANGE_CHARS, STRETCH, WORDS_HELD, LEARN_BYTES = 1_000_000, 1 << 19, 600_000, 1 << 18
+RANGE_CHARS, STRETCH, WORDS_HELD, PIECES_HELD, LEARN_BYTES = 1_000_000, 1 << 19, 600_000, 300_000, 1 << 20
+
+#: Letters whose case and composition no rule changes beyond lower case, and ASCII marks.
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-/:-@\[-`{-~]"
+LETTERS_MARKS = re.compile(f"({LETTERS}+)({MARKS}*)")
+#: Rules of a tokenizer file that part letters from marks.
+PARTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in
                        ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -51,6 +61,63 @@ def ends_sentence(word: str) -> bool:
     return word.rstrip(CLOSERS).endswith(SENTENCE_ENDS)
 
 
+def _suffix(path: str) -> str | None:
+    """Suffix of the last token of every piece, if the rules of the file make lower-case letters one piece and the marks behind them another."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    model, before, normal = rules["model"], rules.get("pre_tokenizer") or {}, rules.get("normalizer") or {}
+    steps = before.get("pretokenizers", [])
+    plain = (model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+             and sorted(n["type"] for n in normal.get("normalizers", [])) == ["Lowercase", "NFC", "Replace"]
+             and all(n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in normal["normalizers"] if n["type"] == "Replace")
+             and [n["type"] for n in steps] == ["Split", "ByteLevel"]
+             and steps[0]["pattern"] == {"Regex": PARTING} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+             and not steps[1]["add_prefix_space"] and not steps[1].get("use_regex", True)
+             and not any(re.fullmatch(f"{LETTERS}*{MARKS}*", t["content"]) for t in rules.get("added_tokens", [])))
+    return model.get("end_of_word_suffix") or None if plain else None
+
+
+class Pieces:
+    """Ids of lower-case letters or marks that a tokenizer takes as one piece; a full memory starts anew."""
+
+    def __init__(self, tokenizer, suffix: str, held: int = PIECES_HELD):
+        vocabulary = tokenizer.get_vocab()
+        self.tokenizer, self.held = tokenizer, held
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index, self.ids, self.starts = {"": 0}, np.empty(0, np.uint32), np.zeros(2, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        groups = [new[i:i + JOINED] for i in range(0, len(new), JOINED)]
+        ids, lengths = [], []
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            found = np.array(coded.ids, np.uint32)
+            ends = np.flatnonzero(self.last[found]) + 1
+            if len(ends) != len(group) or ends[-1] != len(found):  # a token amid a piece looks like a last one
+                each = [c.ids for c in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                found, ends = np.fromiter(chain.from_iterable(each), np.uint32), np.cumsum([len(c) for c in each])
+            ids.append(found)
+            lengths.append(np.diff(ends, prepend=0))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(lengths))])
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+
+    def words(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of words, given as letters and marks in turn."""
+        if len(self.index) > self.held:
+            self._clear()
+        new = [p for p in dict.fromkeys(parts) if p not in self.index]
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+        lengths = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])], lengths.reshape(-1, 2).sum(axis=1)
+
+
 class WordTokens:
     """Ids of words: each distinct word is encoded once while it is held."""
 
@@ -61,6 +128,8 @@ class WordTokens:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not t.single_word]
         self.between = f" {special[0]} " if special else None
         self.mark = self.tokenizer.token_to_id(special[0]) if special else None
+        suffix = _suffix(path)
+        self.pieces = Pieces(self.tokenizer, suffix) if suffix else None
         self.index: dict[bytes, int] = {}
         self.ids, self.starts = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
         self.sentence, self.uses = np.empty(1 << 14, bool), np.zeros(1 << 14, np.int64)
@@ -88,7 +157,17 @@ class WordTokens:
 
     def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        coded, lengths = self._coded(texts)
+        found = [LETTERS_MARKS.fullmatch(t) for t in texts] if self.pieces else [None] * len(texts)
+        parts = [p for m in found if m for p in (m[1].lower(), m[2])]
+        if parts:
+            some = [i for i, m in enumerate(found) if m]
+            self._add([words[i] for i in some], [texts[i] for i in some], *self.pieces.words(parts))
+        rest = [i for i, m in enumerate(found) if not m]
+        if rest:
+            texts = [texts[i] for i in rest]
+            self._add([words[i] for i in rest], texts, *self._coded(texts))
+
+    def _add(self, words: list[bytes], texts: list[str], coded: np.ndarray, lengths: np.ndarray) -> None:
         n, more = len(self.index), len(words)
         begin, ends = self.starts[n], np.cumsum(lengths)
         while begin + ends[-1] > len(self.ids):
@@ -123,21 +202,26 @@ class WordTokens:
 
     def encode_many(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids and the places behind its sentences; words that are new to all texts are learned at once."""
-        lists = [t.split() if t else [] for t in texts]
-        flat = list(chain.from_iterable(lists))
+        lists = pc.ascii_split_whitespace(pa.array([t or b"" for t in texts], pa.binary()).view(pa.string()))  # the six ASCII blanks
+        flat = lists.values
+        full = np.asarray(pc.binary_length(flat)) > 0
+        held = np.concatenate([[0], np.cumsum(full)])[np.asarray(lists.offsets)]  # words before each text
+        coded = flat.filter(pa.array(full)).dictionary_encode()
+        words = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         if len(self.index) > self.held:
             self._shed()
-        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            new = [flat[i] for i in missing]
-            self._learn(list(dict.fromkeys(new)))
+            new = [words[i] for i in missing]
+            self._learn(new)
             at[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        at = at[np.asarray(coded.indices)]
         self.uses[:len(self.index)] += np.bincount(at, minlength=len(self.index))
         ids, ends = self._gather(at)
         marks = ends[self.sentence[at]]
         begin = 0
-        for end in np.concatenate([[0], ends])[np.cumsum([len(words) for words in lists])].tolist():
+        for end in np.concatenate([[0], ends])[held[1:]].tolist():
             low, high = np.searchsorted(marks, [begin, end], "right")
             yield ids[begin:end], marks[low:high] - begin
             begin = end
@@ -163,6 +247,8 @@ def cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> lis
     powers = [1 << k for k in range(window.bit_length())]
     exact: dict[int, list[int]] = {}  # begins from which a window is a power of two long
     for p in powers:
+        if p == window:  # has no padding anyway
+            break
         at = np.searchsorted(places, places - p)
         for j in np.flatnonzero(places[at] == places - p).tolist():
             exact.setdefault(j, []).append(int(at[j]))

@@ -158,3 +158,32 @@ def test_words_are_encoded_like_texts():
     tokenizer, words = Tokenizer.from_file(PATH), packing.WordTokens(PATH, held=50)
     for text in ("Don't  Stop\n12,5 é́ ́x <|endoftext|> a<|startoftext|>b c　d", "ΣΑΣ σ\x1cx\x85y " * 30, "", "x" * 5000):
         assert words.encode(text.encode())[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_letters_are_encoded_once_with_whatever_marks_and_capitals():
+    tokenizer, words = Tokenizer.from_file(PATH), packing.WordTokens(PATH)
+    text = "Straße straße, STRASSE. Ärger! ärger'' don't it's A's 'tis rock'n'roll x--y END... (end) ÿ´ ß~^` a_b é́, 3rd, İ, ſt ×, a÷"
+    assert words.encode(text.encode())[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert words.pieces.index.keys() == {"", "straße", ",", "strasse", ".", "ärger", "!", "''", "end", "...", "ß", "~^`"}
+    rng = np.random.default_rng(5)
+    letters, marks = list("abcXYZéÄß"), list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    some = ["".join(rng.choice(letters, rng.integers(1, 9))) + "".join(rng.choice(marks, rng.integers(0, 4))) for _ in range(3000)]
+    for held in (packing.PIECES_HELD, 100):
+        words = packing.WordTokens(PATH)
+        words.pieces.held = held
+        for at in range(0, 3000, 500):
+            text = " ".join(some[at:at + 500])
+            assert words.encode(text.encode())[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(words.pieces.index) <= max(held, 100) + 1100
+
+
+def test_other_rules_take_whole_words(tmp_path):
+    import json
+    rules = json.load(open(PATH, encoding="utf-8"))
+    rules["normalizer"]["normalizers"] = rules["normalizer"]["normalizers"][:2]  # capitals stay
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(rules))
+    tokenizer, words = Tokenizer.from_file(str(path)), packing.WordTokens(str(path))
+    assert words.pieces is None
+    text = "Some words, SOME Words. some"
+    assert words.encode(text.encode())[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
