@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, stored
+from .common import attach, release, stored
 from .links import components
 
 WIDTH, SIMILARITY = 5, 80
 BANDS, ROWS = 24, 4
 NULL_ID = (1 << 63) - 1
+MARKS = 1 << 24
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_hash", T.LongType()),
@@ -98,6 +99,7 @@ def _node(shingles: np.ndarray) -> bytes:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         counts, nodes, bands = [], [], []
         for value in batch.column(2).cast(pa.binary()):
@@ -110,6 +112,7 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _full(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         sets = [s for v in batch.column(0).cast(pa.binary()) if len(s := shingle_set(v.as_py(), width))]
         yield pa.record_batch([pa.array([_node(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
@@ -174,6 +177,16 @@ def class_links(classes: DataFrame, sets_of, similarity: int) -> DataFrame | Non
         leaders_each *= 8
 
 
+def marked(rows: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``chosen`` and few others: a bitmap of the hashes of its keys, ``MARKS`` bits at most, is broadcast, so that most
+    rows that a join with ``chosen`` drops are not shuffled for it."""
+    at = F.pmod(F.xxhash64(*on), F.lit(MARKS))
+    bit = lambda h: F.expr(f"shiftleft(1L, cast({h} % 64 as int))")
+    bits = chosen.select(at.alias("_h")).groupBy(F.expr("_h div 64").alias("_w")).agg(F.bit_or(bit("_h")).alias("_bits"))
+    found = rows.withColumn("_h", at).withColumn("_w", F.expr("_h div 64")).join(F.broadcast(bits), "_w")
+    return found.where(F.col("_bits").bitwiseAND(bit("_h")) != 0).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
                     similarity: int = SIMILARITY) -> DataFrame:
     """(id, text_hash, n, component_id, component_hash) of every document.
@@ -187,8 +200,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         F.min(F.struct("id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        chosen = classes.join(nodes, "node", "left_semi").select("first.id", "first.text_hash").distinct()
-        rows = source.join(chosen, ["id", "text_hash"], "left_semi").select("text")
+        chosen = stored(classes.join(nodes, "node", "left_semi").select("first.id", "first.text_hash").distinct())
+        rows = marked(source, chosen, ["id", "text_hash"]).join(chosen, ["id", "text_hash"], "left_semi").select("text")
         return rows.mapInArrow(partial(_full, width=width), SETS).dropDuplicates(["node"])
 
     labels = class_links(classes, sets_of, similarity)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,22 @@ from ..runtime import checkpoint_folder, partitions
 #: A word is a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 MASK64 = (1 << 64) - 1
+Held = TypeVar("Held")
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], Held]) -> Held:
+    """What this Python worker keeps for later tasks; it keeps one thing, so the tasks of other operators get its memory."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Frees what the worker keeps for another operator, and Arrow's unused memory."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

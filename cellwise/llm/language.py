@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, release
 
 PER_LANGUAGE, SAMPLE = 1000, 20_000
 BITS = 11
@@ -161,6 +161,7 @@ FITTED = T.StructType([*RESULT.fields, T.StructField("fits", T.BooleanType())])
 
 @F.arrow_udf(T.BinaryType())
 def _features(texts: pa.Array) -> pa.Array:
+    release()
     return pa.array([None if (v := features(t.as_py())) is None else v.tobytes() for t in texts], pa.binary())
 
 
@@ -193,6 +194,7 @@ def identify(docs: DataFrame, model: Classifier | None, text: str = "text", batc
 
     @F.arrow_udf(kind)
     def predicted(texts: pa.Array) -> pa.Array:
+        release()
         langs, scores, like = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         for at in range(0, len(texts), batch):
             found = [(i, v) for i, t in enumerate(texts[at:at + batch], at) if (v := features(t.as_py())) is not None]

@@ -26,7 +26,7 @@ import zlib
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 from itertools import chain, repeat
 
 import numpy as np
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import partitions
+from .common import held
 
 WINDOW, END_ID = 4096, 2
 SENTENCE_PENALTY, HARD_PENALTY, SLACK = 8.0, 64.0, 64
@@ -205,7 +206,7 @@ class WordTokens:
         lists = pc.ascii_split_whitespace(pa.array([t or b"" for t in texts], pa.binary()).view(pa.string()))  # the six ASCII blanks
         flat = lists.values
         full = np.asarray(pc.binary_length(flat)) > 0
-        held = np.concatenate([[0], np.cumsum(full)])[np.asarray(lists.offsets)]  # words before each text
+        before = np.concatenate([[0], np.cumsum(full)])[np.asarray(lists.offsets)]  # words before each text
         coded = flat.filter(pa.array(full)).dictionary_encode()
         words = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         if len(self.index) > self.held:
@@ -221,7 +222,7 @@ class WordTokens:
         ids, ends = self._gather(at)
         marks = ends[self.sentence[at]]
         begin = 0
-        for end in np.concatenate([[0], ends])[held[1:]].tolist():
+        for end in np.concatenate([[0], ends])[before[1:]].tolist():
             low, high = np.searchsorted(marks, [begin, end], "right")
             yield ids[begin:end], marks[low:high] - begin
             begin = end
@@ -231,10 +232,9 @@ class WordTokens:
         return next(self.encode_many([text]))
 
 
-@lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
-    """The words that this Python worker holds, shared by its tasks."""
-    return WordTokens(path)
+    """The words that this Python worker holds, shared by its tasks until another operator runs in it."""
+    return held(("words", path), lambda: WordTokens(path))
 
 
 def cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> list[int]:

@@ -78,3 +78,11 @@ def test_deduplicated_keeps_columns_of_any_name(spark):
     got = circulant.deduplicated(docs)
     assert got.columns == docs.columns and 0 < got.count() < docs.count()
     assert {(r["_id"], r["_hash"], r["doc"], r["text_hash"]) for r in got.collect()} == {("x", "x", "x", "x")}
+
+
+def test_few_texts_are_shuffled_for_a_few_chosen(spark):
+    rows = spark.range(20_000).selectExpr("id", "id * 7 as text_hash", "'text' as text")
+    chosen = rows.where("id % 500 = 3").select("id", "text_hash")
+    got = {r.id for r in circulant.marked(rows, chosen, ["id", "text_hash"]).collect()}
+    assert {r.id for r in chosen.collect()} <= got and len(got) < 60
+    assert circulant.marked(rows, chosen.limit(0), ["id", "text_hash"]).count() == 0

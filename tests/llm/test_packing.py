@@ -187,3 +187,16 @@ def test_other_rules_take_whole_words(tmp_path):
     assert words.pieces is None
     text = "Some words, SOME Words. some"
     assert words.encode(text.encode())[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_are_held_until_another_operator_runs():
+    import weakref
+    from cellwise.llm import circulant
+    import pyarrow as pa
+    words = packing.word_tokens(PATH)
+    assert packing.word_tokens(PATH) is words
+    gone = weakref.ref(words)
+    del words
+    batch = pa.record_batch([pa.array([1]), pa.array([2]), pa.array(["a few words"])], ["id", "text_hash", "text"])
+    assert sum(b.num_rows for b in circulant._sign(iter([batch]), 5)) == 1
+    assert gone() is None
