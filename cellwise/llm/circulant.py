@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import cut
 from .common import attach, release, stored
 from .links import components
 
@@ -119,22 +120,32 @@ def _full(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                                pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "n", "shingles"])
 
 
+def marked(rows: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``chosen`` and few others: a bitmap of the hashes of its keys, ``MARKS`` bits at most, is broadcast, so that most
+    rows that a join with ``chosen`` drops are not shuffled for it."""
+    at = F.pmod(F.xxhash64(*on), F.lit(MARKS))
+    bit = lambda h: F.expr(f"shiftleft(1L, cast({h} % 64 as int))")
+    bits = chosen.select(at.alias("_h")).groupBy(F.expr("_h div 64").alias("_w")).agg(F.bit_or(bit("_h")).alias("_bits"))
+    found = rows.withColumn("_h", at).withColumn("_w", F.expr("_h div 64")).join(F.broadcast(bits), "_w")
+    return found.where(F.col("_bits").bitwiseAND(bit("_h")) != 0).select(*rows.columns)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs (u, v) whose full sets have at least ``similarity`` percent in common."""
-    a = attach(pairs.withColumnRenamed("u", "node"), sets, "node", F.col("v"))
+    of = lambda side: marked(sets, pairs.select(F.col(side).alias("node")), ["node"]).select("node", "n", "shingles")
+    a = attach(pairs.withColumnRenamed("u", "node"), of("u"), "node", F.col("v"))
     a = a.select(F.col("node").alias("u"), "v", F.col("n").alias("nu"), F.col("shingles").alias("a"))
-    both = a.join(sets.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("shingles").alias("b")), "v")
+    both = a.join(of("v").select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(100 * common >= similarity * (F.col("nu") + F.col("nv") - common)).select("u", "v")
 
 
 def _unshared(sets: DataFrame) -> DataFrame:
-    """(node, own): how many shingles of each set are in no other set of the table."""
-    numbered = stored(sets.select("node", "shingles").withColumn("i", F.monotonically_increasing_id()))
-    single = (numbered.select("i", F.explode("shingles").alias("s")).groupBy("s")
+    """(node, own): how many shingles of each set are in no other set of the table; ``i`` numbers the sets."""
+    single = (sets.select("i", F.explode("shingles").alias("s")).groupBy("s")
               .agg(F.count("*").alias("c"), F.first("i").alias("i")).where("c = 1"))
     counts = single.groupBy("i").agg(F.count("*").alias("own"))
-    return numbered.select("i", "node").join(counts, "i", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"))
+    return sets.select("i", "node").join(counts, "i", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"))
 
 
 def class_links(classes: DataFrame, sets_of, similarity: int) -> DataFrame | None:
@@ -144,10 +155,9 @@ def class_links(classes: DataFrame, sets_of, similarity: int) -> DataFrame | Non
     if met.isEmpty():
         return None
     # Shingles that no other candidate has bound a set's similarity to all of them.
-    every = stored(sets_of(met.select("node").distinct()))
-    sizes = stored(every.select("node", "n").join(_unshared(every), "node").where(100 * (F.col("n") - F.col("own")) >= similarity * F.col("n")))
+    sets = cut(sets_of(met.select("node").distinct()).withColumn("i", F.monotonically_increasing_id()))  # large: goes with its last reader
+    sizes = stored(sets.select("node", "n").join(_unshared(sets), "node").where(100 * (F.col("n") - F.col("own")) >= similarity * F.col("n")))
     active = stored(crowded(met.join(sizes, "node")).withColumn("comp", F.col("node")))
-    sets = stored(every.join(active.select("node").distinct(), "node", "left_semi"))
     tested, links, labels, leaders_each = None, None, None, 1
     while True:
         open_ = active.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
@@ -177,16 +187,6 @@ def class_links(classes: DataFrame, sets_of, similarity: int) -> DataFrame | Non
         leaders_each *= 8
 
 
-def marked(rows: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame:
-    """The rows of ``chosen`` and few others: a bitmap of the hashes of its keys, ``MARKS`` bits at most, is broadcast, so that most
-    rows that a join with ``chosen`` drops are not shuffled for it."""
-    at = F.pmod(F.xxhash64(*on), F.lit(MARKS))
-    bit = lambda h: F.expr(f"shiftleft(1L, cast({h} % 64 as int))")
-    bits = chosen.select(at.alias("_h")).groupBy(F.expr("_h div 64").alias("_w")).agg(F.bit_or(bit("_h")).alias("_bits"))
-    found = rows.withColumn("_h", at).withColumn("_w", F.expr("_h div 64")).join(F.broadcast(bits), "_w")
-    return found.where(F.col("_bits").bitwiseAND(bit("_h")) != 0).select(*rows.columns)
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
                     similarity: int = SIMILARITY) -> DataFrame:
     """(id, text_hash, n, component_id, component_hash) of every document.
