@@ -5,12 +5,13 @@ circularly once per coordinate, ranks them; a coordinate is the smallest rank of
 candidates, and links are confirmed on full shingle sets.
 
 * Documents with equal sets form one class by a pre-aggregated group-by, however many copies there are.
-* Classes that share a band meet in a bucket. A bucket never emits its pairs: in each round a few leaders, those that
-  share most of their content, are compared with the others that are not yet known to be connected, and leave. A bucket
-  ends when all that remain are connected. Every pair of a bucket is thus compared, already joined, or ruled
-  out, so components are those of all links; leaders per bucket grow eightfold, so rounds are logarithmic in a bucket.
-* Shingles that no other candidate holds bound the similarity of a set to any other, so most pairs that share a passage
-  or differ in many places are ruled out exactly without being compared.
+* Classes that share a band meet in a bucket; buckets with the same members count once. A bucket never emits its pairs: it is
+  dealt into tiles of at most some ``TILE`` members a side, and a task compares the bitmaps of their shingles, which bound the
+  similarity of two sets exactly. Only pairs that the bound allows and that are not yet known to be connected leave the task: a
+  spanning forest of each part first, then, between tiles, the most similar ones of each member, eight times as many per round.
+  Members of a bucket's largest component are compared with the others only. Every pair of a bucket is thus compared, already
+  joined, or ruled out, so components are those of all links.
+* A bitmap has ``BITS`` bits; it rules out nothing for sets far larger than that, which are compared in full.
 * With 24 bands a pair of similarity 0.8 shares none with probability (1 - 0.8^4)^24 = 3e-6.
 * Only sets of classes that met another one are ever stored.
 
@@ -36,6 +37,9 @@ from .links import components
 
 WIDTH, SIMILARITY = 5, 80
 BANDS, ROWS = 24, 4
+BITS, TILE = 4096, 384
+#: Buckets of up to so many classes emit all pairs that the bound allows.
+SMALL = 4
 NULL_ID = (1 << 63) - 1
 MARKS = 1 << 24
 
@@ -44,7 +48,8 @@ SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_ha
                        T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()),
                        T.StructField("bands", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()),
-                     T.StructField("shingles", T.ArrayType(T.LongType()))])
+                     T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
+PAIRS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -99,6 +104,13 @@ def _node(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Which of ``BITS`` classes of shingles a set holds."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(shingles % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     release()
     for batch in batches:
@@ -117,7 +129,92 @@ def _full(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
     for batch in batches:
         sets = [s for v in batch.column(0).cast(pa.binary()) if len(s := shingle_set(v.as_py(), width))]
         yield pa.record_batch([pa.array([_node(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                               pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "n", "shingles"])
+                               pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                               pa.array([bitmap(s) for s in sets], pa.binary())], ["node", "n", "shingles", "bits"])
+
+
+def _most(n: np.ndarray, m: np.ndarray, held: np.ndarray, others: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Upper bound of the common shingles of sets of ``n`` and ``m``, whose bitmaps have ``held`` and ``others`` bits."""
+    return np.minimum(n - held + common, m - others + common)
+
+
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of a symmetric matrix; well connected rows first."""
+    first = np.argsort(-near.sum(1), kind="stable")
+    open_, a, b = np.ones(len(near), bool), [], []
+    for start in first:
+        todo = [start] if open_[start] else []
+        open_[start] = False
+        for i in todo:
+            found = first[(near[i] & open_)[first]]
+            open_[found] = False
+            a.append(np.full(len(found), i))
+            b.append(found)
+            todo.extend(found)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _in_tile(bits: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, inside: bool, partners: int,
+             similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one tile that may be links of different components; a row paired with itself says that some were held back."""
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    held = x.sum(1)
+    most = _most(n[:, None], n, held[:, None], held, x @ x.T)
+    near = ((100 + similarity) * most >= similarity * (n[:, None] + n)) & (comp[:, None] != comp)
+    if not inside:
+        near &= side[:, None] != side
+    if not partners:
+        return _forest(near)
+    held_back = near.sum() > 2 * partners * len(near)
+    if held_back:
+        score = np.where(near, 2 * most / (n[:, None] + n), -1.0)
+        at = np.argpartition(-score, min(partners, len(near)) - 1, axis=1)[:, :partners]
+        chosen = np.zeros_like(near)
+        np.put_along_axis(chosen, at, True, axis=1)
+        near &= chosen | chosen.T
+        near[0, 0] = True
+    return np.nonzero(np.triu(near))
+
+
+def _near(batches: Iterator[pa.RecordBatch], partners: int, similarity: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that may be links, from rows sorted by tile (bucket, kind, i, j)."""
+    release()
+
+    def pairs(rows: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+        n, side = rows["n"].to_numpy(), rows["side"].to_numpy()
+        comp = rows["comp"].combine_chunks().dictionary_encode().indices.to_numpy()
+        bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(len(n), -1)
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
+        sizes = np.diff(np.r_[starts, len(n)])
+        group, few = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes <= SMALL, sizes) & (partners == 0)
+        words, held, a, b = bits.view(np.uint64), np.bitwise_count(bits).sum(1, dtype=np.int64), [], []
+        for d in range(1, SMALL):
+            i = np.flatnonzero(few[:-d] & (group[:-d] == group[d:]) & (comp[:-d] != comp[d:]))
+            common = np.bitwise_count(words[i] & words[i + d]).sum(1, dtype=np.int64)
+            i = i[(100 + similarity) * _most(n[i], n[i + d], held[i], held[i + d], common) >= similarity * (n[i] + n[i + d])]
+            a.append(i)
+            b.append(i + d)
+        for g in np.flatnonzero(sizes > (1 if partners else SMALL)):
+            at = slice(starts[g], starts[g] + sizes[g])
+            inside = key[starts[g], 1] == 0 and key[starts[g], 2] == key[starts[g], 3]
+            u, v = _in_tile(bits[at], n[at], comp[at], side[at], inside, partners, similarity)
+            a.append(u + starts[g])
+            b.append(v + starts[g])
+        nodes = rows["node"].combine_chunks()
+        return pa.record_batch([nodes.take(pa.array(np.concatenate(x).astype(np.int64))) for x in (a, b)], ["a", "b"])
+
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        key = np.stack([rows[c].to_numpy() for c in ("bucket", "kind", "i", "j")], axis=1)
+        change = np.flatnonzero((key[1:] != key[:-1]).any(1))
+        last = change[-1] + 1 if len(change) else 0  # the last tile may go on in the next batch
+        if last:
+            yield pairs(rows.slice(0, last), key[:last])
+        rest = rows.slice(last)
+    if rest is not None and len(rest):
+        yield pairs(rest, np.stack([rest[c].to_numpy() for c in ("bucket", "kind", "i", "j")], axis=1))
 
 
 def marked(rows: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame:
@@ -140,51 +237,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.where(100 * common >= similarity * (F.col("nu") + F.col("nv") - common)).select("u", "v")
 
 
-def _unshared(sets: DataFrame) -> DataFrame:
-    """(node, own): how many shingles of each set are in no other set of the table; ``i`` numbers the sets."""
-    single = (sets.select("i", F.explode("shingles").alias("s")).groupBy("s")
-              .agg(F.count("*").alias("c"), F.first("i").alias("i")).where("c = 1"))
-    counts = single.groupBy("i").agg(F.count("*").alias("own"))
-    return sets.select("i", "node").join(counts, "i", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"))
+def _once(met: DataFrame) -> DataFrame:
+    """(bucket, node) without buckets whose members are those of another one."""
+    members = [F.count(F.lit(1)).alias("c"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(3)]]
+    kept = met.groupBy("bucket").agg(*members).groupBy("c", "x0", "x1", "x2").agg(F.min("bucket").alias("bucket"))
+    return met.join(kept.select("bucket"), "bucket", "left_semi")
+
+
+def _tiles(active: DataFrame, first: bool) -> DataFrame:
+    """Rows of the open buckets, dealt into tiles (kind, i, j): 0 for parts of a bucket, 1 for a part and one of its largest component."""
+    parts = lambda n: F.ceil(n / F.lit(TILE)).cast("long")
+    hashed, zero = F.xxhash64("node"), F.lit(0).cast("long")
+    if first:  # every class is a component of its own
+        sizes = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+        part = F.pmod(hashed, parts(F.col("c")))
+        return active.join(sizes, "bucket").select(*active.columns, zero.alias("kind"), part.alias("i"), part.alias("j"), zero.alias("side"))
+    counts = active.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    open_ = counts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("c")).where("m.c < c")
+    rows = active.join(open_.select("bucket", F.col("m.comp").alias("main"), parts(F.col("c") - F.col("m.c")).alias("rest"),
+                                    parts(F.col("m.c")).alias("of_main")), "bucket")
+    main = F.col("comp") == F.col("main")
+    rows = rows.withColumn("own", F.pmod(hashed, F.when(main, F.col("of_main")).otherwise(F.col("rest"))))
+    tile = lambda kind, i, j, side: F.struct(*[F.lit(v).cast("long").alias(n) if isinstance(v, int) else v.cast("long").alias(n)
+                                               for n, v in (("kind", kind), ("i", i), ("j", j), ("side", side))])
+    every = lambda n: F.sequence(zero, F.col(n) - 1)
+    own = F.col("own")
+    places = F.when(main, F.transform(every("rest"), lambda i: tile(1, i, own, 1))).otherwise(F.concat(
+        F.transform(every("rest"), lambda o: tile(0, F.least(own, o), F.greatest(own, o), own)),
+        F.transform(every("of_main"), lambda j: tile(1, own, j, 0))))
+    return rows.select(*active.columns, F.explode(places).alias("t")).select(*active.columns, "t.*")
 
 
 def class_links(classes: DataFrame, sets_of, similarity: int) -> DataFrame | None:
     """(node, label) for classes connected with another one; None if no two classes share a band."""
-    crowded = lambda t: t.join(t.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi")
-    met = stored(crowded(classes.select("node", F.explode("bands").alias("bucket"))))
+    keys = classes.select("node", F.explode("bands").alias("bucket"))
+    crowd = keys.groupBy("bucket").count().where("count > 1").select("bucket")
+    met = stored(_once(stored(keys.join(crowd, "bucket", "left_semi"))))
     if met.isEmpty():
         return None
-    # Shingles that no other candidate has bound a set's similarity to all of them.
-    sets = cut(sets_of(met.select("node").distinct()).withColumn("i", F.monotonically_increasing_id()))  # large: goes with its last reader
-    sizes = stored(sets.select("node", "n").join(_unshared(sets), "node").where(100 * (F.col("n") - F.col("own")) >= similarity * F.col("n")))
-    active = stored(crowded(met.join(sizes, "node")).withColumn("comp", F.col("node")))
-    tested, links, labels, leaders_each = None, None, None, 1
+    sets = cut(sets_of(met.select("node").distinct()))  # large: goes with its last reader
+    active = stored(met.join(sets.select("node", "n", "bits"), "node").withColumn("comp", F.col("node")))
+    tested, links, labels, partners = None, None, None, 0
     while True:
-        open_ = active.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        active = stored(active.join(open_, "bucket", "left_semi"))
-        if active.isEmpty():
-            return labels
-        rank = F.struct((F.col("own") - F.col("n")).alias("shared"), "own", "node", "n", "comp")  # most shared content first
-        leaders = stored(active.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders_each)).alias("slot"))
-                         .agg(F.min(rank).alias("l")).select(
-            "bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.own").alias("leader_own"),
-            F.col("l.comp").alias("leader_comp")))
-        most = F.least(F.col("n") - F.col("own"), F.col("leader_n") - F.col("leader_own"))
-        union = F.greatest(F.col("n") + F.col("leader_own"), F.col("leader_n") + F.col("own"))
-        near = active.join(leaders, "bucket").where((F.col("comp") != F.col("leader_comp")) & (100 * most >= similarity * union))
-        pairs = near.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
+        sorted_ = _tiles(active, not partners).repartition("bucket", "kind", "i", "j").sortWithinPartitions("bucket", "kind", "i", "j")
+        near = sorted_.mapInArrow(partial(_near, partners=partners, similarity=similarity), PAIRS)
+        got = stored(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        pairs = got.where("u <> v")
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = stored(pairs)
         tested = pairs if tested is None else tested.union(pairs)
         found = None if pairs.isEmpty() else stored(_verified(pairs, sets, similarity))
-        gone = leaders.select("bucket", F.col("leader").alias("node"))
-        active = active.join(gone, ["bucket", "node"], "left_anti")
         if found is not None and not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = components(links)
-            active = active.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-        leaders_each *= 8
+        if partners and got.where("u = v").isEmpty():  # no tile held back a pair
+            return labels
+        if not partners:
+            large = active.groupBy("bucket").count().where(F.col("count") > SMALL).select("bucket")
+            active = stored(active.join(large, "bucket", "left_semi"))
+        if active.isEmpty():
+            return labels
+        if found is not None and labels is not None:
+            active = stored(active.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"))
+        partners = 8 * max(partners, 1)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
@@ -201,7 +317,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         chosen = stored(classes.join(nodes, "node", "left_semi").select("first.id", "first.text_hash").distinct())
-        rows = marked(source, chosen, ["id", "text_hash"]).join(chosen, ["id", "text_hash"], "left_semi").select("text")
+        # an inner join: a semi-join would be pushed below the bitmap, and every text shuffled
+        rows = marked(source, chosen, ["id", "text_hash"]).join(chosen, ["id", "text_hash"]).select("text")
         return rows.mapInArrow(partial(_full, width=width), SETS).dropDuplicates(["node"])
 
     labels = class_links(classes, sets_of, similarity)

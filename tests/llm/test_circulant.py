@@ -86,3 +86,34 @@ def test_few_texts_are_shuffled_for_a_few_chosen(spark):
     got = {r.id for r in circulant.marked(rows, chosen, ["id", "text_hash"]).collect()}
     assert {r.id for r in chosen.collect()} <= got and len(got) < 60
     assert circulant.marked(rows, chosen.limit(0), ["id", "text_hash"]).count() == 0
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """A group of many different near copies, some linked and some not, is compared in tiles with few exact comparisons."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{i}" for i in range(90)], []
+    for i in range(240):
+        text = list(base)
+        for at in rng.choice(90, rng.integers(0, 6), replace=False):
+            text[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(text)))
+    compared, verified = [], circulant._verified
+    monkeypatch.setattr(circulant, "_verified", lambda pairs, *a: (compared.append(pairs.count()), verified(pairs, *a))[1])
+    monkeypatch.setattr(circulant, "TILE", 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.id, r.n, r.component_id) for r in circulant.near_duplicates(docs, width=4).collect())
+    expected = brute(rows, 4, 80)
+    assert got == expected and 20 < len({c for _, _, c in expected}) < 220
+    assert sum(compared) < 2400
+
+
+def test_bound_of_bitmaps_loses_no_link():
+    rng = np.random.default_rng(6)
+    for n in (3, 40, 500, 6000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for share in (0.7, 0.85, 0.92, 1.0):
+            b = np.unique(np.concatenate([a[:int(share * n)], rng.integers(0, 2**63, n - int(share * n)).astype(np.uint64)]))
+            bits = np.frombuffer(circulant.bitmap(a) + circulant.bitmap(b), np.uint8).reshape(2, -1)
+            common = len(np.intersect1d(a, b))
+            u, _ = circulant._in_tile(bits, np.array([len(a), len(b)]), np.array([0, 1]), np.zeros(2), True, 8, 80)
+            assert len(u) or 100 * common < 80 * (len(a) + len(b) - common)
