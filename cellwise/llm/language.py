@@ -22,6 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,17 +64,21 @@ def features(text: str | None) -> np.ndarray | None:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 15) -> np.ndarray:
     """Weights of a linear machine with hinge loss (dual coordinate descent); the last one is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    norms, alpha, w = (x * x).sum(axis=1), np.zeros(len(x)), np.zeros(x.shape[1])
+    row, norms = np.ones(x.shape[1] + 1), np.empty(len(x))  # one row at a time in double precision: ``x`` is never copied
+    for i, v in enumerate(x):
+        row[:-1] = v
+        norms[i] = (row * row).sum()
+    alpha, w = np.zeros(len(x)), np.zeros(len(row))
     share = {s: cost * len(y) / (2 * max(1, (y == s).sum())) for s in (-1, 1)}  # classes weigh alike
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         largest = 0.0
         for i in rng.permutation(len(x)):
-            gradient = y[i] * (x[i] @ w) - 1
+            row[:-1] = x[i]
+            gradient = y[i] * (row @ w) - 1
             new = min(max(alpha[i] - gradient / norms[i], 0.0), share[int(y[i])])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += (new - alpha[i]) * y[i] * row
                 largest = max(largest, abs(new - alpha[i]))
                 alpha[i] = new
         if largest < 1e-3:
@@ -179,10 +184,16 @@ def fit(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
         chance = F.when(F.col("lang") == name, F.lit(each / n)).otherwise(chance)
     drawn = F.pmod(F.xxhash64("key", "text", F.lit(11)), F.lit(1 << 40)) < chance * (1 << 40)
     got = rows.where(drawn).select("lang", _features("text").alias("x")).where("x is not null").limit(2 * sample).toArrow()
-    got = got.sort_by([("lang", "ascending"), ("x", "ascending")])
     if not len(got):
         return None
-    return Classifier(np.array([np.frombuffer(v, np.float32) for v in got["x"].to_pylist()]), np.array(got["lang"].to_pylist(), object))
+    order = pc.sort_indices(got, [("lang", "ascending"), ("x", "ascending")]).to_numpy()
+    langs, grams = np.array(got["lang"].to_pylist(), object)[order], got["x"]
+    x = np.empty((len(order), 1 << BITS), np.float32)
+    for at, i in enumerate(order.tolist()):
+        x[at] = np.frombuffer(grams[i].as_buffer(), np.float32)
+    del got, grams
+    release()
+    return Classifier(x, langs)
 
 
 def identify(docs: DataFrame, model: Classifier | None, text: str = "text", batch: int = 64,

@@ -74,3 +74,18 @@ def test_votes_by_definition():
                 least[a], least[b] = min(least[a], win), min(least[b], 1 - win)
         want = max(members, key=lambda g: votes[g])
         assert lang == want and score == pytest.approx(p * least[want], rel=1e-3)
+
+
+def test_fitting_does_not_copy_the_sample():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 1 << language.BITS), np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    langs = np.array(["en", "de", "fr", "es"] * 100, object)
+    tracemalloc.start()
+    try:
+        language.Classifier(x, langs)
+        assert tracemalloc.get_traced_memory()[1] < 2 * x.nbytes
+    finally:
+        tracemalloc.stop()
